@@ -16,7 +16,7 @@ from townpulse.operators.ordering import (
     seq_bucket,
     take_while,
 )
-from townpulse.scale import attach
+from townpulse.scale import attach, settle
 
 # Columns of the flat table, in order (fixed).
 FLAT_COLUMNS = [
@@ -76,11 +76,14 @@ def cap_comments(posts: DataFrame, max_comments: int, width: int = WIDTH) -> Dat
 
     Every post stays. Only sizes travel: buckets of posts wholly under or beyond
     the cap are settled from their totals, and running sums are taken just inside
-    the bucket that crosses it.
+    the bucket that crosses it. Runs the totals; when no group reaches the cap the
+    posts are returned as they are.
     """
     cut = posts.withColumn("_bucket", seq_bucket("seq", width))
     have = F.coalesce(F.size("comments"), F.lit(0))
-    totals = bucket_totals(cut, ["group_domain"], "_bucket", have)
+    totals = settle(bucket_totals(cut, ["group_domain"], "_bucket", have))
+    if totals.filter(F.col("_before") + F.col("_size") > max_comments).isEmpty():
+        return posts
     tagged = attach(cut, totals, ["group_domain", "_bucket"], "inner")
     crosses = (F.col("_before") < max_comments) & (
         F.col("_before") + F.col("_size") > max_comments

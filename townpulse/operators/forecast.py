@@ -120,11 +120,13 @@ def forecast_series(
     """
     ordered = F.array_sort(F.collect_list(F.struct(F.col(period).alias("p"), F.col(value).alias("v"))))
     known = (
-        series.filter(F.col(key).isNotNull() & F.col(period).isNotNull())
+        series.filter(F.col(period).isNotNull())
         .groupBy(key)
-        .agg(F.max(period).alias("_last"), ordered.alias("_pairs"))
+        # counted, not filtered on input: the grid below is then computed only once
+        .agg(F.max(period).alias("_last"), ordered.alias("_pairs"), F.count(key).alias("_named"))
+        .filter("_named > 0")
         .withColumn("_y", F.filter(F.transform("_pairs", lambda x: x["v"].cast("double")), lambda v: v.isNotNull()))
-        .drop("_pairs")
+        .drop("_pairs", "_named")
     )
     size = F.size("_y")
     seasonal = (size >= 2 * season) if season else F.lit(False)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from townpulse.scale import attach
+from townpulse.scale import attach, settle
 
 # Feed positions per bucket. Positions are unique in a group, so a bucket of a
 # group holds at most this many rows.
@@ -61,7 +61,8 @@ def keep_first(
     post, bucket of the comment in the post. Level by level, buckets wholly under
     the cap are kept and wholly beyond it dropped, without any sort; only the one
     bucket of a group that crosses the cap is looked into. Runs one small
-    aggregation per level.
+    aggregation per level; when no group reaches the cap, the first one shows it
+    and the rows are returned as they are.
     """
     levels = levels or [seq_bucket(order[0])]
     columns = df.columns
@@ -71,12 +72,12 @@ def keep_first(
     for depth, level in enumerate(levels):
         name = f"_level{depth}"
         rest = rest.withColumn(name, level)
-        totals = bucket_totals(rest, [*keys, "_room"], name, F.lit(1))
+        totals = settle(bucket_totals(rest, [*keys, "_room"], name, F.lit(1)))
+        under = F.col("_before") + F.col("_size") <= F.col("_room")
+        if depth == 0 and totals.filter(~under).isEmpty():
+            return df
         totals = totals.filter(F.col("_before") < F.col("_room")).select(
-            *keys,
-            name,
-            (F.col("_before") + F.col("_size") <= F.col("_room")).alias("_whole"),
-            (F.col("_room") - F.col("_before")).alias("_left"),
+            *keys, name, under.alias("_whole"), (F.col("_room") - F.col("_before")).alias("_left")
         )
         keys.append(name)
         tagged = attach(rest.drop("_room"), totals, keys, "inner")
@@ -95,7 +96,9 @@ def take_while(df: DataFrame, group: str, position: Column, stop: Column) -> Dat
     One minimum per group, then a comparison; no sort. Runs the aggregation.
     """
     marked = df.withColumn("_position", position)
-    stops = marked.filter(stop).groupBy(group).agg(F.min("_position").alias("_stop"))
+    stops = settle(marked.filter(stop).groupBy(group).agg(F.min("_position").alias("_stop")))
+    if stops.isEmpty():
+        return df
     return (
         attach(marked, stops, [group], "left")
         .filter(F.col("_stop").isNull() | (F.col("_position") < F.col("_stop")))

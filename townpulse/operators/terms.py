@@ -122,8 +122,7 @@ def topic_terms(
     weight = F.col("count") * F.ln(1 + F.col("_mean") / F.col("_f"))
     weighed = counts.withColumn("_f", everywhere).withColumn("_mean", mean_words)
     if normalise:
-        words = df.select(topic, F.size(drop_words(terms(text), list(stop))).alias("_n"))
-        words = words.filter(F.col(topic).isNotNull()).groupBy(topic).agg(F.sum("_n").alias("_words"))
+        words = counts.groupBy(topic).agg(F.sum("count").alias("_words"))
         weighed = weighed.join(words, topic)
         weight = weight / F.col("_words")
     best = W.partitionBy(topic).orderBy(F.desc("weight"), F.asc("term"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -17,6 +19,8 @@ from townpulse.scale import attach, settle
 NOISE = -1
 # Rows a topic needs (fixed).
 MIN_TOPIC_SIZE = 10
+# Cells number at most 2 ** MAX_BITS, whatever the data.
+MAX_BITS = 20
 
 
 def plane_signs(dims: int, bits: int) -> np.ndarray:
@@ -127,7 +131,10 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def number_by_size(groups: DataFrame, group: str, size: str, first: str) -> DataFrame:
-    """``group, topic``: 0 for the largest, ties by the smallest member."""
+    """``group, topic``: 0 for the largest, ties by the smallest member.
+
+    ``groups`` are whole topics, never more than there are cells or centres.
+    """
     order = W.orderBy(F.desc(size), F.asc(first))
     return groups.select(group, (F.row_number().over(order) - 1).cast("bigint").alias("topic"))
 
@@ -137,7 +144,7 @@ def density_topics(
     key: str,
     vector: str,
     dims: int,
-    bits: int = 12,
+    bits: int | None = None,
     min_neighbours: int = 5,
     threshold: float = 0.3,
     reach: int = 1,
@@ -145,8 +152,8 @@ def density_topics(
 ) -> DataFrame:
     """Adds ``topic``: density clusters of the vectors by direction; noise is -1.
 
-    Space is cut into at most ``2 ** bits`` cells by fixed planes and the vectors
-    of a cell are reduced to their number and mean while they are read, so copies
+    Space is cut into at most ``2 ** bits`` cells by fixed planes (by default about
+    as many as give a cell ``min_size`` rows) and the vectors of a cell are reduced to their number and mean while they are read, so copies
     and crowded places cost no more than lone vectors and no pair of vectors is
     formed. Cells up to ``reach`` planes apart are neighbours when their centres
     are alike. A cell with ``min_neighbours`` rows in it and its neighbours
@@ -154,8 +161,11 @@ def density_topics(
     most alike dense neighbour. Topics under ``min_size`` rows are noise, topic 0
     is the largest. Runs jobs over the cells.
     """
-    if bits > 20:
-        raise ValueError("at most 20 planes, so that cells stay countable")
+    if bits is None:
+        rows = df.filter(F.col(vector).isNotNull()).count()
+        bits = min(MAX_BITS, max(4, math.ceil(math.log2(max(rows, 1) / min_size))))
+    if bits > MAX_BITS:
+        raise ValueError(f"at most {MAX_BITS} planes, so that cells stay countable")
     cells = settle(vector_cells(df, key, vector, dims, bits))
     links = settle(linked_cells(cells, bits, reach, threshold))
     around = (

@@ -35,9 +35,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Run ``df`` now and keep its rows in the shared folder, cutting its lineage."""
+    """Run ``df`` now and keep its rows in the shared folder, cutting its lineage.
+
+    A frame that already is such a cut is returned as it is.
+    """
+    if getattr(df, "_settled", False):
+        return df
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    kept._settled = True
+    return kept
 
 
 def attach(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townpulse.functions.text import SPACE
-from townpulse.scale import attach
+from townpulse.scale import attach, settle, shared_path
 
 COMMENT_SCHEMA = "struct<id: bigint, from_id: bigint, date: bigint, text: string>"
 POST_SCHEMA = (
@@ -44,23 +44,34 @@ def read_feed_lines(spark: SparkSession, path: str) -> DataFrame:
     return parse_feed(lines)
 
 
-def read_posts(spark: SparkSession, path: str) -> DataFrame:
+def land_feed(spark: SparkSession, path: str, landing: str) -> DataFrame:
+    """Parse the feed once into a columnar table at ``landing`` and read that."""
+    read_feed_lines(spark, path).write.mode("overwrite").parquet(landing)
+    return spark.read.parquet(landing)
+
+
+def good_posts(rows: DataFrame) -> DataFrame:
     """Posts of the groups whose feed is readable throughout.
 
     One bad line takes its whole group out; other groups are not affected.
     ``bad_lines`` has what was left out. Runs a pass that lists the bad groups.
     """
-    rows = read_feed_lines(spark, path)
-    bad = rows.filter(F.col("bad_line").isNotNull()).select("group_domain").distinct()
+    bad = settle(rows.filter(F.col("bad_line").isNotNull()).select("group_domain").distinct())
+    if bad.isEmpty():
+        return rows.drop("bad_line")
     return attach(rows, bad, ["group_domain"], "left_anti").drop("bad_line")
 
 
-def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+def bad_lines(rows: DataFrame) -> DataFrame:
     """``group_domain, bad_line`` of every unreadable line, for a side table."""
-    rows = read_feed_lines(spark, path)
     return rows.filter(F.col("bad_line").isNotNull()).select("group_domain", "bad_line")
 
 
+def read_posts(spark: SparkSession, path: str) -> DataFrame:
+    """``good_posts`` of the feed, by way of a landing table in the shared folder."""
+    return good_posts(land_feed(spark, path, shared_path(spark, "landed")))
+
+
 def listed_posts(posts: DataFrame, groups: DataFrame) -> DataFrame:
     """Posts of the groups on the list. Runs the list."""
     return attach(posts, groups.select("group_domain").distinct(), ["group_domain"], "left_semi")

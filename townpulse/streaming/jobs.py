@@ -59,7 +59,8 @@ def weekly_counts(
     """``week_start, topic_name, count`` of a stream, kept up to date.
 
     Weeks start on Monday: day 0 of the epoch is a Thursday, hence the shift by
-    four days. The watermark bounds the state to weeks that can still change.
+    four days. The state is one count per week and topic; in append and update
+    mode the watermark drops weeks that can no longer change.
     """
     timed = events.select(F.col(ts).cast("timestamp").alias("_ts"), F.col(topic).alias("topic_name"))
     week = F.window("_ts", "7 days", startTime="4 days")
