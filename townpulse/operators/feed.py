@@ -17,6 +17,7 @@ from townpulse.operators.ordering import (
     take_while,
 )
 from townpulse.scale import attach, settle
+from townpulse.sources.feeds import COMMENT_SCHEMA
 
 # Columns of the flat table, in order (fixed).
 FLAT_COLUMNS = [
@@ -68,7 +69,8 @@ def usable_comments(first_date=None, last_date=None) -> Column:
         has_text = F.coalesce(comment["text"], F.lit("")) != ""
         return has_text & in_range(date, first_date, last_date)
 
-    return F.coalesce(F.filter("comments", usable), F.expr("slice(comments, 1, 0)"))
+    none = F.array().cast(f"array<{COMMENT_SCHEMA}>")
+    return F.filter(F.coalesce("comments", none), usable)
 
 
 def cap_comments(posts: DataFrame, max_comments: int, width: int = WIDTH) -> DataFrame:
