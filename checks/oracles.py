@@ -188,7 +188,7 @@ cut AS (SELECT doc_id, text, len(ws) AS n,
 ELSE {wrapped} END AS label FROM cut"""
 
 
-def density(dims: int, bits: int, m: int, threshold: float, min_size: int) -> str:
+def density(dims: int, bits: int, m: int, threshold: float, reach: int, min_size: int) -> str:
     """Cells of a fixed set of planes, dense cells, their components by recursion."""
     cube = "((131 * i + 977 * j + 7) * (131 * i + 977 * j + 7) % 1000003) * (131 * i + 977 * j + 7) % 1000003"
     return f"""WITH RECURSIVE
@@ -204,7 +204,7 @@ centre AS (SELECT cell, i, avg(x / n) AS c FROM dims JOIN norms USING (vec_id)
 cells AS (SELECT cell, count(*) AS size, min(vec_id) AS first_key FROM points GROUP BY cell),
 lengths AS (SELECT cell, sqrt(sum(c * c)) AS n FROM centre GROUP BY cell),
 pairs AS (SELECT a.cell AS a, b.cell AS b FROM cells a, cells b
-          WHERE bit_count(xor(a.cell, b.cell)) = 1),
+          WHERE bit_count(xor(a.cell, b.cell)) BETWEEN 1 AND {reach}),
 links AS (SELECT p.a, p.b, sum(x.c * y.c) / (any_value(l.n) * any_value(r.n)) AS closeness
           FROM pairs p JOIN centre x ON x.cell = p.a JOIN centre y ON y.cell = p.b AND y.i = x.i
           JOIN lengths l ON l.cell = p.a JOIN lengths r ON r.cell = p.b
@@ -358,7 +358,7 @@ s AS (SELECT d.vec_id, c.label, round(sum(x * c) / (any_value(vn.n) * any_value(
 SELECT vec_id, CAST(CASE WHEN s >= 0.3 THEN label ELSE -1 END AS BIGINT) AS topic,
 round(s, 6) AS closeness FROM s
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1""",
-    "density_topics": density(P.DIMS, P.BITS, 5, 0.3, 10),
+    "density_topics": density(P.DIMS, P.BITS, 5, P.CLOSE, 2, 10),
     "forecast_trend": f"WITH RECURSIVE {shares()}, {TREND_FIT} SELECT * FROM ahead",
     "forecast_seasonal": f"WITH RECURSIVE {shares()}, {SEASON_FIT} SELECT * FROM ahead",
     "series_last_value": f"""WITH {shares()} SELECT topic_name,

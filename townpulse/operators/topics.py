@@ -20,7 +20,7 @@ NOISE = -1
 # Rows a topic needs (fixed).
 MIN_TOPIC_SIZE = 10
 # Cells number at most 2 ** MAX_BITS, whatever the data.
-MAX_BITS = 20
+MIN_BITS, MAX_BITS = 8, 20
 
 
 def plane_signs(dims: int, bits: int) -> np.ndarray:
@@ -34,22 +34,24 @@ def plane_signs(dims: int, bits: int) -> np.ndarray:
 
 
 def cell_of(vector, dims: int, bits: int) -> Column:
-    """The cell of a vector: bit j is set where it lies on the positive side of plane j."""
+    """The cell of a vector: bit j is set where it lies on the positive side of plane j.
+
+    Null for a missing vector and for one without direction.
+    """
     planes = plane_signs(dims, bits)
     powers = 2 ** np.arange(bits, dtype=np.int64)
 
     @F.pandas_udf("bigint")
     def cell(vectors: pd.Series) -> pd.Series:
         if len(vectors) == 0:
-            return pd.Series([], dtype="int64")
+            return pd.Series([], dtype="Int64")
         matrix = np.stack(vectors.to_numpy()).astype(np.float64)
-        return pd.Series(((matrix @ planes) > 0) @ powers)
+        cells = pd.Series(((matrix @ planes) > 0) @ powers, dtype="Int64")
+        return cells.mask(~matrix.any(axis=1))
 
     given = F.col(vector) if isinstance(vector, str) else vector
     origin = F.array_repeat(F.lit(0.0), dims)
-    return F.when(
-        given.isNotNull(), cell(F.coalesce(given.cast("array<double>"), origin))
-    )
+    return cell(F.coalesce(given.cast("array<double>"), origin))
 
 
 def _masks(bits: int, reach: int) -> list[int]:
@@ -64,13 +66,12 @@ def vector_cells(
     df: DataFrame, key: str, vector: str, dims: int, bits: int
 ) -> DataFrame:
     """One row per occupied cell: ``cell, size, first_key, centre`` (unit mean vector)."""
-    scaled = F.transform(
-        vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), F.col("_norm")), F.lit(0.0))
-    )
+    scaled = F.transform(vector, lambda x: x.cast("double") / F.col("_norm"))
     points = (
-        df.filter(F.col(vector).isNotNull())
+        df.select(F.col(key).alias("_key"), vector, cell_of(vector, dims, bits).alias("cell"))
+        .filter(F.col("cell").isNotNull())
         .withColumn("_norm", norm(vector))
-        .select(F.col(key).alias("_key"), cell_of(vector, dims, bits).alias("cell"), scaled.alias("_v"))
+        .select("_key", "cell", scaled.alias("_v"))
     )
     return points.groupBy("cell").agg(
         F.count("*").alias("size"),
@@ -146,14 +147,14 @@ def density_topics(
     dims: int,
     bits: int | None = None,
     min_neighbours: int = 5,
-    threshold: float = 0.3,
-    reach: int = 1,
+    threshold: float = 0.7,
+    reach: int = 2,
     min_size: int = MIN_TOPIC_SIZE,
 ) -> DataFrame:
     """Adds ``topic``: density clusters of the vectors by direction; noise is -1.
 
-    Space is cut into at most ``2 ** bits`` cells by fixed planes (by default about
-    as many as give a cell ``min_size`` rows) and the vectors of a cell are reduced to their number and mean while they are read, so copies
+    Space is cut into at most ``2 ** bits`` cells by fixed planes (by default some
+    more cells than there are rows, within limits) and the vectors of a cell are reduced to their number and mean while they are read, so copies
     and crowded places cost no more than lone vectors and no pair of vectors is
     formed. Cells up to ``reach`` planes apart are neighbours when their centres
     are alike. A cell with ``min_neighbours`` rows in it and its neighbours
@@ -163,7 +164,7 @@ def density_topics(
     """
     if bits is None:
         rows = df.filter(F.col(vector).isNotNull()).count()
-        bits = min(MAX_BITS, max(4, math.ceil(math.log2(max(rows, 1) / min_size))))
+        bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(rows, 1))) + 4))
     if bits > MAX_BITS:
         raise ValueError(f"at most {MAX_BITS} planes, so that cells stay countable")
     cells = settle(vector_cells(df, key, vector, dims, bits))
