@@ -64,8 +64,12 @@ def orders(spark, folder) -> DataFrame:
     )
 
 
+def raw_documents(spark, folder) -> DataFrame:
+    return tables.read_table(spark, f"{folder}/documents.parquet", spread_by="doc_id")
+
+
 def documents(spark, folder) -> DataFrame:
-    return table(spark, folder, "documents").withColumn("cleaned", text.clean_text("text"))
+    return raw_documents(spark, folder).withColumn("cleaned", text.clean_text("text"))
 
 
 def labelled(spark, folder) -> DataFrame:
@@ -76,7 +80,7 @@ def labelled(spark, folder) -> DataFrame:
         .otherwise("neutral")
     )
     marks = table(spark, folder, "labels").select("doc_id", label.alias("label"))
-    return table(spark, folder, "documents").join(marks, "doc_id")
+    return raw_documents(spark, folder).join(marks, "doc_id")
 
 
 def document_feed(spark, folder) -> DataFrame:
@@ -94,7 +98,7 @@ def document_feed(spark, folder) -> DataFrame:
             line.alias("text"),
         ),
     )
-    return table(spark, folder, "documents").select(
+    return raw_documents(spark, folder).select(
         F.col("source").alias("group_domain"),
         F.col("doc_id").alias("seq"),
         F.col("doc_id").alias("id"),
@@ -356,7 +360,7 @@ def strip_links(spark, folder):
 
 @query
 def strip_emojis(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = raw_documents(spark, folder)
     return docs.select("doc_id", text.remove_emojis("text").alias("text"))
 
 
@@ -368,7 +372,7 @@ def remove_stopwords(spark, folder):
 
 @query
 def prepare_text(spark, folder):
-    docs = wording.prepare(table(spark, folder, "documents"), P.STOP)
+    docs = wording.prepare(raw_documents(spark, folder), P.STOP)
     return docs.select("doc_id", "text_preprocessed")
 
 
@@ -389,19 +393,19 @@ def lexicon_sentiment(spark, folder):
 @query
 def trained_sentiment(spark, folder):
     model = wording.train_sentiment(labelled(spark, folder))
-    docs = wording.predict_sentiment(table(spark, folder, "documents"), model)
+    docs = wording.predict_sentiment(raw_documents(spark, folder), model)
     return docs.select("doc_id", "label")
 
 
 @query
 def label_wrap_exact(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = raw_documents(spark, folder)
     return docs.select("doc_id", text.wrap_label("text", 5, "exact").alias("label"))
 
 
 @query
 def label_wrap_clean(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = raw_documents(spark, folder)
     return docs.select("doc_id", text.wrap_label("text", 5).alias("label"))
 
 

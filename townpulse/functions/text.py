@@ -11,7 +11,7 @@ SPACE = r"\t\n\x0b\f\r\x1c-\x1f\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
 LINK = rf"(https?://|www\.)[^{SPACE}]+"
 EMOJI = (
-    "["
+    r"[\x{2000}-\x{10FFFF}&&["  # one comparison settles most letters
     r"\x{1F300}-\x{1FAFF}"  # pictographs, faces, transport, skin tones
     r"\x{1F1E6}-\x{1F1FF}"  # flags
     r"\x{2600}-\x{27BF}"  # symbols and dingbats
@@ -19,7 +19,7 @@ EMOJI = (
     r"\x{1F000}-\x{1F0FF}"  # tiles and cards
     r"\x{E0020}-\x{E007F}"  # flag tags
     r"\x{FE0F}\x{200D}\x{20E3}"  # variation selector, joiner, keycap
-    "]+"
+    "]]+"
 )
 BREAK = "<br>"
 
@@ -46,18 +46,20 @@ def words(text) -> Column:
     return F.filter(F.split(_col(text), f"[{SPACE}]+"), lambda w: w != "")
 
 
-def terms(text) -> Column:
-    """Words of at least two characters, of text that went through ``clean_text``."""
-    return F.filter(F.split(_col(text), f"[{SPACE}]+"), lambda w: F.length(w) >= 2)
-
-
-def drop_words(word_array, stop: list[str]) -> Column:
-    """Leave out listed words; order and repeats of the others stay."""
-    return F.filter(_col(word_array), lambda w: ~w.isin(list(stop))) if stop else _col(word_array)
+def terms(text, stop: list[str] = ()) -> Column:
+    """Words of at least two characters other than ``stop``, of text that went
+    through ``clean_text``."""
+    pieces = F.split(_col(text), f"[{SPACE}]+")
+    if not stop:
+        return F.filter(pieces, lambda w: F.length(w) >= 2)
+    return F.filter(pieces, lambda w: (F.length(w) >= 2) & ~w.isin(list(stop)))
 
 
 def remove_stopwords(text, stop: list[str]) -> Column:
-    return F.array_join(drop_words(words(text), stop), " ")
+    pieces = F.split(_col(text), f"[{SPACE}]+")
+    if not stop:
+        return F.array_join(words(text), " ")
+    return F.array_join(F.filter(pieces, lambda w: (w != "") & ~w.isin(list(stop))), " ")
 
 
 def stop_words(spark: SparkSession, language: str = "russian") -> list[str]:
@@ -76,17 +78,20 @@ def wrap_label(text, every: int = 5, mode: str = "clean") -> Column:
     lost when the word count is a multiple of ``every``. Text that already holds
     a break is left alone.
     """
+    if mode not in ("clean", "exact"):
+        raise ValueError(f"unknown mode {mode!r}")
     column = _col(text)
-    parts = words(column)
-    count = F.size(parts)
-    if mode == "clean":
-        wrapped = F.regexp_replace(_lines(parts, every), f"({BREAK}| )$", "")
-    elif mode == "exact":
+
+    def wrap(parts: Column) -> Column:
+        if mode == "clean":
+            return F.regexp_replace(_lines(parts, every), f"({BREAK}| )$", "")
+        count = F.size(parts)
         kept = F.when(count % every != 0, count).otherwise(F.greatest(count - every, F.lit(0)))
         body = F.regexp_replace(_lines(F.slice(parts, F.lit(1), kept), every), " $", BREAK)
-        wrapped = F.concat(F.when(count <= every, BREAK).otherwise(""), body)
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
+        return F.concat(F.when(count <= every, BREAK).otherwise(""), body)
+
+    # the one-element array has the words split once however often they are used
+    wrapped = F.transform(F.array(words(column)), wrap)[0]
     return F.when(column.contains(BREAK), column).otherwise(wrapped)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from townpulse.functions.text import drop_words, terms, word_line
+from townpulse.functions.text import terms, word_line
 from townpulse.scale import attach
 
 # Document-frequency cuts of the vectoriser and list lengths (fixed).
@@ -36,10 +36,9 @@ def tfidf(
     once; counting, weighting and the norm then need no further shuffle as long as
     the vocabulary is small enough to be sent along. Runs the vocabulary.
     """
-    tokens = docs.select(key, drop_words(terms(text), list(stop)).alias("_terms"))
     total = docs.agg(F.count("*").alias("n")).scalar()
     vocabulary = (
-        tokens.select(F.explode(F.array_distinct("_terms")).alias("term"))
+        docs.select(F.explode(F.array_distinct(terms(text, stop))).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("_df"))
         .withColumn("_all", total)
@@ -47,8 +46,11 @@ def tfidf(
         .select("term", (F.ln((1 + F.col("_all")) / (1 + F.col("_df"))) + 1).alias("_idf"))
     )
     counts = (
-        tokens.repartition(key)
-        .select(key, F.explode("_terms").alias("term"))
+        docs.select(key, text)
+        .repartition(key)
+        # exploded in place: a named array would also be tested for emptiness, before
+        # the shuffle and at the price of splitting every text twice
+        .select(key, F.explode(terms(text, stop)).alias("term"))
         .groupBy(key, "term")
         .agg(F.count("*").alias("_tf"))
     )
@@ -69,7 +71,7 @@ def topic_term_counts(
     """
     return (
         df.filter(F.col(topic).isNotNull())
-        .select(topic, F.explode(drop_words(terms(text), list(stop))).alias("term"))
+        .select(topic, F.explode(terms(text, stop)).alias("term"))
         .groupBy(topic, "term")
         .agg(F.count("*").alias("count"))
     )

@@ -85,19 +85,20 @@ def linked_cells(cells: DataFrame, bits: int, reach: int, threshold: float) -> D
     ``threshold`` cosine.
 
     A cell offers itself to the cells a few planes away, a number of rows fixed by
-    ``bits`` and ``reach``, and an equality join keeps those that exist.
+    ``bits`` and ``reach``, and an equality join keeps those that exist. Only those
+    pairs fetch the centres.
     """
     masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(bits, reach)])
-    offers = cells.select(
-        F.col("cell").alias("a"),
-        F.col("centre").alias("_centre_a"),
-        F.explode(masks).alias("_mask"),
-    ).withColumn("b", F.col("a").bitwiseXOR(F.col("_mask")))
+    offers = cells.select(F.col("cell").alias("a"), F.explode(masks).alias("_mask")).select(
+        "a", F.col("a").bitwiseXOR(F.col("_mask")).alias("b")
+    )
     # each pair is looked at once, from its smaller cell
-    offers = offers.filter(F.col("a") < F.col("b")).drop("_mask")
-    others = cells.select(F.col("cell").alias("b"), F.col("centre").alias("_centre_b"))
+    pairs = offers.filter(F.col("a") < F.col("b")).join(
+        cells.select(F.col("cell").alias("b")), "b", "left_semi"
+    )
     near = (
-        offers.join(others, "b")
+        pairs.join(cells.select(F.col("cell").alias("a"), F.col("centre").alias("_centre_a")), "a")
+        .join(cells.select(F.col("cell").alias("b"), F.col("centre").alias("_centre_b")), "b")
         .withColumn("closeness", cosine("_centre_a", "_centre_b"))
         .filter(F.col("closeness") >= threshold)
     )
@@ -109,21 +110,23 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``cell, root``: the smallest cell each node is connected with.
 
     ``links`` (a, b) hold both directions. Every round each node takes the least
-    root among its neighbours, until nothing changes; each round is written to the
-    shared folder.
+    root among its neighbours, then the root of that root, until nothing changes;
+    each round is written to the shared folder.
     """
     roots = settle(nodes.select("cell", F.col("cell").alias("root")))
     while True:
         offered = (
-            links.join(roots.withColumnRenamed("cell", "b"), "b")
+            links.join(roots.select(F.col("cell").alias("b"), "root"), "b")
             .groupBy(F.col("a").alias("cell"))
             .agg(F.min("root").alias("_offer"))
         )
+        nearer = roots.join(offered, "cell", "left").select(
+            "cell", F.col("root").alias("_old"), F.least("root", "_offer").alias("_via")
+        )
+        onward = roots.select(F.col("cell").alias("_via"), "root")
         moved = settle(
-            roots.join(offered, "cell", "left").select(
-                "cell",
-                F.coalesce(F.least("root", "_offer"), "root").alias("root"),
-                (F.col("_offer") < F.col("root")).alias("_moved"),
+            nearer.join(onward, "_via").select(
+                "cell", "root", (F.col("root") < F.col("_old")).alias("_moved")
             )
         )
         if moved.filter("_moved").isEmpty():

@@ -19,6 +19,7 @@ from townpulse.operators.wording import (
     predict_sentiment,
     prepare,
 )
+from townpulse.scale import settle
 from townpulse.sources.feeds import read_posts
 from townpulse.sources.tables import date_time_of, read_table, write_table
 
@@ -83,9 +84,8 @@ def text_vectors(df: DataFrame, dims: int, text: str = "cleaned", out: str = "ve
     scaled = Normalizer(inputCol="_idf", outputCol="_unit").transform(weighed)
     mean = scaled.select(vector_to_array(Summarizer.mean(F.col("_unit"))).alias("m")).scalar()
     arrays = scaled.withColumn("_array", vector_to_array("_unit")).withColumn("_mean", mean)
-    return arrays.withColumn(out, F.zip_with("_array", "_mean", lambda x, m: x - m)).select(
-        *df.columns, out
-    )
+    centred = F.zip_with("_array", "_mean", lambda x, m: (x - m).cast("float"))
+    return arrays.select(*df.columns, centred.alias(out))
 
 
 def topic_table(
@@ -100,7 +100,8 @@ def topic_table(
     ``names`` (topic, topic_name) may bring names from elsewhere; otherwise a
     topic is named by its first words.
     """
-    vectors = text_vectors(negatives, dims)
+    # several passes follow; the words are hashed for the first one only
+    vectors = settle(text_vectors(negatives, dims))
     rows = density_topics(vectors, "row_id", "vector", dims, **options).drop("vector")
     if names is None:
         ranked = topic_terms(rows.filter(F.col("topic") != NOISE), "topic", stop=stop)

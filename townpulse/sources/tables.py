@@ -12,6 +12,7 @@ FLAT_SCHEMA = (
     "group_domain string, post_id bigint, post_date timestamp, comment_id bigint, "
     "from_id bigint, text string, comment_date timestamp"
 )
+BYTES_PER_TASK = 32 << 20
 # Words that stand for a missing text in the flat file (fixed values).
 MISSING_WORDS = [
     "",
@@ -100,8 +101,21 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
+    """Read a stored table.
+
+    Spark reads a file in pieces no smaller than a row group, so a small table may
+    come as a single task. With ``spread_by`` a table that has less than
+    ``BYTES_PER_TASK`` for each core is redistributed by that column before costly
+    work on its rows; a larger one is left as it lies.
+    """
+    rows = spark.read.parquet(path)
+    if spread_by is None:
+        return rows
+    cores = spark.sparkContext.defaultParallelism
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    size = files.agg(F.sum("length")).first()[0] or 0
+    return rows.repartition(cores, spread_by) if size < BYTES_PER_TASK * cores else rows
 
 
 def date_time_of() -> Column:
