@@ -330,6 +330,36 @@ counts AS (SELECT source, term, count(*) AS count FROM kept
            WHERE NOT regexp_full_match(term, '\p{{Nd}}+') GROUP BY ALL)
 SELECT *, round(count / max(count) OVER (PARTITION BY source), 6) AS frequency FROM counts
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY count DESC, term) <= 200""",
+    "topic_phrase_freq": rf"""WITH {TOKENS},
+plain AS (SELECT source, list_filter(ws, lambda w: length(w) >= 2
+          AND NOT regexp_full_match(w, '\p{{Nd}}+')) AS ws FROM docs),
+placed AS (SELECT source, ws[i] AS a, ws[i + 1] AS b
+           FROM (SELECT source, ws, unnest(range(1, len(ws))) AS i FROM plain)),
+pairs AS (SELECT source, a, b, count(*) AS n12 FROM placed
+          WHERE a NOT IN ({_words(P.STOP)}) AND b NOT IN ({_words(P.STOP)}) GROUP BY ALL),
+words AS (SELECT source, term, count(*) AS n FROM kept
+          WHERE NOT regexp_full_match(term, '\p{{Nd}}+') GROUP BY ALL),
+totals AS (SELECT source, sum(n) AS t FROM words GROUP BY source),
+joined AS (SELECT p.*, x.n::DOUBLE AS c1, y.n::DOUBLE AS c2, t::DOUBLE AS t FROM pairs p
+           JOIN words x ON x.source = p.source AND x.term = a
+           JOIN words y ON y.source = p.source AND y.term = b JOIN totals s ON s.source = p.source),
+chance AS (SELECT *, greatest(c2 / t, 1e-10) AS p, greatest(1 - c2 / t, 1e-10) AS q,
+                  greatest(n12 / c1, 1e-10) AS p1, greatest(1 - n12 / c1, 1e-10) AS q1,
+                  greatest((c2 - n12) / (t - c1), 1e-10) AS p2,
+                  greatest(1 - (c2 - n12) / (t - c1), 1e-10) AS q2 FROM joined WHERE t > c1 AND t > c2),
+phrases AS (SELECT source, a, b, n12 FROM chance
+            WHERE -2 * (ln(p) * n12 + ln(q) * (c1 - n12) + ln(p) * (c2 - n12)
+                        + ln(q) * (t - c1 - c2 + n12) - ln(p1) * n12 - ln(q1) * (c1 - n12)
+                        - ln(p2) * (c2 - n12) - ln(q2) * (t - c1 - c2 + n12)) > 30),
+taken AS (SELECT source, w, sum(n12) AS n FROM (SELECT source, unnest([a, b]) AS w, n12 FROM phrases)
+          GROUP BY ALL),
+left_over AS (SELECT w.source, w.term, w.n - coalesce(k.n, 0) AS n FROM words w
+              LEFT JOIN taken k ON k.source = w.source AND k.w = w.term),
+final AS (SELECT source, term, n FROM left_over WHERE n > 0
+          UNION ALL SELECT source, a || ' ' || b, n12 FROM phrases)
+SELECT source, term, CAST(n AS BIGINT) AS count,
+       round(n / max(n) OVER (PARTITION BY source), 6) AS frequency FROM final
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, term) <= 200""",
     "topic_terms": f"""{term_counts()}
 SELECT source, rank, term, round(weight, 6) AS weight FROM ranked WHERE rank <= 10""",
     "topic_terms_normalised": f"""{term_counts(' / words')}

@@ -436,6 +436,12 @@ def topic_word_freq(spark, folder):
     return words.withColumn("frequency", F.round("frequency", 6))
 
 
+@query
+def topic_phrase_freq(spark, folder):
+    words = terms.phrase_frequencies(documents(spark, folder), "source", stop=P.STOP)
+    return words.withColumn("frequency", F.round("frequency", 6))
+
+
 @query
 def topic_terms(spark, folder):
     ranked = terms.topic_terms(documents(spark, folder), "source", stop=P.STOP)

@@ -105,3 +105,22 @@ def test_no_topic_or_word_is_gathered_whole(spark, tmp_path):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "partial_count(1)" in plan and "WindowGroupLimit" in plan and "collect_list" not in plan
+
+
+def test_phrases_take_their_words_with_them(spark):
+    rows = [(i, "a", "горячая вода нет") for i in range(30)] + [(i, "a", f"слово{i} вода раз") for i in range(30, 200)]
+    docs = spark.createDataFrame(rows, "id bigint, topic string, cleaned string")
+    found = {r.term: r["count"] for r in T.phrase_frequencies(docs, "topic", stop=["нет"]).collect()}
+    assert found["горячая вода"] == 30
+    assert "горячая" not in found
+    # the rest of "вода" went into the phrase with the other frequent neighbour
+    assert found["вода раз"] == 170 and "вода" not in found and "вода нет" not in found
+
+
+def test_likelihood_ratio_of_independent_words_is_small(spark):
+    row = spark.range(1).select(
+        T.likelihood_ratio(F.lit(25), F.lit(50), F.lit(50), F.lit(100)).alias("even"),
+        T.likelihood_ratio(F.lit(50), F.lit(50), F.lit(50), F.lit(100)).alias("tied"),
+        T.likelihood_ratio(F.lit(5), F.lit(100), F.lit(5), F.lit(100)).alias("only"),
+    ).first()
+    assert abs(row.even) < 1e-9 and row.tied > 100 and row.only == 0.0

@@ -17,6 +17,8 @@ MIN_DF = 10
 MAX_DF = 0.9
 TERMS_PER_TOPIC = 10
 CLOUD_WORDS = 200
+# Likelihood ratio above which two neighbouring words are a phrase (fixed).
+PHRASE_THRESHOLD = 30.0
 # Topics listed and named: ids 0 to 45 (fixed).
 LAST_LISTED_TOPIC = 45
 
@@ -93,6 +95,87 @@ def word_frequencies(
     return cloud(counts.filter(~F.col("term").rlike(r"^\p{Nd}+$")), topic, count)
 
 
+def likelihood_ratio(both, first, second, total) -> Column:
+    """Dunning's (1993) log-likelihood ratio of two words standing next to each other."""
+
+    def fit(hits: Column, tries: Column, chance: Column) -> Column:
+        tiny = F.lit(1e-10)
+        return F.ln(F.greatest(chance, tiny)) * hits + F.ln(F.greatest(1 - chance, tiny)) * (
+            tries - hits
+        )
+
+    alone = second - both
+    rest = total - first
+    ratio = (
+        fit(both, first, second / total)
+        + fit(alone, rest, second / total)
+        - fit(both, first, both / first)
+        - fit(alone, rest, F.try_divide(alone, rest))
+    )
+    return F.when((total <= first) | (total <= second), 0.0).otherwise(-2 * ratio)
+
+
+def phrase_frequencies(
+    df: DataFrame,
+    topic: str,
+    text: str = "cleaned",
+    stop: list[str] = (),
+    count: int = CLOUD_WORDS,
+    threshold: float = PHRASE_THRESHOLD,
+) -> DataFrame:
+    """``topic, term, count, frequency`` as ``word_frequencies``, with two-word phrases.
+
+    Neighbouring words of a text, neither of them a stop word, are a phrase where
+    their likelihood ratio in the topic is above ``threshold``. Occurrences of a
+    phrase are taken off the counts of its words. Pairs are counted before they
+    meet the word counts, so the joins see each pair of a topic once.
+    """
+    plain = r"^\p{Nd}+$"
+    named = df.filter(F.col(topic).isNotNull())
+    words = topic_term_counts(df, topic, text, stop).filter(~F.col("term").rlike(plain))
+
+    def neighbours(tokens: Column) -> Column:
+        zipped = F.arrays_zip(tokens.alias("w"), F.slice(tokens, F.lit(2), F.size(tokens)).alias("x"))
+        usable = F.filter(zipped, lambda z: z["x"].isNotNull())
+        if not stop:
+            return usable
+        listed_words = list(stop)
+        return F.filter(
+            usable, lambda z: ~z["w"].isin(listed_words) & ~z["x"].isin(listed_words)
+        )
+
+    tokens = F.filter(terms(text), lambda w: ~w.rlike(plain))
+    pairs = (
+        named.select(topic, F.explode(F.transform(F.array(tokens), neighbours)[0]).alias("z"))
+        .select(topic, F.col("z.w").alias("_w1"), F.col("z.x").alias("_w2"))
+        .groupBy(topic, "_w1", "_w2")
+        .agg(F.count("*").alias("count"))
+    )
+    total = words.groupBy(topic).agg(F.sum("count").alias("_n"))
+    first = words.select(topic, F.col("term").alias("_w1"), F.col("count").alias("_c1"))
+    second = words.select(topic, F.col("term").alias("_w2"), F.col("count").alias("_c2"))
+    score = likelihood_ratio(F.col("count"), F.col("_c1"), F.col("_c2"), F.col("_n"))
+    phrases = (
+        pairs.join(first, [topic, "_w1"])
+        .join(second, [topic, "_w2"])
+        .join(total, topic)
+        .filter(score > threshold)
+        .select(topic, "_w1", "_w2", "count")
+    )
+    taken = (
+        phrases.select(topic, F.explode(F.array("_w1", "_w2")).alias("term"), "count")
+        .groupBy(topic, "term")
+        .agg(F.sum("count").alias("_taken"))
+    )
+    left = words.join(taken, [topic, "term"], "left").select(
+        topic, "term", (F.col("count") - F.coalesce("_taken", F.lit(0))).alias("count")
+    )
+    both = left.filter(F.col("count") > 0).unionByName(
+        phrases.select(topic, F.concat_ws(" ", "_w1", "_w2").alias("term"), "count")
+    )
+    return cloud(both, topic, count)
+
+
 def cloud(counts: DataFrame, topic: str, count: int = CLOUD_WORDS) -> DataFrame:
     """The ``count`` largest rows of each topic, scaled to the largest."""
     best = W.partitionBy(topic).orderBy(F.desc("count"), F.asc("term"))

@@ -211,7 +211,8 @@ def density_topics(
     topics = placed.join(number_by_size(groups, "root", "size", "first_key"), "root", "left")
     of_cell = topics.select("cell", "topic")
     rows = df.drop("topic").withColumn("cell", cell_of(vector, dims, bits))
-    return attach(rows, of_cell, ["cell"], "left").select(
+    # cells are few enough to be sent along whatever the number of rows
+    return attach(rows, of_cell, ["cell"], "left", max_rows=1 << MAX_BITS).select(
         *[c for c in rows.columns if c != "cell"],
         F.coalesce("topic", F.lit(NOISE).cast("bigint")).alias("topic"),
     )

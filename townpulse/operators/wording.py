@@ -142,9 +142,9 @@ def train_sentiment(
     examples: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 16
 ) -> PipelineModel:
     """Fit a classifier of hashed TF-IDF words to labelled ``examples``. Runs jobs."""
-    ready = examples.select(
-        terms(clean_text(text)).alias("_words"), F.col(label).alias("_given")
-    ).na.drop()
+    words_of = terms(clean_text(text)).alias("_words")
+    # every stage goes over the examples again; their words are made once
+    ready = settle(examples.select(words_of, F.col(label).alias("_given")).na.drop())
     stages = [
         StringIndexer(inputCol="_given", outputCol="_target", stringOrderType="alphabetAsc"),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
