@@ -86,3 +86,28 @@ FROM documents d LEFT JOIN lines USING (doc_id)
 
 
 ORACLES["op6_secret_scan"] = _scan_sql()
+
+ORACLES["op7_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i+49], ' ') AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w)
+),
+bad AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM windows)
+  WHERE least < doc_id
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM bad),
+left_over AS (
+  SELECT doc_id, count(g.i) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE g.i IS NULL), '') AS kept
+  FROM (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM w)
+  LEFT JOIN gone g USING (doc_id, i)
+  GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+       coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN left_over USING (doc_id)
+"""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townpulse.llm import secret_scan, token_counts, url_filters
+from townpulse.llm import secret_scan, substring_dedup, token_counts, url_filters
 from townpulse.scale import shared_path
 from townpulse.session import apply_settings
 
@@ -81,3 +81,11 @@ def op8_token_counts(spark, folder):
 def op9_url_filters(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     return url_filters.judge_urls(pages, url_rules(spark))
+
+
+@query
+def op7_substring_dedup(spark, folder):
+    found = substring_dedup.remove_repeats(documents(spark, folder))
+    return found.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256")
+    )
