@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,69 @@ def join_sized(
     small = table.count() <= max_rows
     table = F.broadcast(table) if small else table.hint("merge")
     return rows.join(table, F.col(key).eqNullSafe(F.col("_key")), how).drop("_key")
+
+
+# Bits in a piece of a bitmap, as ``bitmap_construct_agg`` makes them.
+PIECE_BITS = 15
+
+
+def repeated_bits(pairs: DataFrame, value: str, owner: str, bits: int = 26) -> np.ndarray:
+    """A bitmap of 2^bits bits with those of the values that at least two owners have.
+
+    Its size is fixed, so it may be sent to every executor; a full bitmap only lets more through.
+    """
+    slot = F.pmod(value, F.lit(1 << bits))
+    pieces = (
+        pairs.groupBy(value)
+        .agg(F.min(owner).alias("a"), F.max(owner).alias("b"))
+        .where("a < b")
+        .select(F.shiftright(slot, PIECE_BITS).alias("piece"), (slot % (1 << PIECE_BITS)).alias("bit"))
+        .groupBy("piece")
+        .agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits"))
+        .collect()
+    )
+    out = np.zeros((1 << bits) >> 3, np.uint8)
+    size = (1 << PIECE_BITS) >> 3
+    for row in pieces:
+        out[row.piece * size : (row.piece + 1) * size] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def has_bit(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the bits of unsigned 64-bit values are set."""
+    slot = values & np.uint64(len(bitmap) * 8 - 1)
+    byte = bitmap[(slot >> np.uint64(3)).astype(np.int64)]
+    return ((byte >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for all nodes of links (a, b); the root is the least node that links reach.
+
+    Large and small stars by turns: each round hangs neighbours on their least neighbour, and the
+    number of rounds grows with the logarithm of a chain's length. Every round is a written cut.
+    """
+    edges = settle(
+        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    )
+    state = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = (
+            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .where("u <> v").distinct()
+        )
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = (
+            large.join(down, "u")
+            .select(F.inline(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
+                                     F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+            .where("u <> v").distinct()
+        )
+        edges = settle(small)
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())

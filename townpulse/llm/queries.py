@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townpulse.llm import secret_scan, substring_dedup, token_counts, url_filters
+from townpulse.llm import ngram_jaccard, secret_scan, substring_dedup, token_counts, url_filters
 from townpulse.scale import shared_path
 from townpulse.session import apply_settings
 
@@ -89,3 +89,8 @@ def op7_substring_dedup(spark, folder):
     return found.select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256")
     )
+
+
+@query
+def op10_ngram_jaccard(spark, folder):
+    return ngram_jaccard.join_sets(documents(spark, folder))

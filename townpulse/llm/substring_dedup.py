@@ -27,12 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townpulse.llm.common import join_sized, kept
+from townpulse.llm.common import has_bit, join_sized, kept, repeated_bits
 from townpulse.llm.words import gram_hashes, row_slices, split_words
 
-BITMAP_BITS = 26
-# Bits in a piece of the bitmap, as ``bitmap_construct_agg`` makes them.
-PIECE_BITS = 15
 MOST_PACKS = 4000
 # A super-k-mer is cut at every multiple of this many windows of its document.
 LONGEST_RUN = 256
@@ -98,25 +95,6 @@ def minimisers(docs: DataFrame, key: str, text: str, width: int, gram: int) -> D
     )
 
 
-def repeated_bits(headers: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A bitmap of 2^bits bits with those of the minimisers that several ids have."""
-    slot = F.pmod("minimiser", F.lit(1 << bits))
-    pieces = (
-        headers.groupBy("minimiser")
-        .agg(F.min("id").alias("a"), F.max("id").alias("b"))
-        .where("a < b")
-        .select(F.shiftright(slot, PIECE_BITS).alias("piece"), (slot % (1 << PIECE_BITS)).alias("bit"))
-        .groupBy("piece")
-        .agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits"))
-        .collect()
-    )
-    out = np.zeros((1 << bits) >> 3, np.uint8)
-    size = (1 << PIECE_BITS) >> 3
-    for row in pieces:
-        out[row.piece * size : (row.piece + 1) * size] = np.frombuffer(row.bits, np.uint8)
-    return out
-
-
 def packed_super_kmers(
     docs: DataFrame, bitmap: np.ndarray, key: str, text: str, width: int, gram: int
 ) -> DataFrame:
@@ -127,7 +105,6 @@ def packed_super_kmers(
         import xxhash
 
         bits = shared.value
-        mask = np.uint64(len(bits) * 8 - 1)
         for batch in batches:
             for part in row_slices(batch, 2):
                 flat = pa.array(
@@ -136,9 +113,7 @@ def packed_super_kmers(
                 )
                 words = split_words(flat)
                 runs = super_kmers(words, width, gram)
-                slot = runs.minimiser & mask
-                byte = bits[(slot >> np.uint64(3)).astype(np.int64)]
-                hit = np.flatnonzero((byte >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
+                hit = np.flatnonzero(has_bit(bits, runs.minimiser))
                 data = memoryview(words.data)
                 packs = [
                     bytes(data[a:b])
@@ -282,7 +257,7 @@ def repeated_ranges(
     docs: DataFrame, key: str, text: str, width: int, gram: int, buckets: int | None
 ) -> DataFrame:
     """(row, ranges): word ranges, end exclusive, of each row that smaller ids have too."""
-    bitmap = repeated_bits(minimisers(docs, key, text, width, gram))
+    bitmap = repeated_bits(minimisers(docs, key, text, width, gram), "minimiser", "id")
     packs = kept(packed_super_kmers(docs, bitmap, key, text, width, gram), "super-kmers")
     distinct = packs.groupBy("minimiser", "digest").agg(
         F.first("packed").alias("packed"), F.min("id").alias("least")
