@@ -9,7 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townpulse.llm import ngram_jaccard, secret_scan, substring_dedup, token_counts, url_filters
+from townpulse.llm import (
+    ngram_jaccard,
+    secret_scan,
+    spot_signatures,
+    substring_dedup,
+    token_counts,
+    url_filters,
+)
 from townpulse.scale import shared_path
 from townpulse.session import apply_settings
 
@@ -94,3 +101,8 @@ def op7_substring_dedup(spark, folder):
 @query
 def op10_ngram_jaccard(spark, folder):
     return ngram_jaccard.join_sets(documents(spark, folder))
+
+
+@query
+def op3_spot_signatures(spark, folder):
+    return spot_signatures.compare_with_next(documents(spark, folder))
