@@ -3,8 +3,8 @@
 At every common word (an anchor) a signature starts: the anchor and the chain of the next content
 words. A signature's second, third, ... occurrence counts as another one, so that fingerprints are sets
 that stand for multisets; they are written as 48-bit numbers, sorted, in base 64. Common words are
-seldom part of menus, code or tables, so the signatures follow the running text. In texts with very few
-of them every word is an anchor.
+seldom part of menus, code or tables, so the signatures follow the running text. Where the last
+``STRETCH`` words held none, every word is an anchor.
 
 ``near_pairs`` finds all pairs of fingerprints at or above a similarity: equal ones are one class,
 sets are partitioned by length so that a set meets only its own and the next shorter partition, and
@@ -48,8 +48,8 @@ ANCHORS = (
 ).split()
 
 SIGNATURE_BITS = 48
-# A text with fewer signatures at common words takes chains from all its words.
-FEW_SIGNATURES = 8
+# After so many words without a common word each word starts a signature; so do the first words.
+STRETCH = 8
 _MASK = np.uint64((1 << SIGNATURE_BITS) - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,15 +86,16 @@ def signature_sets(texts: list[str], anchors: np.ndarray, chain: int) -> list[np
     found = split_words(pa.array(texts, pa.string()), MARKS, LOWER)
     words, first = found.hashes, found.first
     is_anchor = np.isin(words, anchors)
-    owner, value = chains(words, first, np.flatnonzero(is_anchor), np.flatnonzero(~is_anchor), chain)
+    place = np.arange(len(words))
+    last = np.maximum.accumulate(np.where(is_anchor, place, -1)) if len(words) else place
+    begin = np.repeat(first[:-1], np.diff(first))
+    spots = np.flatnonzero(is_anchor | (last < begin) | (place - last >= STRETCH))
+    owner, value = chains(words, first, spots, np.flatnonzero(~is_anchor), chain)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     out = []
     for i, text in enumerate(texts):
         own = value[bounds[i] : bounds[i + 1]]
         body = words[first[i] : first[i + 1]]
-        if len(own) < FEW_SIGNATURES:
-            every = np.arange(len(body))
-            own = np.append(own, chains(body, np.array([0, len(body)]), every, every, chain)[1])
         if not len(own) and text:
             own = np.array([xxhash.xxh3_64_intdigest(body.tobytes() or text.encode())], np.uint64)
         out.append(numbered(own))
