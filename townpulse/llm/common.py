@@ -45,17 +45,16 @@ def join_sized(
 PIECE_BITS = 15
 
 
-def repeated_bits(pairs: DataFrame, value: str, owner: str, bits: int = 26) -> np.ndarray:
-    """A bitmap of 2^bits bits with those of the values that at least two owners have.
+def bits_of(values: DataFrame, value: str, bits: int = 26) -> np.ndarray:
+    """A bitmap of 2^bits bits with those of all values of a bigint column.
 
     Its size is fixed, so it may be sent to every executor; a full bitmap only lets more through.
     """
     slot = F.pmod(value, F.lit(1 << bits))
     pieces = (
-        pairs.groupBy(value)
-        .agg(F.min(owner).alias("a"), F.max(owner).alias("b"))
-        .where("a < b")
-        .select(F.shiftright(slot, PIECE_BITS).alias("piece"), (slot % (1 << PIECE_BITS)).alias("bit"))
+        values.select(
+            F.shiftright(slot, PIECE_BITS).alias("piece"), (slot % (1 << PIECE_BITS)).alias("bit")
+        )
         .groupBy("piece")
         .agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits"))
         .collect()
@@ -67,6 +66,12 @@ def repeated_bits(pairs: DataFrame, value: str, owner: str, bits: int = 26) -> n
     return out
 
 
+def repeated_bits(pairs: DataFrame, value: str, owner: str, bits: int = 26) -> np.ndarray:
+    """The bitmap of the values that at least two owners have."""
+    several = pairs.groupBy(value).agg(F.min(owner).alias("a"), F.max(owner).alias("b")).where("a < b")
+    return bits_of(several, value, bits)
+
+
 def has_bit(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether the bits of unsigned 64-bit values are set."""
     slot = values & np.uint64(len(bitmap) * 8 - 1)

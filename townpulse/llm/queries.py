@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townpulse.llm import (
+    decontamination,
     ngram_jaccard,
     secret_scan,
     spot_signatures,
@@ -106,3 +107,9 @@ def op10_ngram_jaccard(spark, folder):
 @query
 def op3_spot_signatures(spark, folder):
     return spot_signatures.compare_with_next(documents(spark, folder))
+
+
+@query
+def op2_decontamination(spark, folder):
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return decontamination.find_leaks(documents(spark, folder), benchmark)
