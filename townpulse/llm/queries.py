@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from townpulse.llm import (
     decontamination,
+    merge_dropout,
     ngram_jaccard,
     secret_scan,
     spot_signatures,
@@ -113,3 +114,11 @@ def op3_spot_signatures(spark, folder):
 def op2_decontamination(spark, folder):
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
     return decontamination.find_leaks(documents(spark, folder), benchmark)
+
+
+@query
+def op1_merge_dropout(spark, folder):
+    encoded = merge_dropout.encode(
+        documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "lossless")
