@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from townpulse.llm import (
     decontamination,
+    language_id,
     merge_dropout,
     ngram_jaccard,
     secret_scan,
@@ -122,3 +123,16 @@ def op1_merge_dropout(spark, folder):
         documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model")
     )
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "lossless")
+
+
+def remainder(key: str, parts: int):
+    """crc32 of the id as text, modulo ``parts``."""
+    return F.crc32(F.col(key).cast("string")) % parts
+
+
+@query
+def op4_language_id(spark, folder):
+    docs = documents(spark, folder)
+    found = language_id.identify(docs, remainder("doc_id", 4) != 2)
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
