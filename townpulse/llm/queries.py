@@ -18,6 +18,7 @@ from townpulse.llm import (
     spot_signatures,
     substring_dedup,
     token_counts,
+    toxicity,
     url_filters,
 )
 from townpulse.scale import shared_path
@@ -136,3 +137,12 @@ def op4_language_id(spark, folder):
     found = language_id.identify(docs, remainder("doc_id", 4) != 2)
     held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_toxicity(spark, folder):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    scored = toxicity.score_documents(documents(spark, folder), labels, remainder("doc_id", 5) != 0)
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted)
