@@ -8,8 +8,8 @@ logistic curve fitted on documents of the sample.
 
 The network is trained on the driver, in numpy, by backpropagation through time, on a bounded sample:
 of each label the ``docs_per_label`` documents whose ids have the smallest hashes, and of each of these
-at most three windows: those with the word that tells most for toxicity, and one at random where the
-label is 0. Scoring sees nothing but the text.
+at most two windows: the one with the word that tells most for toxicity, then the one the network itself
+rates highest, and where the label is 0 one more at random. Scoring sees nothing but the text.
 
 Defined cases: null and empty texts are one empty window and get a score like any other. Labels without
 a document, or null ones, teach nothing; with several labels for an id the highest counts. Without
@@ -172,26 +172,22 @@ def index_windows(words: Words, place: np.ndarray, distinct: int) -> tuple[np.nd
     return owner, np.where(inside, place[np.minimum(at, len(place) - 1)], distinct).astype(np.intp)
 
 
-def train(
-    windows: list[bytes],
-    labels: np.ndarray,
-    vocabulary: np.ndarray,
-    odds: np.ndarray,
-    *,
-    hidden: int = 8,
-    epochs: int = 5,
-    batch: int = 128,
-    rate: float = 0.01,
-    unknown: float = 0.25,
-    seed: int = 7,
+def new_network(
+    windows: list[bytes], labels: np.ndarray, vocabulary: np.ndarray, odds: np.ndarray, hidden: int, rng
 ) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Trigrams and the network's arrays; ``odds`` start the first number of the words' vectors."""
-    rng = np.random.default_rng(seed)
+    """Trigrams of the windows, and arrays to start from."""
     words = split_words(pa.array(windows, pa.binary()), MARKS, LOWER)
     codes, _ = trigram_codes(words, np.arange(len(words.starts)))
     values, counts = np.unique(codes, return_counts=True)
     trigrams = np.sort(values[np.argsort(-counts, kind="stable")[:TRIGRAMS]])
     reader = Reader(vocabulary, trigrams)
+    # In how many windows of each label a trigram stands.
+    window = np.repeat(np.arange(len(windows)), np.diff(words.first))
+    of_word = np.repeat(window, words.ends - words.starts)
+    pairs = np.unique(np.stack([reader.known[codes], of_word]), axis=1)
+    ones = np.bincount(pairs[0], weights=labels[pairs[1]], minlength=len(trigrams) + 1)
+    zeros = np.bincount(pairs[0], weights=1 - labels[pairs[1]], minlength=len(trigrams) + 1)
+    tells = np.log((ones + 1) / (labels.sum() + 2)) - np.log((zeros + 1) / ((1 - labels).sum() + 2))
 
     def normal(*shape: int) -> np.ndarray:
         return rng.normal(0, 0.3, shape).astype(np.float32)
@@ -199,11 +195,36 @@ def train(
     model = {"words": normal(len(vocabulary) + 1, SIZE) / 3, "trigrams": normal(len(trigrams) + 1, SIZE)}
     model["words"][1:, 0] += odds.astype(np.float32) / 3
     model["words"][0] = 0
+    model["trigrams"][:, 0] += tells.astype(np.float32)
     for d in ("ahead", "back"):
         model[f"in_{d}"], model[f"weights_{d}"] = normal(2 * SIZE, 3 * hidden), normal(hidden, 3 * hidden)
         model[f"bias_{d}"] = np.zeros(3 * hidden, np.float32)
     model["tune"], model["point"], model["out"] = normal(2 * hidden, hidden), normal(hidden), normal(2 * hidden)
     model["bias"] = np.zeros(1, np.float32)
+    return trigrams, model
+
+
+def train(
+    windows: list[bytes],
+    labels: np.ndarray,
+    vocabulary: np.ndarray,
+    odds: np.ndarray,
+    *,
+    hidden: int = 8,
+    epochs: int = 5,
+    batch: int = 128,
+    rate: float = 0.01,
+    unknown: float = 0.5,
+    seed: int = 7,
+    start: tuple[np.ndarray, dict[str, np.ndarray]] | None = None,
+) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Trigrams and the network's arrays; ``odds`` start the first number of the words' vectors.
+
+    With ``start`` training goes on from an earlier result.
+    """
+    rng = np.random.default_rng(seed)
+    trigrams, model = start or new_network(windows, labels, vocabulary, odds, hidden, rng)
+    reader = Reader(vocabulary, trigrams)
     adam = Adam(model, rate)
     for epoch in range(epochs):
         order = rng.permutation(len(windows))
@@ -221,16 +242,23 @@ def train(
     return trigrams, model
 
 
-def highest_logits(model: dict, reader: Reader, texts: pa.Array) -> np.ndarray:
-    """The highest window logit of each text."""
-    words = split_words(texts, MARKS, LOWER)
+def window_logits(model: dict, reader: Reader, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Text and logit of every window."""
     place, rows, trigrams, begin = reader.look(words)
     vectors = word_vectors(model, rows, trigrams, begin)
     owner, index = index_windows(words, place, len(rows))
+    logits = [
+        read_windows(model, vectors, np.ascontiguousarray(index[:, at : at + 4096]))["logits"]
+        for at in range(0, len(owner), 4096)
+    ]
+    return owner, np.concatenate([*logits, np.zeros(0)])
+
+
+def highest_logits(model: dict, reader: Reader, texts: pa.Array) -> np.ndarray:
+    """The highest window logit of each text."""
+    owner, logits = window_logits(model, reader, split_words(texts, MARKS, LOWER))
     best = np.full(len(texts), -np.inf)
-    for at in range(0, len(owner), 4096):
-        logits = read_windows(model, vectors, np.ascontiguousarray(index[:, at : at + 4096]))["logits"]
-        np.maximum.at(best, owner[at : at + 4096], logits)
+    np.maximum.at(best, owner, logits)
     return best
 
 
@@ -268,7 +296,7 @@ def telling_words(sample: DataFrame, label: str, text: str) -> tuple[np.ndarray,
         .mapInArrow(words_of, "word bigint, label int")
         .groupBy("word")
         .agg(F.log((n1 + 0.5) / (ones + 1.0)).alias("a"), F.log((n0 + 0.5) / (zeros + 1.0)).alias("b"), F.count("*").alias("n"))
-        .where("n >= 2")
+        .where("n >= 4")
         .select("word", (F.col("a") - F.col("b")).alias("odds"), "n")
         .orderBy(F.desc(F.abs("odds") * F.sqrt("n")), "word")
         .limit(VOCABULARY)
@@ -279,25 +307,29 @@ def telling_words(sample: DataFrame, label: str, text: str) -> tuple[np.ndarray,
     return hashes[order], np.array([r.odds for r in rows], float)[order]
 
 
-def training_windows(sample: DataFrame, label: str, text: str, telling) -> list[tuple[int, bytes]]:
-    """(label, words) of the windows to learn from."""
+def training_windows(sample: DataFrame, label: str, text: str, telling, network=None) -> list[tuple[int, bytes]]:
+    """(label, words) of the windows to learn from: by their words' odds, or by a trained network."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, odds = telling.value
+        reader = Reader(vocabulary, network.value[1]) if network else None
         for batch in batches:
             labels, windows = [], []
             for mark, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = split_words(pa.array([body or ""], pa.string()), MARKS, LOWER)
                 if not len(words.starts):
                     continue
-                at = np.minimum(np.searchsorted(vocabulary, words.hashes), len(vocabulary) - 1)
-                tells = np.where(vocabulary[at] == words.hashes, odds[at], 0.0)
-                _, start = window_starts(np.array([len(tells)]))
-                highest = np.array([tells[s : s + WIDTH].max(initial=-9.0) for s in start.tolist()])
+                _, start = window_starts(np.diff(words.first))
+                if network:
+                    _, highest = window_logits(network.value[2], reader, words)
+                else:
+                    at = np.minimum(np.searchsorted(vocabulary, words.hashes), len(vocabulary) - 1)
+                    tells = np.where(vocabulary[at] == words.hashes, odds[at], 0.0)
+                    highest = np.array([tells[s : s + WIDTH].max(initial=-9.0) for s in start.tolist()])
                 order = np.argsort(-highest, kind="stable")
-                pick = order[:2].tolist() if mark else [order[0], zlib.crc32(body.encode()) % len(start)]
-                for i in set(pick):
-                    last = min(start[i] + WIDTH, len(tells))
+                pick = order[:1] if mark else [order[0], zlib.crc32(body.encode()) % len(start)]
+                for i in {int(i) for i in pick}:
+                    last = min(start[i] + WIDTH, len(words.starts))
                     labels.append(mark)
                     windows.append(words.data[words.starts[start[i]] : words.ends[last - 1]].tobytes())
             yield pa.record_batch(
@@ -330,7 +362,7 @@ def score_documents(
     key: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    docs_per_label: int = 1500,
+    docs_per_label: int = 2500,
 ) -> DataFrame:
     """``key`` and score of every row; only labels of rows that satisfy ``learn`` are learned from."""
     marks = (
@@ -349,9 +381,12 @@ def score_documents(
         return docs.select(key, F.lit(0.0).alias("score"))
     context = docs.sparkSession.sparkContext
     telling = telling_words(sample, label, text)
-    windows = training_windows(sample, label, text, context.broadcast(telling))
-    trigrams, model = train([w for _, w in windows], np.array([m for m, _ in windows]), *telling)
-    network = context.broadcast((telling[0], trigrams, model))
+    shared, network, found = context.broadcast(telling), None, None
+    # First by the words' odds, then once by what the network itself finds most toxic.
+    for _ in range(2):
+        windows = training_windows(sample, label, text, shared, network)
+        found = train([w for _, w in windows], np.array([m for m, _ in windows]), *telling, start=found)
+        network = context.broadcast((telling[0], *found))
     known = logits_of(sample.select(key, text), network, key, text).join(sample.select(key, label), key).collect()
     slope, shift = fit_curve(
         np.array([r.logit for r in known]), np.array([r[label] for r in known], float)
