@@ -1,9 +1,11 @@
 """Token counts with a cache keyed by content digest and tokenizer digest.
 
-The normalised content of a text is the text with each run of ASCII white space as one space, none at
-the ends. The vocabulary here treats white space between tokens as nothing but a boundary, so equal
-normalised contents have equal counts. The key of a count is the SHA-256 of that content together with
-the SHA-256 of the tokenizer file. Contents without a stored count are encoded once each and appended.
+For a tokenizer that drops white space (``drops_space``) the normalised content of a text has each run
+of ASCII white space as one space and none at the ends: white space only parts tokens there, so equal
+normalised contents have equal counts, and a content has as many tokens as its words together, of which
+each task encodes every different one once. For other tokenizers the content is the text itself. The
+key of a count is the SHA-256 of the content together with the SHA-256 of the tokenizer file. Contents
+without a stored count are encoded once each and appended.
 
 Defined cases: a null text counts as empty and has 0 tokens. Equal rows are each returned. An empty
 table gives no rows and appends nothing. Only the id and the text column are read.
@@ -27,14 +29,13 @@ CACHE_SCHEMA = "tokenizer string, content string, n_tokens bigint"
 MOST_TOKENIZER_BYTES = 64 << 20
 # Characters given to the encoder at once.
 SLICE_CHARS = 1 << 20
+# Words whose counts a task remembers.
+KNOWN_WORDS = 1 << 20
 
 
-def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-
-
-def content_digest(text: Column) -> Column:
-    return F.sha2(normalised(text), 256)
+def normalised(text: Column, drops_space: bool) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")) if drops_space else text
 
 
 def tokenizer_digest(data: bytes) -> str:
@@ -50,7 +51,7 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return stored.groupBy("tokenizer", "content").agg(F.first("n_tokens").alias("n_tokens"))
 
 
-def encode_counts(texts: DataFrame, tokenizer: bytes) -> DataFrame:
+def encode_counts(texts: DataFrame, tokenizer: bytes, drops_space: bool) -> DataFrame:
     """content, n_tokens for rows of content and text."""
     shared = texts.sparkSession.sparkContext.broadcast(tokenizer)
 
@@ -61,11 +62,22 @@ def encode_counts(texts: DataFrame, tokenizer: bytes) -> DataFrame:
         encoder = Tokenizer.from_str(shared.value.decode())
         encoder.no_padding()
         encoder.no_truncation()
+
+        def encoded(pieces: list[str]) -> list[int]:
+            return [len(e) for e in encoder.encode_batch_fast(pieces, add_special_tokens=False)]
+
+        known: dict[str, int] = {}
         for batch in batches:
             lengths = []
             for chunk in slices(batch.column(1).to_pylist()):
-                found = encoder.encode_batch_fast(chunk, add_special_tokens=False)
-                lengths += [len(one) for one in found]
+                if not drops_space:
+                    lengths += encoded(chunk)
+                    continue
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                new = list(set(" ".join(chunk).split(" ")).difference(known))
+                known.update(zip(new, encoded(new), strict=True))
+                lengths += [sum(map(known.__getitem__, text.split(" "))) for text in chunk]
             yield pa.record_batch(
                 [batch.column(0), pa.array(lengths, pa.int64())], names=["content", "n_tokens"]
             )
@@ -93,6 +105,7 @@ def count_tokens(
     *,
     key: str = "doc_id",
     text: str = "text",
+    drops_space: bool = True,
 ) -> DataFrame:
     """``key``, n_bytes and n_tokens of every row; appends counts of new contents to the cache."""
     spark = docs.sparkSession
@@ -100,26 +113,26 @@ def count_tokens(
     if len(data) > MOST_TOKENIZER_BYTES:
         raise ValueError(f"{tokenizer_path} is larger than {MOST_TOKENIZER_BYTES} bytes")
     version = tokenizer_digest(data)
+    content = normalised(F.col(text), drops_space)
+    digest = F.sha2(content, 256).alias("content")
     # Digests once, beside the id: later joins move no texts.
     rows = kept(
         docs.select(
             F.col(key),
             F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("n_bytes"),
-            content_digest(F.col(text)).alias("content"),
+            digest,
         ),
         "digests",
     )
     stored = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
-    texts = docs.select(
-        content_digest(F.col(text)).alias("content"), normalised(F.col(text)).alias("text")
-    )
+    texts = docs.select(digest, content.alias("text"))
     # Copies meet in the task that reads them before anything is shuffled.
     missing = (
         texts.join(stored.select("content"), "content", "left_anti")
         .groupBy("content")
         .agg(F.first("text").alias("text"))
     )
-    encode_counts(missing, data).select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode(
+    encode_counts(missing, data, drops_space).select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode(
         "append"
     ).parquet(cache_path)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
