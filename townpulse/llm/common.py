@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +37,11 @@ def join_sized(
     Up to ``max_rows`` narrow rows are broadcast and ``rows`` stay where they are; more are merged,
     and adaptive execution splits hot keys. The result is the same.
     """
-    table = settle(table).withColumnRenamed(key, "_key")
+    other = f"_{uuid.uuid4().hex}"  # clashes with no column
+    table = settle(table).withColumnRenamed(key, other)
     small = table.count() <= max_rows
     table = F.broadcast(table) if small else table.hint("merge")
-    return rows.join(table, F.col(key).eqNullSafe(F.col("_key")), how).drop("_key")
+    return rows.join(table, F.col(key).eqNullSafe(F.col(other)), how).drop(other)
 
 
 # Bits in a piece of a bitmap, as ``bitmap_construct_agg`` makes them.

@@ -210,31 +210,42 @@ def identify(
     width: int = 64,
     docs_per_lang: int = 250,
     windows_per_doc: int = 4,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``key``, lang_pred and score of every row; labels of rows that satisfy ``learn`` are learned."""
+    """``key``, the columns to ``carry``, lang_pred and score of every row.
+
+    Labels of rows that satisfy ``learn`` are learned.
+    """
     names, windows, labels = training_windows(
         docs.where(learn), key, text, lang, width, docs_per_lang, windows_per_doc
     )
     model = train(windows, labels, len(names)) if names else {"bias": np.zeros(0, np.float32)}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    carried = [key, *[c for c in carry if c not in (key, "lang_pred", "score")]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch, 1, SLICE_BYTES):
-                lettered = part.column(2).to_numpy(zero_copy_only=False)
+            for part in row_slices(batch, 0, SLICE_BYTES):
+                lettered = part.column(1).to_numpy(zero_copy_only=False)
                 if names:
-                    means = document_means(shared.value, part.column(1), width)
+                    means = document_means(shared.value, part.column(0), width)
                     best = means.argmax(axis=1)
                     score = np.where(lettered, means[np.arange(len(best)), best], 0.0)
                     found = [names[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
                 else:
                     found, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 yield pa.record_batch(
-                    [part.column(0), pa.array(found, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())],
-                    names=[key, "lang_pred", "score"],
+                    [
+                        *part.columns[2:],
+                        pa.array(found, pa.string()),
+                        pa.array(np.clip(score, 0, 1), pa.float64()),
+                    ],
+                    names=[*carried, "lang_pred", "score"],
                 )
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text, has_letter(F.col(text)).alias("lettered")).mapInArrow(
-        run, f"{key} {kind}, lang_pred string, score double"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    body = F.col(text).alias("_body")
+    return docs.select(body, has_letter(F.col(text)).alias("_lettered"), *carried).mapInArrow(
+        run, f"{schema}, lang_pred string, score double"
     )

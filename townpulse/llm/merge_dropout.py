@@ -289,10 +289,10 @@ def encode(
 
     A document's variant comes from a hash of its key and the seed.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load_model(model_path))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(load_model(model_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(**shared.value)
         for batch in batches:
             for part in row_slices(batch, 1, SLICE_BYTES):
                 texts = [t or "" for t in part.column(1).to_pylist()]
@@ -322,13 +322,14 @@ def encode(
 
 def decode(encoded: DataFrame, model_path: str, *, ids: str = "ids", text: str = "text") -> DataFrame:
     """The columns of ``encoded`` with ``ids`` replaced by the decoded text, under the name ``text``."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load_model(model_path))
+    shared = encoded.sparkSession.sparkContext.broadcast(vars(load_model(model_path)))
     others = [c for c in encoded.columns if c not in (ids, text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(**shared.value)
         for batch in batches:
             rows = batch.column(len(others)).to_pylist()
-            texts = pa.array([decode_ids(i or [], shared.value) for i in rows], pa.string())
+            texts = pa.array([decode_ids(i or [], model) for i in rows], pa.string())
             yield pa.record_batch([*batch.columns[:-1], texts], names=[*others, text])
 
     kinds = {f.name: f.dataType.simpleString() for f in encoded.schema}

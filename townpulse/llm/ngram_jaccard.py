@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from townpulse.llm.common import components, has_bit, kept, repeated_bits
+from townpulse.llm.common import components, has_bit, join_sized, kept, repeated_bits
 from townpulse.llm.words import BLANKS, LOWER, gram_hashes, row_slices, split_words
 from townpulse.scale import settle
 
@@ -372,3 +372,19 @@ def join_sets(
         F.col("size").alias("n_shingles"),
         F.when(F.col("part").isNull(), F.col(key)).otherwise(F.col("least")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+    """The rows of ``docs`` without those that reach a smaller key by links.
+
+    Of rows that repeat key and text one stays; rows with a null key all stay. All columns are kept.
+    """
+    joined = join_sets(docs, key=key, text=text, words=words)
+    gone = joined.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    left = join_sized(docs, gone, key, "left_anti")
+    again = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    again = settle(again)
+    nth = F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(F.lit(0)))
+    single = join_sized(left, again, key, "left_anti")
+    several = join_sized(left, again, key, "left_semi").withColumn("_nth", nth).where("_nth = 1")
+    return single.unionByName(several.drop("_nth"))
