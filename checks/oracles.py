@@ -134,24 +134,39 @@ FLAT_OUT = """SELECT group_domain, post_id, strftime(post_date, '%Y-%m-%d %H:%M:
 comment_id, CAST(from_id AS BIGINT) AS from_id, text,
 strftime(comment_date, '%Y-%m-%d %H:%M:%S') AS comment_date FROM flat"""
 
-FEED = f"""
-posts AS (SELECT source AS group_domain, doc_id AS post_id, n_chars AS from_id, lang, text,
-                 TIMESTAMP '2024-01-01' + to_hours(doc_id) AS post_date FROM documents
-          WHERE TIMESTAMP '2024-01-01' + to_hours(doc_id)
-                BETWEEN TIMESTAMP '{P.FEED_RANGE[0]}' AND TIMESTAMP '{P.FEED_RANGE[1]}'),
+def some_without(name: str) -> str:
+    """The column, null for about one value in sixteen."""
+    return f"CASE WHEN left(md5(CAST({name} AS VARCHAR)), 1) <> '0' THEN {name} END"
+
+
+def feed_rows(low: str | None = None, high: str | None = None) -> str:
+    """The nested feed's posts, comments and flat rows, with dates within the bounds where given.
+
+    Every seventh comment has no date, and lies outside any bounds.
+    """
+    posts = f"WHERE post_date BETWEEN TIMESTAMP '{low}' AND TIMESTAMP '{high}'" if low else ""
+    answers = f"AND comment_date <= TIMESTAMP '{high}'" if low else ""
+    return f"""
+dated AS (SELECT source AS group_domain, doc_id AS post_id, n_chars AS from_id, lang, text,
+                 TIMESTAMP '2024-01-01' + to_hours(doc_id) AS post_date FROM documents),
+posts AS (SELECT * FROM dated {posts}),
 cut AS (SELECT *, string_split(text, chr(10)) AS ls FROM posts),
 lines AS (SELECT group_domain, post_id, post_date, unnest(ls) AS line,
                  unnest(range(len(ls))) AS i FROM cut),
 answers AS (SELECT group_domain, post_id, post_date, i + 1 AS comment_id,
                    CASE WHEN i % 9 <> 8 THEN post_id + i END AS from_id, line AS text,
-                   post_date + to_minutes(i) AS comment_date
+                   CASE WHEN i % 7 <> 6 THEN post_date + to_minutes(i) END AS comment_date
             FROM lines
-            WHERE line <> '' AND i % 7 <> 6
-              AND post_date + to_minutes(i) <= TIMESTAMP '{P.FEED_RANGE[1]}'),
+            WHERE line <> '' {answers}),
 flat AS (SELECT group_domain, post_id, post_date, CAST(NULL AS BIGINT) AS comment_id, from_id,
                 lang AS text, CAST(NULL AS TIMESTAMP) AS comment_date FROM posts
          UNION ALL SELECT * FROM answers)"""
 
+
+FEED = feed_rows(*P.FEED_RANGE)
+WHOLE_FEED = feed_rows()
+
+
 def term_counts(scale: str = "") -> str:
     return f"""WITH {TOKENS},
 counts AS (SELECT source, term, count(*) AS n FROM kept GROUP BY ALL),
@@ -264,27 +279,31 @@ WHERE event_type IN ('click', 'error')""",
 twice AS (SELECT group_domain FROM flat UNION ALL SELECT group_domain FROM flat)
 SELECT group_domain, count(*) AS count FROM twice GROUP BY ROLLUP (group_domain)""",
     "flatten_nested_feed": f"WITH {FEED} {FLAT_OUT}",
-    "feed_files": f"WITH {FEED} {FLAT_OUT}",
-    "stream_ingest": f"WITH {FEED} {FLAT_OUT}",
+    "feed_files": f"WITH {WHOLE_FEED} {FLAT_OUT}",
+    "stream_ingest": f"WITH {WHOLE_FEED} {FLAT_OUT}",
     "comment_window": f"""SELECT user_id AS group_domain, count(*) AS count FROM events
 WHERE {_C_RANGE} GROUP BY ALL""",
     "take_while_window": f"""WITH r AS (SELECT *, max(CASE WHEN ts < TIMESTAMP '{P.COMMENT_RANGE[0]}'
 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY value DESC, event_id
 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stopped FROM events)
 SELECT user_id AS group_domain, event_id FROM r WHERE stopped = 0 AND {_C_RANGE}""",
-    "post_cap": f"""SELECT user_id AS group_domain, event_id FROM events WHERE {_C_RANGE}
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= {P.POST_CAP}""",
+    "post_cap": f"""SELECT {some_without("user_id")} AS group_domain, event_id FROM events
+WHERE {_C_RANGE}
+QUALIFY row_number() OVER (PARTITION BY {some_without("user_id")} ORDER BY event_id) <= {P.POST_CAP}""",
     "comment_cap": f"""SELECT 'g' || (conv_id % 3) AS group_domain, conv_id AS post_id, turn
 FROM conversations WHERE turn > 0 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)
 QUALIFY row_number() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id, turn) <= {P.COMMENT_CAP}""",
-    "comment_cap_nested": f"""WITH {FEED},
-capped AS (SELECT group_domain, post_id, comment_id FROM answers
+    "comment_cap_nested": f"""WITH {WHOLE_FEED},
+named AS (SELECT {some_without("group_domain")} AS group_domain, post_id, comment_id FROM answers),
+capped AS (SELECT group_domain, post_id, comment_id FROM named
 QUALIFY row_number() OVER (PARTITION BY group_domain ORDER BY post_id, comment_id)
   <= {P.NESTED_COMMENT_CAP})
-SELECT group_domain, post_id, CAST(NULL AS BIGINT) AS comment_id FROM posts
+SELECT {some_without("group_domain")} AS group_domain, post_id, CAST(NULL AS BIGINT) AS comment_id
+FROM posts
 UNION ALL SELECT * FROM capped""",
-    "post_batches": """WITH n AS (SELECT user_id AS group_domain, event_id,
-row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number FROM events)
+    "post_batches": f"""WITH g AS (SELECT {some_without("user_id")} AS group_domain, event_id FROM events),
+n AS (SELECT group_domain, event_id,
+row_number() OVER (PARTITION BY group_domain ORDER BY event_id) AS number FROM g)
 SELECT *, CAST(ceil(number / 10) AS BIGINT) AS batch FROM n""",
     "epoch_format": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM events",
     "rows_per_group": """SELECT source, count(*) AS count FROM documents WHERE source IS NOT NULL
@@ -405,3 +424,8 @@ SELECT month_start, topic_name, count, total_comments, percent, 'актуаль
 UNION ALL SELECT month_start, topic_name, NULL, NULL, percent, 'прогноз' FROM ahead)
 SELECT *, replace(topic_name, ', ', ' - ') AS series FROM both_kinds""",
 }
+
+for _name in ("lemmatize", "lexicon_sentiment"):
+    ORACLES[f"{_name}_joined"] = (
+        f"WITH once AS ({ORACLES[_name]}) SELECT * FROM once UNION ALL SELECT * FROM once"
+    )

@@ -110,6 +110,11 @@ def document_feed(spark, folder) -> DataFrame:
     )
 
 
+def some_without(name: str):
+    """The column, null where its hash says so: about one value in sixteen."""
+    return F.when(F.left(F.md5(F.col(name).cast("string")), F.lit(1)) != "0", F.col(name))
+
+
 def conversation_posts(spark, folder) -> tuple[DataFrame, DataFrame]:
     """First turns as posts, later turns as comments; hours and minutes as dates."""
     turns = table(spark, folder, "conversations").withColumns(
@@ -243,8 +248,8 @@ def take_while_window(spark, folder):
 @query
 def post_cap(spark, folder):
     rows = trends.date_range(events(spark, folder), *P.COMMENT_RANGE)
-    levels = [ordering.seq_bucket("seq", 500)]
-    kept = ordering.keep_first(rows, "group_domain", ["seq"], P.POST_CAP, levels)
+    rows = rows.withColumn("group_domain", some_without("group_domain"))
+    kept = ordering.keep_first(rows, "group_domain", ["seq"], P.POST_CAP)
     return kept.select("group_domain", "event_id")
 
 
@@ -260,15 +265,15 @@ def comment_cap(spark, folder):
 
 @query
 def comment_cap_nested(spark, folder):
-    flat = feed.flatten(
-        document_feed(spark, folder), *P.FEED_RANGE, max_comments=P.NESTED_COMMENT_CAP, width=128
-    )
+    posts = document_feed(spark, folder).withColumn("group_domain", some_without("group_domain"))
+    flat = feed.flatten(posts, max_comments=P.NESTED_COMMENT_CAP)
     return flat.select("group_domain", "post_id", "comment_id")
 
 
 @query
 def post_batches(spark, folder):
-    rows = feed.post_batches(events(spark, folder), size=10, width=1000)
+    rows = events(spark, folder).withColumn("group_domain", some_without("group_domain"))
+    rows = feed.post_batches(rows, size=10)
     return rows.select("group_domain", "event_id", "number", "batch")
 
 
@@ -310,7 +315,7 @@ def feed_files(spark, folder):
     posts = document_feed(spark, folder)
     line = F.to_json(F.struct(*[c for c in posts.columns if c != "group_domain"]))
     posts.select("group_domain", line.alias("value")).write.partitionBy("group_domain").text(path)
-    return feed.as_text_dates(feed.flatten(feeds.read_posts(spark, path), *P.FEED_RANGE))
+    return feed.as_text_dates(feed.flatten(feeds.read_posts(spark, path)))
 
 
 @query
@@ -320,7 +325,7 @@ def stream_ingest(spark, folder):
     posts = document_feed(spark, folder)
     line = F.to_json(F.struct(*[c for c in posts.columns if c != "group_domain"]))
     posts.select("group_domain", line.alias("value")).write.partitionBy("group_domain").text(path)
-    jobs.ingest_new(spark, path, store, state, *P.FEED_RANGE, files_per_batch=32).awaitTermination()
+    jobs.ingest_new(spark, path, store, state, files_per_batch=32).awaitTermination()
     return feed.as_text_dates(spark.read.parquet(store).select(*feed.FLAT_COLUMNS))
 
 
@@ -390,6 +395,23 @@ def lexicon_sentiment(spark, folder):
     return docs.select("doc_id", "score", wording.score_label("score").alias("label"))
 
 
+@query
+def lemmatize_joined(spark, folder):
+    """Every document twice, under one id, with the dictionary joined instead of sent along."""
+    dictionary = spark.createDataFrame(list(P.LEMMAS.items()), "form string, lemma string")
+    docs = documents(spark, folder)
+    found = wording.lemmatize(feed.append_runs(docs, docs), dictionary, "doc_id", "cleaned", max_rows=0)
+    return found.select("doc_id", "lemmas")
+
+
+@query
+def lexicon_sentiment_joined(spark, folder):
+    lexicon = spark.createDataFrame(list(P.SCORES.items()), "word string, score bigint")
+    docs = documents(spark, folder)
+    found = wording.lexicon_score(feed.append_runs(docs, docs), lexicon, "doc_id", "cleaned", max_rows=0)
+    return found.select("doc_id", "score", wording.score_label("score").alias("label"))
+
+
 @query
 def trained_sentiment(spark, folder):
     model = wording.train_sentiment(labelled(spark, folder))
@@ -477,7 +499,7 @@ def named_rows(spark, folder):
     names = rows.groupBy("topic").agg(
         F.concat(F.lit("topic of "), F.count("*").cast("string")).alias("topic_name")
     )
-    return terms.attach_names(rows, names)
+    return terms.attach_names(rows, names, last=terms.LAST_LISTED_TOPIC)
 
 
 @query

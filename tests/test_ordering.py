@@ -112,3 +112,34 @@ def test_a_hot_key_is_split_when_merged(spark):
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert scale.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scale.shared_path(spark, "x").startswith(scale.shared_folder(spark))
+
+
+def odd_feed(spark):
+    rows = [("a", 1), ("a", 2), ("a", None), ("b", 5), (None, 1), (None, 2), (None, None), ("b", None)]
+    return spark.createDataFrame(rows, "g string, seq bigint")
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 10])
+@pytest.mark.parametrize("width", [1, 2, 1 << 20])
+def test_keep_first_keeps_rows_with_nulls(spark, count, width):
+    kept = O.keep_first(odd_feed(spark), "g", ["seq"], count, [O.seq_bucket("seq", width)]).collect()
+    want = {"a": [1, 2, None], "b": [5, None], None: [1, 2, None]}
+    for g, seqs in want.items():
+        found = sorted((r.seq for r in kept if r.g == g), key=lambda s: (s is None, s))
+        assert found == seqs[:count]
+
+
+def test_numbers_of_rows_with_nulls(spark):
+    rows = O.running_number(odd_feed(spark), "g", "seq", width=2).collect()
+    found = {(r.g, r.seq): r.number for r in rows}
+    assert len(rows) == 8 and found[("a", None)] == 3 and found[(None, None)] == 3 and found[(None, 1)] == 1
+
+
+def test_take_while_treats_null_positions_as_last(spark):
+    rows = odd_feed(spark)
+    everything = O.take_while(rows, "g", F.col("seq"), F.col("seq") > 100)
+    assert everything.count() == 8
+    some = O.take_while(rows, "g", F.col("seq"), (F.col("seq") == 2))
+    assert sorted(map(str, ((r.g, r.seq) for r in some.collect()))) == sorted(
+        map(str, [("a", 1), (None, 1), ("b", 5), ("b", None)])
+    )

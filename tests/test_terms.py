@@ -81,7 +81,7 @@ def test_lines_names_and_arrays(docs):
 def test_only_listed_topics_get_names(spark):
     rows = spark.createDataFrame([(i,) for i in (-1, 0, 45, 46)], "topic bigint")
     names = spark.createDataFrame([(i, f"n{i}") for i in (-1, 0, 45, 46)], "topic bigint, topic_name string")
-    found = T.attach_names(rows, names)
+    found = T.attach_names(rows, names, last=T.LAST_LISTED_TOPIC)
     assert {r.topic: r.topic_name for r in found.collect()} == {-1: None, 0: "n0", 45: "n45", 46: None}
     assert rows.filter(T.listed("topic")).count() == 2
 

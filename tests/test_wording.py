@@ -33,7 +33,7 @@ def test_lemmas_in_row_or_joined(texts, forms, max_rows):
         1: "дорога плохой и яма яма",
         2: "",
         3: "хорошие люди плохой дорога хорошие",
-        4: None if max_rows else "",
+        4: None,
         5: "ничего",
     }
 
@@ -46,6 +46,20 @@ def test_lexicon_sentiment(texts, lexicon, max_rows):
     assert found.columns == ["id", "t", "label"]
 
 
+@pytest.mark.parametrize("max_rows", [200_000, 0])
+def test_repeated_and_null_keys_stay_apart(spark, max_rows):
+    rows = [("k", "was red"), ("k", "was blue"), (None, "was green"), (None, None), ("k", "")]
+    texts = spark.createDataFrame(rows, "id string, t string")
+    forms = spark.createDataFrame([("was", "be")], "form string, lemma string")
+    found = W.lemmatize(texts, forms, "id", "t", max_rows=max_rows).collect()
+    assert sorted(map(str, ((r.id, r.lemmas) for r in found))) == sorted(
+        map(str, [("k", "be red"), ("k", "be blue"), (None, "be green"), (None, None), ("k", "")])
+    )
+    scores = spark.createDataFrame([("red", -1), ("blue", 1)], "word string, score int")
+    found = W.lexicon_score(texts, scores, "id", "t", max_rows=max_rows).collect()
+    assert {r.t: r.score for r in found if r.t} == {"was red": -1, "was blue": 1, "was green": 0}
+
+
 def test_bounded_dictionary_moves_no_texts(texts, forms, spark, tmp_path):
     texts.write.parquet(str(tmp_path / "t"))
     found = W.lemmatize(spark.read.parquet(str(tmp_path / "t")), forms, "id", "t")

@@ -86,7 +86,7 @@ def cap_comments(posts: DataFrame, max_comments: int, width: int = WIDTH) -> Dat
     totals = settle(bucket_totals(cut, ["group_domain"], "_bucket", have))
     if totals.filter(F.col("_before") + F.col("_size") > max_comments).isEmpty():
         return posts
-    tagged = attach(cut, totals, ["group_domain", "_bucket"], "inner")
+    tagged = attach(cut, totals, ["group_domain", "_bucket"], "inner", null_safe=True)
     crosses = (F.col("_before") < max_comments) & (
         F.col("_before") + F.col("_size") > max_comments
     )
@@ -98,7 +98,7 @@ def cap_comments(posts: DataFrame, max_comments: int, width: int = WIDTH) -> Dat
     )
     earlier = (
         W.partitionBy("group_domain", "_bucket")
-        .orderBy("seq")
+        .orderBy(F.asc_nulls_last("seq"))
         .rowsBetween(W.unboundedPreceding, -1)
     )
     used = F.col("_before") + F.coalesce(F.sum(have).over(earlier), F.lit(0))

@@ -4,6 +4,9 @@ A window over a whole group would put that group into one task. Here a group is
 first cut into buckets that follow its order; bucket sizes are aggregated (one
 row per bucket), running totals are taken over those few rows, and a real sort
 happens only inside a bucket.
+
+Rows without a group form a group of their own; rows without a position come
+last in their group. No row is lost for having nulls.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ def seq_bucket(seq: str | Column, width: int = WIDTH) -> Column:
 
 def bucket_totals(df: DataFrame, keys: list[str], bucket: str, weight: Column) -> DataFrame:
     """One row per (keys, bucket): ``_size``, and ``_before`` = sum of earlier buckets."""
-    earlier = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    order = F.asc_nulls_last(bucket)
+    earlier = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return (
         df.groupBy(*keys, bucket)
         .agg(F.sum(weight).cast("bigint").alias("_size"))
@@ -40,9 +44,9 @@ def running_number(
     """1-based number of each row in its group, in ``seq`` order. Runs the bucket count."""
     cut = df.withColumn("_bucket", seq_bucket(seq, width))
     totals = bucket_totals(cut, [group], "_bucket", F.lit(1))
-    inside = F.row_number().over(W.partitionBy(group, "_bucket").orderBy(seq))
+    inside = F.row_number().over(W.partitionBy(group, "_bucket").orderBy(F.asc_nulls_last(seq)))
     return (
-        attach(cut, totals, [group, "_bucket"], "inner")
+        attach(cut, totals, [group, "_bucket"], "inner", null_safe=True)
         .withColumn(out, (F.col("_before") + inside).cast("bigint"))
         .drop("_bucket", "_size", "_before")
     )
@@ -80,11 +84,11 @@ def keep_first(
             *keys, name, under.alias("_whole"), (F.col("_room") - F.col("_before")).alias("_left")
         )
         keys.append(name)
-        tagged = attach(rest.drop("_room"), totals, keys, "inner")
+        tagged = attach(rest.drop("_room"), totals, keys, "inner", null_safe=True)
         whole = tagged.filter("_whole").select(*columns)
         kept = whole if kept is None else kept.unionByName(whole)
         rest = tagged.filter(~F.col("_whole")).withColumnRenamed("_left", "_room").drop("_whole")
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*map(F.asc_nulls_last, order)))
     edge = rest.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_room"))
     return kept.unionByName(edge.select(*columns))
 
@@ -92,15 +96,17 @@ def keep_first(
 def take_while(df: DataFrame, group: str, position: Column, stop: Column) -> DataFrame:
     """Rows of each group that come before its first row where ``stop`` holds.
 
-    ``position`` is one comparable expression (a struct for several columns).
-    One minimum per group, then a comparison; no sort. Runs the aggregation.
+    ``position`` is one comparable expression (a struct for several columns). A
+    null position comes after all others: such a row stays only where its group
+    has no stop before it. One minimum per group, then a comparison; no sort.
+    Runs the aggregation.
     """
     marked = df.withColumn("_position", position)
     stops = settle(marked.filter(stop).groupBy(group).agg(F.min("_position").alias("_stop")))
     if stops.isEmpty():
         return df
     return (
-        attach(marked, stops, [group], "left")
+        attach(marked, stops, [group], "left", null_safe=True)
         .filter(F.col("_stop").isNull() | (F.col("_position") < F.col("_stop")))
         .select(*df.columns)
     )

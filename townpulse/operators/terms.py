@@ -245,15 +245,17 @@ def auto_names(ranked: DataFrame, topic: str, count: int = 4) -> DataFrame:
 
 
 def attach_names(
-    rows: DataFrame, names: DataFrame, topic: str = "topic", last: int = LAST_LISTED_TOPIC
+    rows: DataFrame, names: DataFrame, topic: str = "topic", last: int | None = None
 ) -> DataFrame:
-    """Left-join ``names`` (topic, topic_name) to rows; unlisted topics stay unnamed.
+    """Left-join ``names`` (topic, topic_name) to rows; noise stays unnamed.
 
-    One name for each of at most ``last + 1`` ids can remain, so it is broadcast.
+    With ``last`` topics beyond it stay unnamed too, and at most ``last + 1`` names
+    are broadcast; without, the names are counted first.
     """
-    few = names.filter(listed(topic, last)).groupBy(topic).agg(
-        F.min("topic_name").alias("topic_name")
-    )
+    wanted = F.col(topic) >= 0 if last is None else listed(topic, last)
+    few = names.filter(wanted).groupBy(topic).agg(F.min("topic_name").alias("topic_name"))
+    if last is None:
+        return attach(rows, few, [topic])
     return rows.join(F.broadcast(few), topic, "left")
 
 

@@ -44,7 +44,8 @@ def _with_found(
 
     A dictionary of up to ``max_rows`` rows is sent along and read inside each
     row, so the texts are not shuffled. A larger one is joined to the exploded
-    words and the result is grouped by ``key`` again.
+    words and the result is grouped by row again, under a number that each row gets
+    before: ``key`` may repeat or be null. Both ways give the same.
     """
     form, value = columns
     dictionary = settle(dictionary.select(form, value))
@@ -56,10 +57,15 @@ def _with_found(
         look = looker(F.col("_dict"), size)
         return packed.withColumn(out, in_row(words(text), look)).drop("_dict")
     unique = dictionary.groupBy(form).agg(F.min(value).alias(value))
-    pieces = df.select(key, F.posexplode(words(text)).alias("_pos", form))
+    # A written cut, so that the numbers stay the same when a part is computed again.
+    rows = settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    pieces = rows.select("_row", F.posexplode(words(text)).alias("_pos", form))
     found = pieces.join(unique.hint("merge"), form, "left")
-    made = found.groupBy(key).agg(grouped.alias(out))
-    return df.join(made, key, "left").withColumn(out, F.coalesce(out, absent))
+    made = found.groupBy("_row").agg(grouped.alias("_made"))
+    kind = dictionary.schema[value].dataType
+    of_null = in_row(words(text), lambda word: F.lit(None).cast(kind))
+    value_of = F.when(F.col(text).isNull(), of_null).otherwise(F.coalesce("_made", absent))
+    return rows.join(made, "_row", "left").withColumn(out, value_of).drop("_row", "_made")
 
 
 def lemmatize(

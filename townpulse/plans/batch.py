@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townpulse.functions.text import clean_text, stop_words, terms
-from townpulse.operators.feed import MAX_COMMENTS, MAX_POSTS, flatten
+from townpulse.operators.feed import flatten
 from townpulse.operators.terms import attach_names, auto_names, topic_terms
 from townpulse.operators.topics import NOISE, density_topics
 from townpulse.operators.wording import (
@@ -26,13 +26,16 @@ from townpulse.sources.tables import date_time_of, read_table, write_table
 
 @dataclass
 class Settings:
-    """What a run needs to know besides its paths."""
+    """What a run needs to know besides its paths.
+
+    Caps and the stop at the first old post leave rows out; they act only when asked for.
+    """
 
     first_date: object = None
     last_date: object = None
-    stop_at_old: bool = True
-    max_posts: int = MAX_POSTS
-    max_comments: int = MAX_COMMENTS
+    stop_at_old: bool = False
+    max_posts: int | None = None
+    max_comments: int | None = None
     language: str = "russian"
     dims: int = 256
     topic_options: dict = field(default_factory=dict)

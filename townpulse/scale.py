@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table of at most this many rows may be sent to every executor.
@@ -53,14 +55,23 @@ def attach(
     on: list[str],
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join ``rows`` with a derived ``table`` that is usually, not provably, small.
 
     Runs ``table`` once and looks at its size. Within ``max_rows`` it is
     broadcast and ``rows`` stay where they are; beyond that both sides are
-    shuffled and merged, a join whose hot keys adaptive execution splits.
+    shuffled and merged, a join whose hot keys adaptive execution splits. With
+    ``null_safe`` a null key finds a null key.
     """
     table = settle(table)
-    if table.count() <= max_rows:
-        return rows.join(F.broadcast(table), on, how)
-    return rows.join(table.hint("merge"), on, how)
+    small = table.count() <= max_rows
+    joined_on: list[str] | Column = on
+    if null_safe:
+        names = {key: f"_{key}_{uuid.uuid4().hex}" for key in on}
+        table = table.withColumnsRenamed(names)
+        pairs = [F.col(key).eqNullSafe(F.col(name)) for key, name in names.items()]
+        joined_on = functools.reduce(operator.and_, pairs)
+    table = F.broadcast(table) if small else table.hint("merge")
+    found = rows.join(table, joined_on, how)
+    return found.drop(*names.values()) if null_safe else found
