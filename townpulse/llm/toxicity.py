@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townpulse.llm.recurrent import Adam, blank_input, layer_gradients, parts, run_layer, sigmoid
@@ -365,14 +365,13 @@ def score_documents(
     docs_per_label: int = 2500,
 ) -> DataFrame:
     """``key`` and score of every row; only labels of rows that satisfy ``learn`` are learned from."""
-    marks = (
-        labels.where(learn & F.col(label).isin(0, 1))
-        .groupBy(key)
-        .agg(F.max(label).alias(label))
-        .withColumn("n", F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key)))
-        .where(F.col("n") <= docs_per_label)
-        .select(key, label)
+    known = labels.where(learn & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias(label))
+    # Two short sorted lists, not a window with a whole label in one task.
+    zeros, ones = (
+        known.where(F.col(label) == mark).orderBy(F.xxhash64(key), key).limit(docs_per_label)
+        for mark in (0, 1)
     )
+    marks = zeros.unionByName(ones)
     sample = docs.select(key, text).join(F.broadcast(marks), key)
     sample = sample.orderBy(F.xxhash64(key, text)).limit(4 * docs_per_label).select(key, label, text)
     sample = settle(sample)
@@ -387,9 +386,8 @@ def score_documents(
         windows = training_windows(sample, label, text, shared, network)
         found = train([w for _, w in windows], np.array([m for m, _ in windows]), *telling, start=found)
         network = context.broadcast((telling[0], *found))
-    known = logits_of(sample.select(key, text), network, key, text).join(sample.select(key, label), key).collect()
-    slope, shift = fit_curve(
-        np.array([r.logit for r in known]), np.array([r[label] for r in known], float)
-    )
+    rated = logits_of(sample.select(key, text), network, key, text).join(sample.select(key, label), key)
+    rated = rated.collect()
+    slope, shift = fit_curve(np.array([r.logit for r in rated]), np.array([r[label] for r in rated], float))
     score = 1 / (1 + F.exp(-(F.col("logit") * slope + shift)))
     return logits_of(docs, network, key, text).select(key, score.alias("score"))
