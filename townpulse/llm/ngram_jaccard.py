@@ -3,18 +3,20 @@
 A document's set holds the hashes (64 bits) of its distinct word shingles. Equal sets are one node.
 Two nodes link when their Jaccard similarity is at least 4/5, and every link joins their components.
 
-1. Frequent shingles are counted in each task over all documents; they come last in the order of a
-   set's shingles, the rest are ordered by hash. Any one order gives exact results.
+1. Shingles that stand alone in the corpus come first in the order of a set's shingles (a bitmap of
+   fixed size tells them from most others), repeated ones next, and frequent ones, counted in each
+   task over all documents, last; the rest of the order is by hash. Any one order gives exact results;
+   this one leaves hardly an entry of sets that have no near copy.
 2. Linked sets share a shingle among the first fifth of each. A bitmap of fixed size marks shingles
-   that stand in that prefix of two different sets; only sets with a marked one go on, with the
-   places of their marked shingles: the index lists.
-3. Answers of similar sets: in every list all sets are compared with one leader, a different one for
+   that stand in that prefix of two different sets; the places of the marked shingles are the entries
+   of the index lists.
+3. Blocks by size and place: a shingle at place p of a set of size n leaves n - p shingles. For each
+   block of partner sizes an entry is used only if that is enough, so whole blocks of a list are
+   skipped, and sets that no block needs go no further. Only the others are fetched whole.
+4. Answers of similar sets: in every list all sets are compared with one leader, a different one for
    each list and round. Sets that link are one component, and further pairs inside it are never formed.
    From the overlaps of two sets with one leader, bounds of their own overlap follow: many pairs are
-   settled by them alone.
-4. Blocks by size and place: a shingle at place p of a set of size n leaves n - p shingles. For each
-   block of partner sizes a list entry is used only if that is enough, so whole blocks of a list are
-   skipped. What remains between different components is compared on the whole sets.
+   settled by them alone. What remains between different components is compared on the whole sets.
 
 Defined cases: a null or empty text has an empty set and no links; its component is its own id. Texts
 of fewer words than a shingle have one shingle, all their words. Equal rows are each returned. A null
@@ -24,6 +26,7 @@ Extra columns are not read. Sets are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from townpulse.llm.common import components, has_bit, join_sized, kept, repeated_bits
+from townpulse.llm.common import bits_of, components, has_bit, join_sized, kept, repeated_bits
 from townpulse.llm.words import BLANKS, LOWER, gram_hashes, row_slices, split_words
 from townpulse.scale import settle
 
@@ -40,6 +43,9 @@ from townpulse.scale import settle
 FREQUENT = 1 << 17
 FREQUENT_IN_TASK = 4
 TOGETHER = 1 << 22
+# Bits of the bitmap of repeated shingles, and of a piece of it that is filled at one place.
+REPEATED_BITS = 27
+FILL_BITS = 20
 # Rounds of comparisons with leaders before the remaining pairs are formed.
 LEADER_ROUNDS = 3
 # A block holds sizes up to this factor apart.
@@ -98,14 +104,76 @@ def frequent_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarra
     return values[order], np.log2(np.array([r.n for r in rows], np.int64)[order]).astype(np.int8)
 
 
-def ordered(one: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A set's shingles, frequent ones last."""
-    values, ranks = frequent
-    if not len(values) or not len(one):
+def repeated_shingles(docs: DataFrame, text: str, words: int) -> np.ndarray:
+    """A bitmap of the shingles met more than once, among them a part of those met once.
+
+    Tasks send the low bits of their shingles sorted and packed, piece by piece; the counters of a
+    piece have a fixed size.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        edges = np.arange((1 << (REPEATED_BITS - FILL_BITS)) + 1) << FILL_BITS
+
+        def flush() -> pa.RecordBatch:
+            low = np.concatenate(waiting) & np.uint64((1 << REPEATED_BITS) - 1)
+            low = np.sort(low.astype(np.uint32))
+            cuts = np.searchsorted(low, edges)
+            packed = [
+                zlib.compress(np.diff(low[a:b], prepend=np.uint32(edge)).tobytes(), 1)
+                for edge, a, b in zip(edges[:-1].tolist(), cuts[:-1], cuts[1:], strict=True)
+            ]
+            pieces = pa.array(np.arange(len(packed), dtype=np.int32))
+            return pa.record_batch([pieces, pa.array(packed, pa.binary())], names=["piece", "codes"])
+
+        for batch in batches:
+            for part in row_slices(batch, 0):
+                for one in shingle_sets(part.column(0), words):
+                    waiting.append(one)
+                    size += len(one)
+                if size >= TOGETHER:
+                    yield flush()
+                    waiting, size = [], 0
+        if waiting:
+            yield flush()
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = np.cumsum(np.frombuffer(zlib.decompress(codes), np.uint32), dtype=np.uint32)
+                at, n = np.unique(at, return_counts=True)
+                counts = met.setdefault(piece, np.zeros(1 << FILL_BITS, np.uint8))
+                counts[at] = np.minimum(2, counts[at] + n)
+        bits = [np.packbits(c > 1, bitorder="little").tobytes() for c in met.values()]
+        yield pa.record_batch(
+            [pa.array(list(met), pa.int32()), pa.array(bits, pa.binary())], names=["piece", "bits"]
+        )
+
+    pieces = (
+        docs.select(text)
+        .mapInArrow(pack, "piece int, codes binary")
+        .repartition("piece")
+        .mapInArrow(fill, "piece int, bits binary")
+        .collect()
+    )
+    out = np.zeros((1 << REPEATED_BITS) >> 3, np.uint8)
+    size = (1 << FILL_BITS) >> 3
+    for row in pieces:
+        out[row.piece * size : (row.piece + 1) * size] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def ordered(one: np.ndarray, order: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """A set's shingles: those met once first, frequent ones last."""
+    values, ranks, repeated = order
+    if not len(one):
         return one
-    at = np.minimum(np.searchsorted(values, one), len(values) - 1)
-    rank = np.where(values[at] == one, ranks[at], 0)
-    return one[np.argsort(rank, kind="stable")] if rank.any() else one
+    rank = has_bit(repeated, one).astype(np.int8)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, one), len(values) - 1)
+        rank = np.where(values[at] == one, ranks[at] + 1, rank)
+    return one[np.argsort(rank, kind="stable")]
 
 
 def prefix_length(size: int) -> int:
@@ -141,12 +209,12 @@ def prefix_shingles(docs: DataFrame, text: str, words: int, shared) -> DataFrame
 
 
 def indexed_sets(docs: DataFrame, key: str, text: str, words: int, shared, marked) -> DataFrame:
-    """key, size, node, and where its prefix has marked shingles: those, their places and the set."""
+    """key, size, node, its number for bitmaps, and the marked shingles of its prefix with their places."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, 1):
-                sizes, nodes, tokens, places, whole = [], [], [], [], []
+                sizes, nodes, tokens, places = [], [], [], []
                 for one in shingle_sets(part.column(1), words):
                     head = ordered(one, shared.value)[: prefix_length(len(one))]
                     at = np.flatnonzero(has_bit(marked.value, head))
@@ -154,23 +222,50 @@ def indexed_sets(docs: DataFrame, key: str, text: str, words: int, shared, marke
                     nodes.append(node_of(one) if len(one) else None)
                     tokens.append(head[at].view(np.int64))
                     places.append(at.astype(np.int32))
-                    whole.append(one.tobytes() if len(at) else None)
+                numbers = [n and int.from_bytes(n[:8], "little", signed=True) for n in nodes]
                 yield pa.record_batch(
                     [
                         part.column(0),
                         pa.array(sizes, pa.int64()),
                         pa.array(nodes, pa.binary()),
+                        pa.array(numbers, pa.int64()),
                         pa.array(tokens, pa.list_(pa.int64())),
                         pa.array(places, pa.list_(pa.int32())),
-                        pa.array(whole, pa.binary()),
                     ],
-                    names=[key, "size", "node", "shingles", "places", "whole"],
+                    names=[key, "size", "node", "number", "shingles", "places"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(
         emit,
-        f"{key} {kind}, size bigint, node binary, shingles array<bigint>, places array<int>, whole binary",
+        f"{key} {kind}, size bigint, node binary, number bigint, shingles array<bigint>, places array<int>",
+    )
+
+
+def whole_sets(docs: DataFrame, text: str, words: int, wanted) -> DataFrame:
+    """(node, size, whole) of the sets whose number is in a bitmap; ``whole`` holds the hashes."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch, 0):
+                sets = [s for s in shingle_sets(part.column(0), words) if len(s)]
+                nodes = [node_of(s) for s in sets]
+                numbers = np.frombuffer(b"".join(n[:8] for n in nodes), np.uint64)
+                at = np.flatnonzero(has_bit(wanted.value, numbers)).tolist()
+                yield pa.record_batch(
+                    [
+                        pa.array([nodes[i] for i in at], pa.binary()),
+                        pa.array([len(sets[i]) for i in at], pa.int64()),
+                        pa.array([sets[i].tobytes() for i in at], pa.binary()),
+                    ],
+                    names=["node", "size", "whole"],
+                )
+
+    return (
+        docs.select(text)
+        .mapInArrow(emit, "node binary, size bigint, whole binary")
+        .groupBy("node")
+        .agg(F.first("size").alias("size"), F.first("whole").alias("whole"))
     )
 
 
@@ -193,6 +288,8 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["a", "b", "overlap"]
             )
 
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = join_sized(sets, needed, "node", "left_semi")
     left = sets.select(F.col("node").alias("a"), F.col("whole").alias("whole_a"))
     right = sets.select(F.col("node").alias("b"), F.col("whole").alias("whole_b"))
     return (
@@ -229,44 +326,102 @@ def with_component(entries: DataFrame, links: DataFrame | None) -> DataFrame:
     return entries.join(mixed, "shingle", "left_semi")
 
 
-def compare_with_leaders(entries: DataFrame, sets: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Entries with the overlap of their set and the list's leader, and the links found."""
+def compare_with_leaders(
+    entries: DataFrame, sets: DataFrame, turn: int, known: DataFrame | None
+) -> tuple[DataFrame, DataFrame]:
+    """Entries with the overlap of their set and the list's leader, and all overlaps known by then."""
     leader = F.min(
-        F.struct(
-            F.xxhash64("node", "shingle", F.lit(turn)).alias("h"), "node", "size", "place", "part"
-        )
+        F.struct(F.xxhash64("node", "shingle", F.lit(turn)).alias("h"), "node", "size", "place", "part")
     )
+    leaders = entries.groupBy("shingle").agg(leader.alias("l")).select("shingle", "l.*")
     led = entries.select("shingle", "node", "size", "place", "part").join(
-        entries.groupBy("shingle").agg(leader.alias("l")).select("shingle", "l.*").toDF(
-            "shingle", "h", "leader", "leader_size", "leader_place", "leader_part"
-        ),
-        "shingle",
+        leaders.toDF("shingle", "h", "leader", "leader_size", "leader_place", "leader_part"), "shingle"
     )
+    led = settle(led.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")}))
     pairs = (
         led.where((F.col("part") != F.col("leader_part")) & may_link("", "leader_"))
-        .select(F.col("node").alias("a"), F.col("leader").alias("b"))
+        .select("a", "b")
         .distinct()
     )
-    counted = kept(overlaps(pairs, sets), "leader-overlaps")
-    led = led.join(
-        counted.select(F.col("a").alias("node"), F.col("b").alias("leader"), "overlap"),
-        ["node", "leader"],
-        "left",
-    ).withColumn("overlap", F.coalesce("overlap", F.when(F.col("node") == F.col("leader"), F.col("size"))))
+    if known is not None:
+        pairs = pairs.join(known, ["a", "b"], "left_anti")
+    counted = kept(overlaps(settle(pairs), sets), "leader-overlaps")
+    known = counted if known is None else known.unionByName(counted)
+    led = led.join(known, ["a", "b"], "left").withColumn(
+        "overlap", F.when(F.col("node") == F.col("leader"), F.col("size")).otherwise(F.col("overlap"))
+    )
+    return led, known
+
+
+def linked(known: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose overlap is enough for a link."""
     sizes = sets.select("node", "size")
-    links = (
-        counted.join(sizes.toDF("a", "size_a"), "a")
+    return (
+        known.join(sizes.toDF("a", "size_a"), "a")
         .join(sizes.toDF("b", "size_b"), "b")
         .where(F.col("overlap") >= least_overlap(F.col("size_a"), F.col("size_b")))
         .select("a", "b")
     )
-    return led, links
 
 
 def block_of(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / F.log(F.lit(BLOCK_STEP))).cast("int")
 
 
+def in_blocks(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries as the smaller set of a pair, in the block of their size, and as the larger, in the
+    blocks of all partner sizes for which their place leaves enough."""
+    room = F.col("size") - F.col("place")
+    smaller = entries.where(room >= least_overlap(F.col("size"), F.col("size"))).withColumn(
+        "block", block_of(F.col("size"))
+    )
+    from_size = F.ceil(F.col("size") * 0.8 - 1e-9).cast("bigint")
+
+    def enough(block: Column) -> Column:
+        first = F.floor(F.pow(F.lit(BLOCK_STEP), block) - 1e-6).cast("bigint")
+        return room >= least_overlap(F.col("size"), F.greatest(from_size, first))
+
+    blocks = F.filter(F.sequence(block_of(from_size), block_of(F.col("size"))), enough)
+    return smaller, entries.withColumn("block", F.explode(blocks))
+
+
+def needed_entries(entries: DataFrame) -> DataFrame:
+    """Entries of sets that share a block of some list with another set.
+
+    Most lists have two entries: whether those may link follows from sums and bounds of the list.
+    """
+    size, room = F.col("size"), F.col("size") - F.col("place")
+    lists = (
+        entries.groupBy("shingle")
+        .agg(
+            F.count("*").alias("n"),
+            F.min(size).alias("low"),
+            F.max(size).alias("high"),
+            F.sum(size).alias("sum"),
+            F.min(room).alias("room"),
+        )
+        .where("n > 1")
+        .where(
+            (F.col("n") > 2)
+            | ((F.col("low") * 5 >= F.col("high") * 4) & (F.col("room") >= least_overlap(F.col("sum"), F.lit(0))))
+        )
+        .select("shingle")
+    )
+    near = kept(entries.join(lists.hint("merge"), "shingle", "left_semi"), "near-entries")
+    smaller, larger = in_blocks(near)
+    met = smaller.select("shingle", "block", "number", F.lit(1).alias("smaller")).unionByName(
+        larger.select("shingle", "block", "number", F.lit(0).alias("smaller"))
+    )
+    shared = (
+        met.groupBy("shingle", "block")
+        .agg(F.min("number").alias("low"), F.max("number").alias("high"), F.max("smaller").alias("any"))
+        .where("low < high AND any = 1")
+        .select("shingle", "block")
+    )
+    numbers = met.join(shared, ["shingle", "block"], "left_semi").select("number").distinct()
+    return near.join(numbers, "number", "left_semi")
+
+
 def remaining_pairs(entries: DataFrame) -> DataFrame:
     """Pairs of entries between different components, with what their leader tells of them.
 
@@ -279,20 +434,7 @@ def remaining_pairs(entries: DataFrame) -> DataFrame:
     )
     entries = entries.join(biggest, "shingle").withColumn("in_main", F.col("part") == F.col("main"))
     names = ["shingle", "node", "size", "place", "part", "in_main", "overlap", "leader_size"]
-    entries = settle(entries.select(*names))
-    room = F.col("size") - F.col("place")
-    smaller = entries.where(room >= least_overlap(F.col("size"), F.col("size"))).withColumn(
-        "block", block_of(F.col("size"))
-    )
-    from_size = F.ceil(F.col("size") * 0.8 - 1e-9).cast("bigint")
-    blocks = F.filter(
-        F.sequence(block_of(from_size), block_of(F.col("size"))),
-        lambda b: room
-        >= least_overlap(
-            F.col("size"), F.greatest(from_size, F.floor(F.pow(F.lit(BLOCK_STEP), b) - 1e-6).cast("bigint"))
-        ),
-    )
-    larger = entries.withColumn("block", F.explode(blocks))
+    smaller, larger = in_blocks(settle(entries.select(*names)))
     x = [F.col(c).alias(f"x_{c}") for c in names[1:]]
     y = [F.col(c).alias(f"y_{c}") for c in names[1:]]
 
@@ -314,8 +456,8 @@ def remaining_pairs(entries: DataFrame) -> DataFrame:
     return (
         pairs.where(most.isNull() | (most >= need))
         .select(
-            F.col("x_node").alias("a"),
-            F.col("y_node").alias("b"),
+            F.least("x_node", "y_node").alias("a"),
+            F.greatest("x_node", "y_node").alias("b"),
             F.coalesce(with_x + with_y - F.col("x_leader_size") >= need, F.lit(False)).alias("settled"),
             need.alias("need"),
         )
@@ -329,34 +471,43 @@ def join_sets(
 ) -> DataFrame:
     """``key``, n_shingles and component_id (the least key that links reach) of every row."""
     context = docs.sparkSession.sparkContext
-    frequent = context.broadcast(frequent_shingles(docs, text, words))
+    order = context.broadcast(
+        (*frequent_shingles(docs, text, words), repeated_shingles(docs, text, words))
+    )
     marked = context.broadcast(
-        repeated_bits(prefix_shingles(docs, text, words, frequent), "shingle", "node")
+        repeated_bits(prefix_shingles(docs, text, words, order), "shingle", "node")
     )
-    rows = kept(indexed_sets(docs, key, text, words, frequent, marked), "sets")
-    sets = kept(
-        rows.where("whole IS NOT NULL").groupBy("node").agg(
+    rows = kept(indexed_sets(docs, key, text, words, order, marked), "sets")
+    nodes = kept(
+        rows.where(F.size("shingles") > 0)
+        .groupBy("node")
+        .agg(
+            F.first("number").alias("number"),
             F.first("size").alias("size"),
             F.first(F.arrays_zip("shingles", "places")).alias("entries"),
-            F.first("whole").alias("whole"),
         ),
-        "distinct-sets",
+        "nodes",
     )
-    entries = sets.select("node", "size", F.inline("entries")).withColumnsRenamed(
+    entries = nodes.select("node", "number", "size", F.inline("entries")).withColumnsRenamed(
         {"shingles": "shingle", "places": "place"}
     )
-    sets = sets.select("node", "size", "whole")
-    links = None
+    entries = kept(needed_entries(entries), "entries")
+    wanted = context.broadcast(bits_of(entries.select("number").distinct(), "number"))
+    nodes = entries.select("node").distinct()
+    sets = kept(join_sized(whole_sets(docs, text, words, wanted), nodes, "node", "left_semi"), "wholes")
+    links = known = None
     for turn in range(LEADER_ROUNDS):
-        entries = settle(with_component(entries.select("shingle", "node", "size", "place"), links))
-        led, found = compare_with_leaders(entries, sets, turn)
-        links = settle(found if links is None else links.unionByName(found))
-    now = with_component(led.select(*entries.columns[:4], "overlap", "leader_size"), links)
-    pairs = kept(remaining_pairs(now), "remaining-pairs")
-    open_pairs = pairs.where(~F.col("settled"))
+        mixed = settle(with_component(entries.select("shingle", "node", "size", "place"), links))
+        led, known = compare_with_leaders(mixed, sets, turn, known)
+        links = settle(linked(known, sets))
+    now = with_component(
+        led.select("shingle", "node", "size", "place", "overlap", "leader_size"), links
+    )
+    pairs = kept(remaining_pairs(now).join(known, ["a", "b"], "left_anti"), "remaining-pairs")
+    unsure = pairs.where(~F.col("settled"))
     verified = (
-        overlaps(open_pairs.select("a", "b"), sets)
-        .join(open_pairs.select("a", "b", "need"), ["a", "b"])
+        overlaps(unsure.select("a", "b"), sets)
+        .join(unsure.select("a", "b", "need"), ["a", "b"])
         .where("overlap >= need")
     )
     links = links.unionByName(pairs.where("settled").select("a", "b")).unionByName(
