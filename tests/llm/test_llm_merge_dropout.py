@@ -66,3 +66,37 @@ def test_rows(spark, table, odd_rows):
     texts = sorted(str((r.doc_id, r.text)) for r in M.decode(encoded, PATH).collect())
     assert texts == sorted(str((i, t or "")) for i, t in odd_rows)
     assert M.encode(table([]), PATH).collect() == []
+
+
+def test_occurrences_draw_for_themselves(spark, table, model):
+    """A word has many segmentations over documents and within one, also in a repeated run."""
+    docs = table([(i, " internationalisation") for i in range(300)] + [(300, "internationalisation " * 300)])
+    rows = {r.doc_id: r.ids for r in M.encode(docs, PATH, dropout=0.3).collect()}
+    assert len({tuple(rows[i]) for i in range(300)}) > 50
+    words = M.decode_ids(rows[300], model)
+    assert words == "internationalisation " * 300
+    one = M.encode_texts(["internationalisation"] * 2, M.np.array([1, 2], M.np.uint64), model, 0.3)
+    assert one[0].tolist() != one[1].tolist()
+    found, piece = set(), []
+    for i in rows[300]:
+        if model.texts[i].startswith(b" "):
+            found.add(tuple(piece))
+            piece = []
+        piece.append(i)
+    assert len(found) > 50
+    again = {r.doc_id: r.ids for r in M.encode(docs.repartition(3), PATH, dropout=0.3).collect()}
+    assert again == rows
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
+def test_shared_work_gives_what_each_occurrence_gives_alone(model, dropout):
+    chunks = [" segmentation", " the", " internationalisation", "  ", " straße漢", " " + "long" * 40]
+    rng = M.np.random.default_rng(5)
+    of = rng.integers(0, len(chunks), 600)
+    keys = rng.integers(0, 2**63, 600).astype(M.np.uint64)
+    pieces, offsets = M.encode_chunks(chunks, keys, model, dropout, of)
+    ids, starts, hashes = M.symbols(chunks, model)
+    own = M.mix(hashes[of] ^ keys)
+    for n, i in enumerate(of.tolist()):
+        alone = M.encode_agenda(ids[starts[i] : starts[i + 1]].tolist(), int(own[n]), model, dropout)
+        assert alone == pieces[offsets[n] : offsets[n + 1]].tolist()

@@ -1,14 +1,17 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 A BPE piece model merges the best-scoring neighbouring pair again and again. Here each candidate merge
-is skipped with probability ``dropout``: a keyed hash of the seed, the variant, the chunk of text and
-the candidate's place decides, so a skipped merge is never taken, a run can be repeated exactly, and
-another seed or variant segments differently. With ``dropout`` 0 the result is the plain encoding.
+is skipped with probability ``dropout``: a keyed hash of the seed, the row (key and text), the chunk's
+number in the text, the chunk and the candidate's place decides, so a skipped merge is never taken, a run
+can be repeated exactly, and every occurrence of a word draws for itself. With ``dropout`` 0 the result is
+the plain encoding.
 
 No piece holds a space behind another character, so a text falls apart into chunks (spaces and what
-follows them) that are encoded on their own. Each distinct chunk of a slice of texts is encoded once:
-short ones all together in numpy, long ones by an agenda (a heap of candidates). Both follow the same
-order: best score, then leftmost.
+follows them) that are encoded on their own. Occurrences of a chunk in a slice of texts share work only as
+far as they draw alike: they follow the merges of the chunk's encoding up to the first one that they skip,
+those that skip the same one go on together, and the few that skip many are encoded alone. Short chunks go
+all together in numpy, long ones by an agenda (a heap of candidates). Both follow the same order: best
+score, then leftmost.
 
 Characters without a piece become byte pieces; so does U+2581, which otherwise would come back as a
 space. Decoding therefore returns every text exactly.
@@ -23,6 +26,8 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -38,9 +43,14 @@ MOST_MODEL_BYTES = 64 << 20
 # Symbols up to which a chunk is encoded together with others.
 SHORT = 96
 SLICE_BYTES = 4 << 20
+# Skipped merges up to which occurrences of a short chunk go together.
+SHARED_SKIPS = 3
+# Occurrences that are worth an encoding to share.
+SHARE = 3
 CHUNK = re.compile(r" *[^ ]+| +")
 
 _NONE = np.iinfo(np.int64).max
+_ALL = (1 << 64) - 1
 _A, _B, _C = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -56,6 +66,24 @@ class Model:
     byte_ids: np.ndarray
     texts: list[bytes]  # by piece, for decoding
 
+    @cached_property
+    def merges(self) -> dict[int, int]:
+        return dict(zip(self.pairs.tolist(), self.merged.tolist(), strict=True))
+
+    @cached_property
+    def slots(self) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+        """A hash table of ``pairs``: keys (-1 is empty), merged pieces, and the shift from hash to slot."""
+        bits = max(4, int(len(self.pairs)).bit_length() + 2)
+        home = (self.pairs.view(np.uint64) * _A >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        # Sorted by home, each pair takes its home or the slot behind the one before.
+        n = np.arange(len(order))
+        slot = np.maximum.accumulate(home[order] - n) + n
+        table = np.full((1 << bits) + len(order) + 1, -1, np.int64)
+        merged = np.full(len(table), -1, np.int32)
+        table[slot], merged[slot] = self.pairs[order], self.merged[order]
+        return table, merged, np.uint64(64 - bits)
+
 
 def load_model(path: str) -> Model:
     """Read a BPE model with byte fallback."""
@@ -119,17 +147,39 @@ def symbols(chunks: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np
     return ids.astype(np.int64), starts, hashes
 
 
-def skipped(keys: np.ndarray, left: np.ndarray, middle: np.ndarray, right: np.ndarray, dropout: float):
-    """Whether the candidates (chunk key; where both parts start and the second ends) are skipped."""
-    h = mix(keys + left.astype(np.uint64) * _A + middle.astype(np.uint64) * _B + right.astype(np.uint64) * _C)
-    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < dropout
+def place_code(left: np.ndarray, middle: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A candidate's place (where both parts start and the second ends) as one number."""
+    return left.astype(np.uint64) * _A + middle.astype(np.uint64) * _B + right.astype(np.uint64) * _C
+
+
+def skipped(keys: np.ndarray, codes: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether the candidates (key of the chunk's occurrence, place) are skipped."""
+    return (mix(keys + codes) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < dropout
+
+
+def skips(key: int, left: int, middle: int, right: int, dropout: float) -> bool:
+    """``skipped`` for one candidate, in plain numbers."""
+    x = (key + left * int(_A) + middle * int(_B) + right * int(_C)) & _ALL
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & _ALL
+    return ((x ^ x >> 31) >> 11) * 2.0**-53 < dropout
 
 
 def find_merges(model: Model, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Ids of the pieces that pairs of neighbours make, or -1."""
+    table, merged, shift = model.slots
     key = left << 32 | right
-    at = np.minimum(np.searchsorted(model.pairs, key), len(model.pairs) - 1)
-    return np.where(model.pairs[at] == key, model.merged[at], -1)
+    slot = (key.view(np.uint64) * _A >> shift).view(np.int64)
+    found = table[slot]
+    out = np.where(found == key, merged[slot], -1)
+    # A slot that another pair has: go on to the next ones up to an empty one.
+    on = np.flatnonzero((found != key) & (found >= 0))
+    while len(on):
+        slot[on] += 1
+        found = table[slot[on]]
+        out[on] = np.where(found == key[on], merged[slot[on]], -1)
+        on = on[(found != key[on]) & (found >= 0)]
+    return out
 
 
 def encode_agenda(ids: list[int], key: int, model: Model, dropout: float) -> list[int]:
@@ -139,7 +189,7 @@ def encode_agenda(ids: list[int], key: int, model: Model, dropout: float) -> lis
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     end = list(range(1, n + 1))
     agenda: list[tuple] = []
-    pairs = dict(zip(model.pairs.tolist(), model.merged.tolist(), strict=True)) if n > 1 else {}
+    pairs = model.merges
 
     def push(i: int) -> None:
         j = after[i]
@@ -154,10 +204,9 @@ def encode_agenda(ids: list[int], key: int, model: Model, dropout: float) -> lis
         _, i, j, stop, new = heapq.heappop(agenda)
         if ids[i] < 0 or ids[j] < 0 or after[i] != j or end[j] != stop:
             continue
-        if model.merged[np.searchsorted(model.pairs, ids[i] << 32 | ids[j])] != new:
+        if pairs[ids[i] << 32 | ids[j]] != new:
             continue
-        one = [np.array([v]) for v in (i, j, stop)]
-        if dropout and skipped(np.array([key], np.uint64), *one, dropout)[0]:
+        if dropout and skips(key, i, j, stop, dropout):
             continue
         ids[i], ids[j] = new, -1
         end[i] = stop
@@ -171,11 +220,18 @@ def encode_agenda(ids: list[int], key: int, model: Model, dropout: float) -> lis
 
 
 def encode_together(
-    ids: np.ndarray, starts: np.ndarray, keys: np.ndarray, model: Model, dropout: float
+    ids: np.ndarray,
+    starts: np.ndarray,
+    keys: np.ndarray,
+    model: Model,
+    dropout: float,
+    barred: np.ndarray | None = None,
+    taken: list | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Many chunks at once: in each round every chunk takes its best candidate.
 
-    Returns all pieces and the offsets of the chunks in them.
+    Returns all pieces and the offsets of the chunks in them. Places in a chunk's row of ``barred`` are
+    skipped besides those that its key skips. ``taken`` gets the (chunks, places) of each round's merges.
     """
     n = len(starts) - 1
     chunk = np.repeat(np.arange(n), np.diff(starts))
@@ -183,17 +239,25 @@ def encode_together(
     out_chunk, out_place, out_ids = [], [], []
     size = np.diff(starts)
 
+    def codes_at(a: np.ndarray) -> np.ndarray:
+        """Places of the candidates of symbols ``a`` with the next ones."""
+        b = a + 1
+        c = np.minimum(b + 1, len(ids) - 1)
+        stop = np.where((c > b) & (chunk[c] == chunk[b]), place[c], size[chunk[b]])
+        return place_code(place[a], place[b], stop)
+
     def candidates(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece and rank of the merge of symbol at[i] with the next one; no rank if there is none."""
         right = np.minimum(at + 1, len(ids) - 1)
         fits = (right > at) & (chunk[right] == chunk[at])
         new = np.where(fits, find_merges(model, ids[at], ids[right]), -1)
-        if dropout:
+        if dropout or barred is not None:
             some = np.flatnonzero(new >= 0)
-            a, b = at[some], right[some]
-            c = np.minimum(b + 1, len(ids) - 1)
-            stop = np.where((c > b) & (chunk[c] == chunk[b]), place[c], size[chunk[b]])
-            new[some[skipped(keys[chunk[a]], place[a], place[b], stop, dropout)]] = -1
+            codes = codes_at(at[some])
+            if dropout:
+                new[some[skipped(keys[chunk[at[some]]], codes, dropout)]] = -1
+            if barred is not None:
+                new[some[(barred[chunk[at[some]]] == codes[:, None]).any(1)]] = -1
         return new, np.where(new >= 0, model.ranks[new], _NONE)
 
     new, rank = candidates(np.arange(len(ids)))
@@ -215,6 +279,8 @@ def encode_together(
             head = np.append(0, np.cumsum(length))[:-1]
         hit = np.flatnonzero(rank == np.repeat(best, length))
         at = hit[np.append(True, chunk[hit][1:] != chunk[hit][:-1])]
+        if taken is not None:
+            taken.append((chunk[at], codes_at(at)))
         ids[at] = new[at]
         stay = np.ones(len(ids), bool)
         stay[at + 1] = False
@@ -230,29 +296,84 @@ def encode_together(
     return pieces, np.searchsorted(chunk[order], np.arange(n + 1))
 
 
-def encode_chunks(chunks: list[str], key: int, model: Model, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of different chunks and their offsets; ``key`` stands for seed and variant."""
-    ids, starts, hashes = symbols(chunks, model)
-    keys = mix(hashes ^ np.uint64(key))
-    short = np.diff(starts) <= SHORT
-    if short.all():
-        return encode_together(ids, starts, keys, model, dropout)
-    parts: list[np.ndarray] = [None] * len(chunks)
-    few = np.flatnonzero(short)
-    picked = np.repeat(short, np.diff(starts))
-    pieces, offsets = encode_together(
-        ids[picked], np.append(0, np.cumsum(np.diff(starts)[few])), keys[few], model, dropout
-    )
-    for n, i in enumerate(few.tolist()):
-        parts[i] = pieces[offsets[n] : offsets[n + 1]]
-    for i in np.flatnonzero(~short).tolist():
-        own = ids[starts[i] : starts[i + 1]].tolist()
-        parts[i] = np.array(encode_agenda(own, int(keys[i]), model, dropout), np.int32)
-    return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+def encode_chunks(
+    chunks: list[str], key: int | np.ndarray, model: Model, dropout: float, of: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of chunks and their offsets; ``key`` is one for all or one for each.
 
+    With ``of`` the result is that of the occurrences ``[chunks[i] for i in of]``, whose keys ``key`` holds.
+    """
+    ids, starts, hashes = symbols(chunks, model)
+    if of is None:
+        of = np.arange(len(chunks))
+    keys = mix(hashes[of] ^ np.asarray(key, np.uint64))
+    begin, size = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+    parts: list[np.ndarray] = [np.zeros(0, np.int32)]
+    total = 0
+
+    def put(occurrences: np.ndarray, pieces: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> None:
+        nonlocal total
+        begin[occurrences], size[occurrences] = total + offsets[at], offsets[at + 1] - offsets[at]
+        parts.append(pieces)
+        total += len(pieces)
 
-def encode_texts(texts: list[str], key: int, model: Model, dropout: float) -> list[np.ndarray]:
-    """Piece ids of each text; every distinct chunk is encoded once."""
+    short = np.diff(starts) <= SHORT
+    for i in np.flatnonzero(~short[of]).tolist():
+        own = ids[starts[of[i]] : starts[of[i] + 1]].tolist()
+        pieces = np.array(encode_agenda(own, int(keys[i]), model, dropout), np.int32)
+        put(np.array([i]), pieces, np.array([0, len(pieces)]), np.array([0]))
+    # Nodes are chunks with some merges barred; an occurrence moves to the node that bars the first
+    # merge of its own node which it skips, until it skips none.
+    nodes = np.flatnonzero(short)
+    barred = np.zeros((len(nodes), 0), np.uint64)
+    live = np.flatnonzero(short[of])
+    at = np.searchsorted(nodes, of[live])
+    alone = []
+    for _ in range(SHARED_SKIPS + 1):
+        shared = np.bincount(at, minlength=len(nodes)) >= SHARE
+        alone.append(live[~shared[at]])
+        live, at = live[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
+        nodes, barred = nodes[shared], barred[shared]
+        if not len(live):
+            break
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
+        pieces, offsets = encode_together(*picked(ids, starts, nodes), keys, model, 0.0, barred, taken)
+        chunk = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in taken)])
+        order = np.argsort(chunk, kind="stable")
+        codes = np.concatenate([np.zeros(0, np.uint64), *(c for _, c in taken)])[order]
+        steps = np.searchsorted(chunk[order], np.arange(len(nodes) + 1))
+        step, owner = spread(steps[at], steps[at + 1] - steps[at])
+        hit = np.flatnonzero(skipped(keys[live][owner], codes[step], dropout))
+        hit = hit[np.append(True, owner[hit][1:] != owner[hit][:-1])] if len(hit) else hit
+        done = np.ones(len(live), bool)
+        done[owner[hit]] = False
+        put(live[done], pieces, offsets, at[done])
+        live = live[owner[hit]]
+        first, at = np.unique(step[hit], return_inverse=True)
+        parent = np.searchsorted(steps, first, "right") - 1
+        barred = np.column_stack([barred[parent], codes[first]])
+        nodes = nodes[parent]
+    live = np.concatenate([*alone, live])
+    own = encode_together(*picked(ids, starts, of[live]), keys[live], model, dropout)
+    put(live, *own, np.arange(len(live)))
+    where, _ = spread(begin, size)
+    return np.concatenate(parts)[where], np.append(0, np.cumsum(size))
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the ranges that start at ``begin``, one range behind the other, and each one's range."""
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(owner)) + (begin - (np.cumsum(size) - size))[owner], owner
+
+
+def picked(ids: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and starts of some chunks."""
+    size = starts[which + 1] - starts[which]
+    return ids[spread(starts[which], size)[0]], np.append(0, np.cumsum(size))
+
+
+def encode_texts(texts: list[str], key: int | np.ndarray, model: Model, dropout: float) -> list[np.ndarray]:
+    """Piece ids of each text; ``key`` is one for all or one for each text."""
     split = [CHUNK.findall(" " + t) if t else [] for t in texts]
     index: dict[str, int] = {}
     for chunks in split:
@@ -261,14 +382,13 @@ def encode_texts(texts: list[str], key: int, model: Model, dropout: float) -> li
         index[chunk] = n
     if not index:
         return [np.zeros(0, np.int32) for _ in texts]
-    pieces, offsets = encode_chunks(list(index), key, model, dropout)
-    out = []
-    for chunks in split:
-        at = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
-        begin, size = offsets[at], offsets[at + 1] - offsets[at]
-        shift = np.repeat(begin - np.append(0, np.cumsum(size))[:-1], size)
-        out.append(pieces[np.arange(len(shift)) + shift])
-    return out
+    counts = np.array([len(chunks) for chunks in split])
+    of = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+    number, text = spread(np.zeros(len(texts), np.int64), counts)
+    own = np.broadcast_to(np.asarray(key, np.uint64), len(texts))
+    keys = mix(mix(own)[text] + number.astype(np.uint64) * _A)
+    pieces, offsets = encode_chunks(list(index), keys, model, dropout, of)
+    return np.split(pieces, offsets[np.cumsum(counts)[:-1]])
 
 
 def decode_ids(ids: list[int], model: Model) -> str:
@@ -283,12 +403,8 @@ def encode(
     text: str = "text",
     dropout: float = 0.1,
     seed: int = 1,
-    variants: int = 4,
 ) -> DataFrame:
-    """``key``, ids and lossless (whether decoding gave the text back) of every row.
-
-    A document's variant comes from a hash of its key and the seed.
-    """
+    """``key``, ids and lossless (whether decoding gave the text back) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(load_model(model_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,15 +412,8 @@ def encode(
         for batch in batches:
             for part in row_slices(batch, 1, SLICE_BYTES):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                variant = part.column(2).to_numpy()
-                ids: list[np.ndarray] = [None] * len(texts)
-                for v in np.unique(variant).tolist():
-                    rows = np.flatnonzero(variant == v).tolist()
-                    own = int(mix(np.array([seed * 0x10001 + v], np.uint64))[0])
-                    for i, found in zip(
-                        rows, encode_texts([texts[i] for i in rows], own, model, dropout), strict=True
-                    ):
-                        ids[i] = found
+                drawn = part.column(2).to_numpy().view(np.uint64)
+                ids = encode_texts(texts, drawn, model, dropout)
                 same = [decode_ids(i.tolist(), model) == t for i, t in zip(ids, texts, strict=True)]
                 sizes = np.append(0, np.cumsum([len(i) for i in ids])).astype(np.int32)
                 flat = pa.array(np.concatenate(ids).astype(np.int32))
@@ -314,8 +423,8 @@ def encode(
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    variant = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(variants))
-    return docs.select(key, text, variant.alias("variant")).mapInArrow(
+    drawn = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+    return docs.select(key, text, drawn.alias("drawn")).mapInArrow(
         run, f"{key} {kind}, ids array<int>, lossless boolean"
     )
 
