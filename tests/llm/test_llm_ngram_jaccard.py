@@ -86,6 +86,21 @@ def test_one_of_each_group_stays(spark, table):
     assert sorted(str(tuple(r)) for r in kept) == sorted(str(r) for r in [rows[1], rows[3], rows[4], rows[5]])
 
 
+def test_rows_of_one_key_are_told_apart(spark, table):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [
+        (3, a + " end"), (5, a), (5, b),  # only the copy goes, not the other text of its id
+        (7, c), (7, c + " end"), (7, c),  # near copies under one id
+        (None, d), (None, d + " end"), (None, d), (None, ""), (None, ""),
+    ]
+    kept = [tuple(r) for r in J.keep_one(table(rows)).select("doc_id", "text").collect()]
+    assert sorted(t for i, t in kept if i in (3, 5)) == sorted([a + " end", b])
+    assert len([t for i, t in kept if i == 7]) == 1
+    assert len([t for i, t in kept if i is None and t]) == 1
+    assert kept.count((None, "")) == 2 and len(kept) == 6
+    assert J.keep_one(table([])).collect() == []
+
+
 def test_prefix_lengths_are_exact():
     for n in range(1, 300):
         need = min(k for k in range(n + 1) if 5 * k >= 4 * n)

@@ -526,16 +526,39 @@ def join_sets(
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """The rows of ``docs`` without those that reach a smaller key by links.
+    """One row of each group of rows that links connect: that with the least key. All columns are kept.
 
-    Of rows that repeat key and text one stays; rows with a null key all stay. All columns are kept.
+    Rows are told apart by key and text, so a key that repeats with another text loses only the linked
+    row; among rows of the least key a hash decides. Rows with a null key have no smaller key: of those in
+    a group one stays besides the one with a key. Of rows that repeat key and text one stays. Rows without
+    words link with nothing; with a null key they all stay.
     """
-    joined = join_sets(docs, key=key, text=text, words=words)
-    gone = joined.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    left = join_sized(docs, gone, key, "left_anti")
-    again = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
-    again = settle(again)
-    nth = F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(F.lit(0)))
-    single = join_sized(left, again, key, "left_anti")
-    several = join_sized(left, again, key, "left_semi").withColumn("_nth", nth).where("_nth = 1")
-    return single.unionByName(several.drop("_nth"))
+    own, number = "_own", F.xxhash64(key, text)
+    owner = F.struct(F.col(key).isNull().alias("lost"), F.col(key).alias("id"), number.alias("number"))
+    joined = join_sets(docs.select(owner.alias(own), text), key=own, text=text, words=words)
+    # The least owner of a group stands for it: keys go before nulls.
+    marked = kept(
+        joined.select(
+            f"{own}.*",
+            F.col("component_id.number").alias("group"),
+            (F.col(own) != F.col("component_id")).alias("later"),
+            (~F.col(f"{own}.lost") | (F.col("n_shingles") > 0)).alias("once"),
+        ).drop("id"),
+        "marked",
+    )
+    lost = marked.where("lost")
+    least = settle(lost.groupBy("group").agg(F.min("number").alias("least")))
+    gone = (
+        marked.where("later AND NOT lost").select("number")
+        .unionByName(lost.join(least, "group").where("number > least").select("number"))
+        .distinct()
+        .withColumnRenamed("number", own)
+    )
+    again = settle(
+        marked.where("once").groupBy("number").count().where("count > 1").select(F.col("number").alias(own))
+    )
+    left = join_sized(docs.withColumn(own, number), gone, own, "left_anti")
+    nth = F.row_number().over(Window.partitionBy(own).orderBy(F.lit(0)))
+    single = join_sized(left, again, own, "left_anti")
+    several = join_sized(left, again, own, "left_semi").withColumn("_nth", nth).where("_nth = 1")
+    return single.unionByName(several.drop("_nth")).drop(own)
