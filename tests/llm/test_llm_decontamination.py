@@ -68,3 +68,12 @@ def test_odd_rows(spark, table, odd_rows):
     assert found.keys() == {(1, 1)}
     assert leaks(spark, table, [], [(1, "a b c d e")]) == {}
     assert leaks(spark, table, odd_rows, []) == {}
+
+
+def test_items_with_null_and_repeated_ids(spark, table):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    items = [(None, one), (7, two), (7, three), (7, three)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = D.find_leaks(table([(1, one), (2, two), (3, three), (4, "clean")]), bench).collect()
+    found = sorted((r.doc_id, str(r.item_id), r.coverage) for r in rows)
+    assert found == [(1, "None", 1.0), (2, "7", 1.0), (3, "7", 1.0)]

@@ -170,7 +170,15 @@ def find_leaks(
     least: float = 0.5,
 ) -> DataFrame:
     """``key``, ``item_key``, coverage, reordered and the tiles of every leak."""
-    items = kept(item_seeds(benchmark, item_key, item_text, seed), "items")
+    # Items are told apart by id and text: ids may be null or repeat.
+    owner = F.struct(F.col(item_key).alias("id"), F.xxhash64(item_key, item_text).alias("number"))
+    named = benchmark.select(owner.alias("item"), item_text)
+    items = kept(
+        item_seeds(named, "item", item_text, seed).select(
+            F.col("item.number").alias("item"), F.col("item.id").alias("_item_id"), "words", "seeds"
+        ),
+        "items",
+    )
     seeds = items.select("item", "words", F.posexplode("seeds").alias("at", "seed"))
     found = kept(document_seeds(docs, key, text, seed, bits_of(seeds, "seed")), "seeds")
     # A tile covers words of shared seeds only, so fewer shared places cannot reach the threshold.
@@ -193,7 +201,8 @@ def find_leaks(
     own = found.dropDuplicates(["row"]).withColumnRenamed("seeds", "doc_seeds")
     pairs = chosen.join(own, "row")
     whole = items.withColumnRenamed("seeds", "item_seeds").dropDuplicates(["item"])
-    pairs = attach(pairs, whole.select("item", "words", "item_seeds"), ["item"], "inner")
+    pairs = attach(pairs, whole.select("item", "_item_id", "words", "item_seeds"), ["item"], "inner")
+    pairs = pairs.withColumn("item", F.col("_item_id"))
     size = F.aggregate("tiles", F.lit(0), lambda n, t: n + t["words"])
     by_doc = F.transform(
         F.array_sort(F.transform("tiles", lambda t: F.struct(t["doc_word"], t["item_word"]))),
