@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables: ``name -> (spark, folder) -> DataFrame``."""
+"""The operators as queries over the given tables: ``name -> (spark, folder) -> DataFrame``."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from townpulse.llm import (
     language_id,
     merge_dropout,
     ngram_jaccard,
+    periodic_runs,
     secret_scan,
     spot_signatures,
     substring_dedup,
@@ -146,3 +147,43 @@ def op5_toxicity(spark, folder):
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
+def planted_period(key: str, text: str):
+    """The text, with a repeated stretch of words at its end where crc32 of the id is divisible by 10."""
+    h = F.crc32(F.col(key).cast("string"))
+    words = F.filter(F.split(F.col(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def repeated(ws):
+        g, n = F.floor(h / 10), F.size(ws)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.transform(ws, lambda w, i: F.when(i < a, w).otherwise(F.get(ws, a + (i - a) % p)))
+
+    # inside the lambda the text is cut into words once, not for every word
+    planted = F.transform(F.array(words), lambda ws: F.when(F.size(ws) > 0, F.array_join(repeated(ws), " ")))
+    return F.when(h % 10 == 0, F.get(planted, F.lit(0))).otherwise(F.col(text))
+
+
+@query
+def op12_periodic_runs(spark, folder):
+    docs = documents(spark, folder).select("doc_id", planted_period("doc_id", "text").alias("text"))
+    found = periodic_runs.find_runs(docs)
+    ranked = F.array_sort(
+        F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"], r["period"]))
+    )
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    best = F.get(ranked, F.lit(0))
+    length = -best["shorter"]
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        best["start"].alias("start"),
+        length.alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * length / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
