@@ -175,6 +175,30 @@ def branching_squares(
     return np.concatenate(starts), np.concatenate(periods)
 
 
+def rotated(
+    closed: np.ndarray, at: np.ndarray, period: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and periods of the runs that the branching squares end.
+
+    Of the squares with one end the shortest is rotated first. Those that lie in its run have a
+    multiple of its period and give the same run; only longer ones are rotated in their turn.
+    """
+    sort = np.lexsort((period, at + 2 * period))
+    at, period = at[sort], period[sort]
+    end = at + 2 * period
+    runs = []
+    while len(at):
+        shortest = np.append(True, end[1:] != end[:-1])
+        i, e, q = at[shortest], end[shortest], period[shortest]
+        start = i - common_length(closed, i - 1, i + q - 1, -1)
+        runs.append((start, e, q))
+        onward = at < start[np.cumsum(shortest) - 1]
+        at, end, period = at[onward], end[onward], period[onward]
+    if not runs:
+        return at, end, period
+    return tuple(np.concatenate(x) for x in zip(*runs, strict=True))
+
+
 def runs_of(
     symbols: np.ndarray, least_length: int = 6, least_exponent: int = 4
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,9 +211,7 @@ def runs_of(
         return none, none, none
     order, rank = suffix_array(symbols)
     closed = np.append(symbols, -1)
-    at, period = branching_squares(order, rank, common_prefixes(closed, order))
-    start = at - common_length(closed, at - 1, at + period - 1, -1)
-    end = at + 2 * period
+    start, end, period = rotated(closed, *branching_squares(order, rank, common_prefixes(closed, order)))
     long_enough = end - start >= np.maximum(least_length, least_exponent * period)
     start, end, period = start[long_enough], end[long_enough], period[long_enough]
     sort = np.lexsort((period, end, start))
