@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from townpulse.llm import (
     decontamination,
+    hard_negatives,
     language_id,
     merge_dropout,
     ngram_jaccard,
@@ -187,3 +188,10 @@ def op12_periodic_runs(spark, folder):
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("kept", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_hard_negatives(spark, folder):
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
