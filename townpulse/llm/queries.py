@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from townpulse.llm import (
     decontamination,
     hard_negatives,
+    html_extraction,
     language_id,
     merge_dropout,
     ngram_jaccard,
@@ -195,3 +196,11 @@ def op13_hard_negatives(spark, folder):
     rows = spark.read.parquet(f"{folder}/embeddings.parquet")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op11_html_extraction(spark, folder):
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    found = html_extraction.extract(pages, carry=("url",))
+    n_chars = F.char_length("text").cast("bigint").alias("n_chars")
+    return found.select("page_id", "url", "text", n_chars, "n_blocks", "n_kept")
