@@ -203,44 +203,42 @@ cut AS (SELECT doc_id, text, len(ws) AS n,
 ELSE {wrapped} END AS label FROM cut"""
 
 
-def density(dims: int, bits: int, m: int, threshold: float, reach: int, min_size: int) -> str:
-    """Cells of a fixed set of planes, dense cells, their components by recursion."""
+def density(dims: int, tables: int, bits: int, m: int, threshold: float, min_size: int) -> str:
+    """Rows compared in the cells of several tables, dense rows, what they connect by recursion."""
     cube = "((131 * i + 977 * j + 7) * (131 * i + 977 * j + 7) % 1000003) * (131 * i + 977 * j + 7) % 1000003"
     return f"""WITH RECURSIVE
 dims AS (SELECT vec_id, unnest(range({dims})) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
-planes AS (SELECT i, j, CASE WHEN ({cube}) % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS sign
-           FROM (SELECT unnest(range({dims})) AS i), (SELECT unnest(range({bits})) AS j)),
-sides AS (SELECT vec_id, j, sum(x * sign) > 0 AS above FROM dims JOIN planes USING (i) GROUP BY ALL),
-points AS (SELECT vec_id, CAST(sum(CASE WHEN above THEN 1 << j ELSE 0 END) AS BIGINT) AS cell
-           FROM sides GROUP BY vec_id),
+planes AS (SELECT i, t, k, CASE WHEN ({cube}) % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS sign
+           FROM (SELECT i, t, k, 60 * t + k AS j FROM (SELECT unnest(range({dims})) AS i),
+                 (SELECT unnest(range({tables})) AS t), (SELECT unnest(range({bits})) AS k))),
+sides AS (SELECT vec_id, t, k, sum(x * sign) > 0 AS above FROM dims JOIN planes USING (i) GROUP BY ALL),
+points AS MATERIALIZED (
+  SELECT vec_id, t, CAST(sum(CASE WHEN above THEN 1 << k ELSE 0 END) AS BIGINT) AS cell
+  FROM sides GROUP BY vec_id, t),
 norms AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM dims GROUP BY vec_id),
-centre AS (SELECT cell, i, avg(x / n) AS c FROM dims JOIN norms USING (vec_id)
-           JOIN points USING (vec_id) GROUP BY ALL),
-cells AS (SELECT cell, count(*) AS size, min(vec_id) AS first_key FROM points GROUP BY cell),
-lengths AS (SELECT cell, sqrt(sum(c * c)) AS n FROM centre GROUP BY cell),
-pairs AS (SELECT a.cell AS a, b.cell AS b FROM cells a, cells b
-          WHERE bit_count(xor(a.cell, b.cell)) BETWEEN 1 AND {reach}),
-links AS (SELECT p.a, p.b, sum(x.c * y.c) / (any_value(l.n) * any_value(r.n)) AS closeness
-          FROM pairs p JOIN centre x ON x.cell = p.a JOIN centre y ON y.cell = p.b AND y.i = x.i
-          JOIN lengths l ON l.cell = p.a JOIN lengths r ON r.cell = p.b
-          GROUP BY p.a, p.b HAVING closeness >= {threshold}),
-around AS (SELECT c.cell, any_value(c.size) + coalesce(sum(o.size), 0) AS near
-           FROM cells c LEFT JOIN links l ON l.a = c.cell LEFT JOIN cells o ON o.cell = l.b
-           GROUP BY c.cell),
-dense AS (SELECT cell FROM around WHERE near >= {m}),
-walk AS (SELECT cell AS root, cell FROM dense
-         UNION SELECT w.root, l.b FROM walk w JOIN links l ON l.a = w.cell JOIN dense d ON d.cell = l.b),
-roots AS (SELECT cell, min(root) AS root FROM walk GROUP BY cell),
-border AS (SELECT l.a AS cell, r.root,
-                  row_number() OVER (PARTITION BY l.a ORDER BY round(l.closeness, 9) DESC, l.b) AS k
-           FROM links l JOIN roots r ON r.cell = l.b
-           WHERE l.a NOT IN (SELECT cell FROM dense)),
-placed AS (SELECT cell, root FROM roots UNION ALL SELECT cell, root FROM border WHERE k = 1),
-groups AS (SELECT root, sum(size) AS size, min(first_key) AS first_key
-           FROM placed JOIN cells USING (cell) GROUP BY root HAVING sum(size) >= {min_size}),
+units AS (SELECT vec_id, list(x / n ORDER BY i) AS u FROM dims JOIN norms USING (vec_id) GROUP BY vec_id),
+same AS (SELECT a.t, a.cell, a.vec_id AS a, b.vec_id AS b FROM points a JOIN points b USING (t, cell)),
+close AS (SELECT a, b, round(list_inner_product(x.u, y.u), 9) AS c
+          FROM (SELECT DISTINCT a, b FROM same) s JOIN units x ON x.vec_id = a JOIN units y ON y.vec_id = b),
+near AS MATERIALIZED (SELECT t, cell, a, b, c FROM same JOIN close USING (a, b) WHERE c >= {threshold}),
+dense_in AS (SELECT t, cell, a FROM near GROUP BY ALL HAVING count(*) >= {m}),
+dense AS (SELECT DISTINCT a FROM dense_in),
+touch AS MATERIALIZED (SELECT n.a, n.b, max(c) AS c FROM near n
+          JOIN dense_in d ON d.t = n.t AND d.cell = n.cell AND d.a = n.b GROUP BY ALL),
+hung AS (SELECT a, b FROM touch WHERE a IN (SELECT a FROM dense)),
+links AS MATERIALIZED (SELECT a, b FROM hung UNION SELECT b, a FROM hung),
+walk AS (SELECT a AS root, a AS point FROM dense
+         UNION SELECT w.root, l.b FROM walk w JOIN links l ON l.a = w.point),
+roots AS (SELECT point, min(root) AS root FROM walk GROUP BY point),
+border AS (SELECT t.a AS point, r.root,
+                  row_number() OVER (PARTITION BY t.a ORDER BY t.c DESC, r.root) AS k
+           FROM touch t JOIN roots r ON r.point = t.b WHERE t.a NOT IN (SELECT a FROM dense)),
+placed AS (SELECT point, root FROM roots UNION ALL SELECT point, root FROM border WHERE k = 1),
+groups AS (SELECT root, count(*) AS size, min(point) AS first_key
+           FROM placed GROUP BY root HAVING count(*) >= {min_size}),
 numbered AS (SELECT root, row_number() OVER (ORDER BY size DESC, first_key) - 1 AS topic FROM groups)
-SELECT vec_id, CAST(coalesce(topic, -1) AS BIGINT) AS topic
-FROM points LEFT JOIN placed USING (cell) LEFT JOIN numbered USING (root)"""
+SELECT vec_id, CAST(coalesce(topic, -1) AS BIGINT) AS topic FROM embeddings
+LEFT JOIN placed ON point = vec_id LEFT JOIN numbered USING (root)"""
 
 
 ORACLES: dict[str, str] = {
@@ -407,7 +405,7 @@ s AS (SELECT d.vec_id, c.label, round(sum(x * c) / (any_value(vn.n) * any_value(
 SELECT vec_id, CAST(CASE WHEN s >= 0.3 THEN label ELSE -1 END AS BIGINT) AS topic,
 round(s, 6) AS closeness FROM s
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1""",
-    "density_topics": density(P.DIMS, P.BITS, 5, P.CLOSE, 2, 10),
+    "density_topics": density(P.DIMS, P.TABLES, P.BITS, 5, P.CLOSE, 10),
     "forecast_trend": f"WITH RECURSIVE {shares()}, {TREND_FIT} SELECT * FROM ahead",
     "forecast_seasonal": f"WITH RECURSIVE {shares()}, {SEASON_FIT} SELECT * FROM ahead",
     "series_last_value": f"""WITH {shares()} SELECT topic_name,

@@ -30,6 +30,7 @@ FEED_RANGE = ("2024-01-03 00:00:00", "2024-02-05 12:00:00")
 POST_CAP = 25
 COMMENT_CAP = 120
 NESTED_COMMENT_CAP = 60
-BITS = 8
+TABLES = 4
+BITS = 3
 DIMS = 64
 CLOSE = 0.3

@@ -527,7 +527,12 @@ def assign_centroid(spark, folder):
 @query
 def density_topics(spark, folder):
     found = topics.density_topics(
-        table(spark, folder, "embeddings"), "vec_id", "embedding", P.DIMS, P.BITS, threshold=P.CLOSE
+        table(spark, folder, "embeddings"),
+        "vec_id",
+        "embedding",
+        bits=P.BITS,
+        tables=P.TABLES,
+        threshold=P.CLOSE,
     )
     return found.select("vec_id", "topic")
 

@@ -101,7 +101,7 @@ def test_all_columns_stay(spark):
     df = frame(spark, rows).withColumn("text", F.lit("t"))
     assert T.density_topics(df, "id", "v", DIMS).columns == ["id", "v", "text", "topic"]
     with pytest.raises(ValueError):
-        T.density_topics(df, "id", "v", DIMS, bits=T.MAX_BITS + 1)
+        T.density_topics(df, "id", "v", DIMS, bits=T.MOST_BITS + 1)
 
 
 def test_components_of_a_long_chain(spark):
@@ -113,9 +113,74 @@ def test_components_of_a_long_chain(spark):
     assert found[22] == 22
 
 
-def test_masks_reach_cells_a_few_planes_away():
-    assert T._masks(4, 1) == [1, 2, 4, 8]
-    assert len(T._masks(6, 2)) == 6 + 15
+def unrelated(number, seed=9, first=10_000):
+    rnd = np.random.default_rng(seed)
+    v = rnd.normal(size=(number, DIMS))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return [(first + i, x) for i, x in enumerate(v.tolist())]
+
+
+def groups_of(found, rows):
+    """Sets of rows that share a topic."""
+    labels = {r.id: r.topic for r in found.collect()}
+    sets = {}
+    for i, _ in rows:
+        sets.setdefault(labels[i], set()).add(i)
+    return {frozenset(s) for t, s in sets.items() if t >= 0}, {i for i, _ in rows if labels[i] < 0}
+
+
+def test_unrelated_rows_and_doubling_leave_groups_as_they_were(spark):
+    rows, _ = planted(4, spread=0.06)
+    alone = groups_of(T.density_topics(frame(spark, rows), "id", "v"), rows)
+    assert sorted(map(len, alone[0])) == [12, 15, 20]
+    beside = frame(spark, rows + unrelated(30_000))
+    assert groups_of(T.density_topics(beside, "id", "v"), rows) == alone
+    big = [r for r in rows if r[0] < 47]
+    twice = frame(spark, big + [(i + 1000, v) for i, v in big])
+    again = T.density_topics(twice, "id", "v")
+    assert groups_of(again, big) == groups_of(T.density_topics(frame(spark, big), "id", "v"), big)
+    assert sorted(r["count"] for r in again.groupBy("topic").count().collect()) == [24, 30, 40]
+
+
+def test_an_unrelated_row_in_a_cell_is_noise_and_a_near_one_is_not(spark):
+    """With no planes all rows are in one cell, where each is judged by itself."""
+    rows, group = planted(0)
+    expected = by_pairs(rows, 0.8, 5)
+    found = T.density_topics(frame(spark, rows), "id", "v", threshold=0.8, bits=0, tables=1).collect()
+    labels = {r.id: r.topic for r in found}
+    assert [labels[i] for i in range(len(rows))] == expected
+
+
+def test_crowded_cells_are_cut_and_what_no_plane_cuts_is_chained(spark, monkeypatch):
+    rows, _ = planted(6)
+    expected = groups_of(T.density_topics(frame(spark, rows), "id", "v", threshold=0.8), rows)
+    monkeypatch.setattr(T, "MOST_ROWS", 12)
+    cut = T.density_topics(frame(spark, rows), "id", "v", threshold=0.8, bits=0)
+    assert groups_of(cut, rows) == expected
+    monkeypatch.setattr(T, "MOST_ROWS", 60)
+    rnd = np.random.default_rng(1)
+    tight = [(i, (1 + rnd.random(DIMS) * 1e-9).tolist()) for i in range(300)]
+    found = T.density_topics(frame(spark, tight), "id", "v", threshold=0.9, tables=2)
+    assert {r.topic for r in found.collect()} == {0}
+
+
+def test_groups_of_sorted_batches_meet_again():
+    import pyarrow as pa
+
+    keys = [0] * 3 + [1] * 7 + [2] + [3] * 4
+    batches = [pa.record_batch({"k": keys[a:b], "n": list(range(a, b))}) for a, b in [(0, 2), (2, 2), (2, 9), (9, 15)]]
+    found = [t.column("n").to_pylist() for t in T.together(iter(batches), ["k"])]
+    assert found == [[0, 1, 2], [3, 4, 5, 6, 7, 8, 9], [10], [11, 12, 13, 14]]
+
+
+def test_keys_may_repeat_and_columns_may_clash(spark):
+    rows, _ = planted(0)
+    df = frame(spark, [(7, v) for _, v in rows]).selectExpr(
+        "*", "1 AS h1", "2 AS h2", "3 AS point", "4 AS weight", "5 AS part", "6 AS topic"
+    )
+    found = T.density_topics(df, "id", "v", threshold=0.8)
+    sizes = {r.topic: r["count"] for r in found.groupBy("topic").count().collect()}
+    assert sizes == {0: 20, 1: 15, 2: 12, -1: 15} and "weight" in found.columns
 
 
 def test_kmeans_topics(spark):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import math
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -14,13 +16,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from townpulse.functions.vectors import cosine, dot, norm
-from townpulse.scale import attach, settle
+from townpulse.scale import attach, settle, written
 
 NOISE = -1
 # Rows a topic needs (fixed).
 MIN_TOPIC_SIZE = 10
-# Cells number at most 2 ** MAX_BITS, whatever the data.
-MIN_BITS, MAX_BITS = 8, 20
+# Sets of planes, planes of a set that cut space at first, and planes that a set has.
+TABLES, BITS, MOST_BITS = 8, 8, 60
+# Different vectors that are compared in one cell; a cell with more is cut by this many further planes.
+MOST_ROWS, MORE_BITS = 4096, 4
 
 
 def plane_signs(dims: int, bits: int) -> np.ndarray:
@@ -33,77 +37,175 @@ def plane_signs(dims: int, bits: int) -> np.ndarray:
     return np.where(cube % 2 == 0, 1.0, -1.0)
 
 
-def cell_of(vector, dims: int, bits: int) -> Column:
-    """The cell of a vector: bit j is set where it lies on the positive side of plane j.
+def plane_codes(vectors: np.ndarray, tables: int) -> np.ndarray:
+    """(rows, tables): bit j is set where a vector lies on the positive side of the table's plane j."""
+    sides = vectors @ plane_signs(vectors.shape[1], tables * MOST_BITS) > 0
+    powers = 2 ** np.arange(MOST_BITS, dtype=np.int64)
+    return sides.reshape(len(vectors), tables, MOST_BITS) @ powers
 
-    Null for a missing vector and for one without direction.
+
+def different_vectors(df: DataFrame, key: str, vector: str, tables: int) -> DataFrame:
+    """One row per different vector with a direction, written to the shared folder.
+
+    ``point`` (its smallest key and a hash), ``h1, h2`` (by which rows find it), ``weight`` (rows that
+    have it), ``v`` (scaled to length 1) and ``codes`` (one for each table of planes).
     """
-    planes = plane_signs(dims, bits)
-    powers = 2 ** np.arange(bits, dtype=np.int64)
+    given = df.select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_v"))
+    points = (
+        given.filter(norm("_v") > 0)
+        .groupBy(*_hashes("_v"))
+        .agg(F.min("_key").alias("_key"), F.count("*").alias("weight"), F.first("_v").alias("_v"))
+        .withColumn("_norm", norm("_v"))
+        .select(
+            F.struct(F.col("_key").alias("key"), "h1").alias("point"),
+            "h1",
+            "h2",
+            "weight",
+            F.transform("_v", lambda x: x / F.col("_norm")).alias("v"),
+        )
+    )
 
-    @F.pandas_udf("bigint")
-    def cell(vectors: pd.Series) -> pd.Series:
-        if len(vectors) == 0:
-            return pd.Series([], dtype="Int64")
-        matrix = np.stack(vectors.to_numpy()).astype(np.float64)
-        cells = pd.Series(((matrix @ planes) > 0) @ powers, dtype="Int64")
-        return cells.mask(~matrix.any(axis=1))
+    @F.pandas_udf("array<bigint>")
+    def codes(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(plane_codes(np.stack(vectors.to_numpy()), tables)))
 
-    given = F.col(vector) if isinstance(vector, str) else vector
-    origin = F.array_repeat(F.lit(0.0), dims)
-    return cell(F.coalesce(given.cast("array<double>"), origin))
+    return written(points.withColumn("codes", codes("v")), "points")
 
 
-def _masks(bits: int, reach: int) -> list[int]:
-    """Bit patterns that lead from a cell to every cell within ``reach`` planes."""
-    found = {0}
-    for _ in range(reach):
-        found |= {m ^ (1 << b) for m in found for b in range(bits)}
-    return sorted(found - {0})
+def _hashes(vector: str) -> list[Column]:
+    """128 bits by which vectors are told apart."""
+    return [F.xxhash64(vector).alias("h1"), F.xxhash64(F.lit(1), vector).alias("h2")]
 
 
-def vector_cells(
-    df: DataFrame, key: str, vector: str, dims: int, bits: int
-) -> DataFrame:
-    """One row per occupied cell: ``cell, size, first_key, centre`` (unit mean vector)."""
-    scaled = F.transform(vector, lambda x: x.cast("double") / F.col("_norm"))
-    points = (
-        df.select(F.col(key).alias("_key"), vector, cell_of(vector, dims, bits).alias("cell"))
-        .filter(F.col("cell").isNotNull())
-        .withColumn("_norm", norm(vector))
-        .select("_key", "cell", scaled.alias("_v"))
-    )
-    return points.groupBy("cell").agg(
-        F.count("*").alias("size"),
-        F.min("_key").alias("first_key"),
-        vector_to_array(Summarizer.mean(array_to_vector("_v"))).alias("centre"),
-    )
+def _cell(depth) -> Column:
+    """The first ``depth`` bits of the code."""
+    return F.col("code").bitwiseAND(F.expr(f"shiftleft(1L, {depth}) - 1"))
 
 
-def linked_cells(cells: DataFrame, bits: int, reach: int, threshold: float) -> DataFrame:
-    """``a, b, closeness`` in both directions: near cells whose centres have at least
-    ``threshold`` cosine.
+def in_cells(points: DataFrame, bits: int) -> DataFrame:
+    """``t, depth, cell, chunk, point, weight, v``: each point once in every table.
 
-    A cell offers itself to the cells a few planes away, a number of rows fixed by
-    ``bits`` and ``reach``, and an equality join keeps those that exist. Only those
-    pairs fetch the centres.
+    A cell of more than ``MOST_ROWS`` points is cut by further planes of its table. What no plane cuts
+    is dealt to chunks that share one point. Runs counts of narrow rows, and joins only where needed.
     """
-    masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(bits, reach)])
-    offers = cells.select(F.col("cell").alias("a"), F.explode(masks).alias("_mask")).select(
-        "a", F.col("a").bitwiseXOR(F.col("_mask")).alias("b")
-    )
-    # each pair is looked at once, from its smaller cell
-    pairs = offers.filter(F.col("a") < F.col("b")).join(
-        cells.select(F.col("cell").alias("b")), "b", "left_semi"
-    )
-    near = (
-        pairs.join(cells.select(F.col("cell").alias("a"), F.col("centre").alias("_centre_a")), "a")
-        .join(cells.select(F.col("cell").alias("b"), F.col("centre").alias("_centre_b")), "b")
-        .withColumn("closeness", cosine("_centre_a", "_centre_b"))
-        .filter(F.col("closeness") >= threshold)
-    )
-    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    return near.select(F.inline(ends), "closeness").select("a", "b", "closeness")
+    rows = points.select(
+        "point", "weight", "v", "h1", F.posexplode("codes").alias("t", "code")
+    ).withColumns({"depth": F.lit(bits), "cell": _cell(bits), "chunk": F.lit(0).cast("bigint")})
+    depth = bits
+    while True:
+        crowded = settle(
+            rows.filter(F.col("depth") == depth)
+            .groupBy("t", "depth", "cell")
+            .agg(F.count("*").alias("_n"), F.min("point").alias("_pivot"))
+            .filter(F.col("_n") > MOST_ROWS)
+        )
+        if crowded.isEmpty():
+            break
+        if depth == MOST_BITS:
+            chunks = F.ceil(F.col("_n") / MOST_ROWS)
+            dealt = F.when(F.col("point") == F.col("_pivot"), F.sequence(F.lit(0), chunks - 1)).otherwise(
+                F.array(F.pmod(F.xxhash64("h1", "t"), chunks))
+            )
+            rows = attach(rows, crowded, ["t", "depth", "cell"])
+            rows = rows.withColumn("chunk", F.explode(F.coalesce(dealt, F.array(F.lit(0).cast("bigint")))))
+            rows = rows.drop("_n", "_pivot")
+            break
+        deeper = min(MOST_BITS, depth + MORE_BITS)
+        split = crowded.select("t", "depth", "cell", F.lit(True).alias("_split"))
+        rows = attach(rows, split, ["t", "depth", "cell"])
+        rows = rows.withColumns(
+            {
+                "cell": F.when(F.col("_split"), _cell(deeper)).otherwise(F.col("cell")),
+                "depth": F.when(F.col("_split"), deeper).otherwise(F.col("depth")),
+            }
+        ).drop("_split")
+        depth = deeper
+    return rows.drop("code", "h1")
+
+
+def dense_parts(
+    vectors: np.ndarray, weights: np.ndarray, threshold: float, least: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first row of a dense part, whether the row is dense itself, and its closeness to the part.
+
+    A row is dense when rows of ``least`` weight, itself included, are within ``threshold`` of it.
+    Dense rows within the threshold of each other are of one part; another row belongs to every part
+    that has a dense row within the threshold.
+    """
+    n = len(vectors)
+    near = np.empty((n, n), bool)
+    for at in range(0, n, 512):
+        near[at : at + 512] = np.round(vectors[at : at + 512] @ vectors.T, 9) >= threshold
+    dense = near @ weights >= least
+    part = np.full(n, -1)
+    for first in np.flatnonzero(dense).tolist():
+        frontier = np.array([first]) if part[first] < 0 else np.zeros(0, int)
+        while len(frontier):
+            part[frontier] = first
+            reached = near[frontier].any(axis=0)
+            frontier = np.flatnonzero(reached & dense & (part < 0))
+    inside = np.flatnonzero(dense)
+    rows, parts, close = [inside], [part[inside]], [np.ones(len(inside))]
+    for row in np.flatnonzero(~dense & near[:, dense].any(axis=1)).tolist():
+        by = np.flatnonzero(near[row] & dense)
+        score = np.round(vectors[by] @ vectors[row], 9)
+        for p in np.unique(part[by]).tolist():
+            rows.append([row])
+            parts.append([p])
+            close.append([score[part[by] == p].max()])
+    rows = np.concatenate(rows).astype(np.int64)
+    return rows, np.concatenate(parts).astype(np.int64), dense[rows], np.concatenate(close)
+
+
+def together(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches as one table for each group, wherever batches end."""
+    waiting: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        fresh = np.zeros(table.num_rows, bool)
+        for name in by:
+            values = table.column(name).to_numpy()
+            fresh[1:] |= values[1:] != values[:-1]
+            if waiting and table.num_rows:
+                fresh[0] |= waiting[-1].column(name)[0].as_py() != values[0]
+        done = 0
+        for head in np.flatnonzero(fresh).tolist():
+            if head > done:
+                waiting.append(table.slice(done, head - done))
+            yield pa.concat_tables(waiting)
+            waiting, done = [], head
+        if table.num_rows > done:
+            waiting.append(table.slice(done))
+    if waiting:
+        yield pa.concat_tables(waiting)
+
+
+def dense_places(points: DataFrame, bits: int, threshold: float, least: int) -> DataFrame:
+    """``point, part, dense, closeness``: the dense parts that a point belongs to, in any cell.
+
+    A part is named by one of its dense points.
+    """
+    by = ["t", "depth", "cell", "chunk"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in together(batches, by):
+            n = table.num_rows
+            weights = table.column("weight").to_numpy()
+            if weights.sum() < least:
+                continue
+            vectors = table.column("v").combine_chunks().flatten().to_numpy().reshape(n, -1)
+            rows, parts, dense, close = dense_parts(vectors, weights, threshold, least)
+            point = table.column("point").combine_chunks()
+            yield pa.record_batch(
+                [point.take(pa.array(rows)), point.take(pa.array(parts)), pa.array(dense), pa.array(close)],
+                names=["point", "part", "dense", "closeness"],
+            )
+
+    kind = points.schema["point"].dataType.simpleString()
+    cells = in_cells(points, bits).repartition(*by).sortWithinPartitions(*by, "point")
+    return cells.mapInArrow(run, f"point {kind}, part {kind}, dense boolean, closeness double")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -147,75 +249,63 @@ def density_topics(
     df: DataFrame,
     key: str,
     vector: str,
-    dims: int,
-    bits: int | None = None,
+    dims: int | None = None,
+    bits: int = BITS,
     min_neighbours: int = 5,
     threshold: float = 0.7,
-    reach: int = 2,
+    tables: int = TABLES,
     min_size: int = MIN_TOPIC_SIZE,
 ) -> DataFrame:
     """Adds ``topic``: density clusters of the vectors by direction; noise is -1.
 
-    Space is cut into at most ``2 ** bits`` cells by fixed planes (by default some
-    more cells than there are rows, within limits) and the vectors of a cell are reduced to their number and mean while they are read, so copies
-    and crowded places cost no more than lone vectors and no pair of vectors is
-    formed. Cells up to ``reach`` planes apart are neighbours when their centres
-    are alike. A cell with ``min_neighbours`` rows in it and its neighbours
-    together is dense; connected dense cells form a topic; another cell joins its
-    most alike dense neighbour. Topics under ``min_size`` rows are noise, topic 0
-    is the largest. Runs jobs over the cells.
+    ``tables`` fixed sets of planes each cut space into ``2 ** bits`` cells. Rows of one cell are
+    compared by cosine: a row with rows of ``min_neighbours`` (itself and copies included) within
+    ``threshold`` in a cell is dense, and rows within the threshold of a dense row join it. Cells of
+    different tables are linked through the dense rows they share, and what is connected forms a topic.
+    Another row takes the topic of the dense row it is most like, if that is within the threshold, and
+    is noise otherwise, so unrelated rows in a cell change nothing. Topics under ``min_size`` rows are
+    noise, topic 0 is the largest.
+
+    The parameters do not follow the number of rows. Only a cell of more than ``MOST_ROWS`` different
+    vectors is cut by further planes, which bounds the comparisons in a task; copies are merged first.
+    ``dims`` is not needed any more. Runs jobs.
     """
-    if bits is None:
-        rows = df.filter(F.col(vector).isNotNull()).count()
-        bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(rows, 1))) + 4))
-    if bits > MAX_BITS:
-        raise ValueError(f"at most {MAX_BITS} planes, so that cells stay countable")
-    cells = settle(vector_cells(df, key, vector, dims, bits))
-    links = settle(linked_cells(cells, bits, reach, threshold))
-    around = (
-        links.join(cells.select(F.col("cell").alias("b"), F.col("size").alias("_n")), "b")
-        .groupBy(F.col("a").alias("cell"))
-        .agg(F.sum("_n").alias("_around"))
-    )
-    weighed = settle(
-        cells.join(around, "cell", "left").select(
-            "cell",
-            "size",
-            "first_key",
-            (F.col("size") + F.coalesce("_around", F.lit(0)) >= min_neighbours).alias("dense"),
-        )
+    if not 0 <= bits <= MOST_BITS:
+        raise ValueError(f"a table has {MOST_BITS} planes")
+    points = different_vectors(df, key, vector, tables)
+    places = written(dense_places(points, bits, threshold, min_neighbours), "places")
+    dense = settle(places.filter("dense").select("point").distinct())
+    hung = places.filter(F.col("point") != F.col("part")).join(dense, "point", "left_semi")
+    ends = F.array(
+        F.struct(F.col("point").alias("a"), F.col("part").alias("b")),
+        F.struct(F.col("part").alias("a"), F.col("point").alias("b")),
     )
-    dense = weighed.filter("dense").select("cell")
-    core_links = links.join(dense.withColumnRenamed("cell", "a"), "a", "left_semi").join(
-        dense.withColumnRenamed("cell", "b"), "b", "left_semi"
-    )
-    roots = components(dense, settle(core_links.select("a", "b")))
-    # the most alike dense neighbour, ties to the smaller cell
-    nearest = F.max_by("root", F.struct(F.round("closeness", 9), -F.col("b")))
+    links = settle(hung.select(F.inline(ends)).distinct())
+    roots = components(dense.withColumnRenamed("point", "cell"), links).withColumnRenamed("cell", "point")
     border = (
-        links.join(roots.withColumnRenamed("cell", "b"), "b")
-        .groupBy(F.col("a").alias("cell"))
-        .agg(nearest.alias("_border_root"))
+        places.join(dense, "point", "left_anti")
+        .join(roots.withColumnRenamed("point", "part"), "part")
+        .groupBy("point")
+        .agg(F.min_by("root", F.struct(-F.col("closeness"), F.col("root"))).alias("root"))
     )
     placed = settle(
-        weighed.join(roots, "cell", "left")
-        .join(border, "cell", "left")
-        .select("cell", "size", "first_key", F.coalesce("root", "_border_root").alias("root"))
+        roots.select("point", "root")
+        .unionByName(border)
+        .join(points.select("point", "h1", "h2", "weight"), "point")
     )
     groups = (
-        placed.filter(F.col("root").isNotNull())
-        .groupBy("root")
-        .agg(F.sum("size").alias("size"), F.min("first_key").alias("first_key"))
+        placed.groupBy("root")
+        .agg(F.sum("weight").alias("size"), F.min("point.key").alias("first_key"))
         .filter(F.col("size") >= min_size)
     )
-    topics = placed.join(number_by_size(groups, "root", "size", "first_key"), "root", "left")
-    of_cell = topics.select("cell", "topic")
-    rows = df.drop("topic").withColumn("cell", cell_of(vector, dims, bits))
-    # cells are few enough to be sent along whatever the number of rows
-    return attach(rows, of_cell, ["cell"], "left", max_rows=1 << MAX_BITS).select(
-        *[c for c in rows.columns if c != "cell"],
-        F.coalesce("topic", F.lit(NOISE).cast("bigint")).alias("topic"),
-    )
+    topics = placed.join(number_by_size(groups, "root", "size", "first_key"), "root")
+    own = {c: f"_{uuid.uuid4().hex}" for c in ("h1", "h2", "topic")}
+    of_vector = topics.select(*[F.col(c).alias(name) for c, name in own.items()])
+    rows = df.drop("topic")
+    hashes = dict(zip(own.values(), _hashes(F.col(vector).cast("array<double>")), strict=False))
+    found = attach(rows.withColumns(hashes), of_vector, [own["h1"], own["h2"]])
+    topic = F.coalesce(own["topic"], F.lit(NOISE).cast("bigint")).alias("topic")
+    return found.select(*[F.col(c) for c in rows.columns], topic)
 
 
 def kmeans_topics(

@@ -49,6 +49,13 @@ def settle(df: DataFrame) -> DataFrame:
     return kept
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again: a cut whose readers take only their columns."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def attach(
     rows: DataFrame,
     table: DataFrame,
