@@ -241,6 +241,35 @@ SELECT vec_id, CAST(coalesce(topic, -1) AS BIGINT) AS topic FROM embeddings
 LEFT JOIN placed ON point = vec_id LEFT JOIN numbered USING (root)"""
 
 
+def kmeans(dims: int, count: int, rounds: int, threshold: float, seed: int) -> str:
+    """Every round of assignment and mean written out; rounds after the fixed point change nothing."""
+    steps = []
+    for r in range(rounds):
+        steps.append(f"""
+near{r} AS MATERIALIZED (SELECT vec_id, u, k FROM units, centres{r} QUALIFY row_number() OVER (
+  PARTITION BY vec_id ORDER BY round(list_inner_product(u, c), 9) DESC, k) = 1),
+sums{r} AS (SELECT k, i, sum(x) AS x FROM
+            (SELECT k, unnest(u) AS x, unnest(range({dims})) AS i FROM near{r}) GROUP BY k, i),
+means{r} AS (SELECT k, list(x ORDER BY i) AS m, sqrt(sum(x * x)) AS n FROM sums{r} GROUP BY k),
+centres{r + 1} AS MATERIALIZED (
+  SELECT o.k, CASE WHEN n > 0 THEN list_transform(m, lambda x: round(x / n, 9)) ELSE o.c END AS c
+  FROM centres{r} o LEFT JOIN means{r} USING (k))""")
+    return f"""WITH
+norms AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n
+          FROM embeddings),
+units AS MATERIALIZED (SELECT vec_id, list_transform(v, lambda x: x / n) AS u,
+                       md5('{seed}/' || vec_id) AS h FROM norms WHERE n > 0),
+chosen AS (SELECT u, min(h) AS h FROM units GROUP BY u ORDER BY 2 LIMIT {count}),
+centres0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k,
+                          list_transform(u, lambda x: round(x, 9)) AS c FROM chosen),{",".join(steps)},
+scored AS (SELECT vec_id, k, round(list_inner_product(u, c), 9) AS s FROM units, centres{rounds}
+           QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, k) = 1),
+kept AS (SELECT vec_id, CASE WHEN s >= {threshold} THEN k END AS k FROM scored),
+groups AS (SELECT k, count(*) AS size, min(vec_id) AS first_key FROM kept WHERE k IS NOT NULL GROUP BY k),
+numbered AS (SELECT k, row_number() OVER (ORDER BY size DESC, first_key) - 1 AS topic FROM groups)
+SELECT vec_id, CAST(coalesce(topic, -1) AS BIGINT) AS topic FROM kept LEFT JOIN numbered USING (k)"""
+
+
 ORACLES: dict[str, str] = {
     "weekly_topic_counts": "WITH " + WEEKS.format(where=""),
     "stream_weekly_counts": """SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start,
@@ -406,6 +435,7 @@ SELECT vec_id, CAST(CASE WHEN s >= 0.3 THEN label ELSE -1 END AS BIGINT) AS topi
 round(s, 6) AS closeness FROM s
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1""",
     "density_topics": density(P.DIMS, P.TABLES, P.BITS, 5, P.CLOSE, 10),
+    "kmeans_topics": kmeans(P.DIMS, 10, 20, 0.3, 7),
     "forecast_trend": f"WITH RECURSIVE {shares()}, {TREND_FIT} SELECT * FROM ahead",
     "forecast_seasonal": f"WITH RECURSIVE {shares()}, {SEASON_FIT} SELECT * FROM ahead",
     "series_last_value": f"""WITH {shares()} SELECT topic_name,

@@ -17,7 +17,7 @@ def test_query_equals_its_sql(spark, name):
 def test_every_statement_has_its_query():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {
-        "trained_sentiment", "kmeans_topics", "density_topics_text", "full_run_topics",
+        "trained_sentiment", "density_topics_text", "full_run_topics",
     }
 
 

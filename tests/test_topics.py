@@ -208,3 +208,76 @@ def test_centroids(spark):
     df = spark.createDataFrame(rows, "topic bigint, v array<float>")
     found = {r.topic: r.centroid for r in T.topic_centroids(df, "topic", "v").collect()}
     assert found == {1: [2.0, 3.0], 2: [0.0, 1.0]}
+
+
+def by_all_products(vectors, ids, centroids, threshold):
+    c = centroids / np.linalg.norm(centroids, axis=1, keepdims=True)
+    scores = np.round(vectors / np.linalg.norm(vectors, axis=1, keepdims=True) @ c.T, 9)
+    best = scores.max(axis=1)
+    return [min(ids[s == b]) if b >= threshold else -1 for s, b in zip(scores, best)], best
+
+
+@pytest.mark.parametrize("most", [T.MOST_CENTRE_NUMBERS, 200_000])
+def test_fifty_thousand_centroids(spark, monkeypatch, most):
+    """In one pass over the rows, and in several."""
+    monkeypatch.setattr(T, "MOST_CENTRE_NUMBERS", most)
+    rnd = np.random.default_rng(4)
+    centroids, vectors = rnd.normal(size=(50_000, 8)), rnd.normal(size=(400, 8))
+    centroids[40_000:] = centroids[:10_000]  # ties
+    ids = rnd.permutation(50_000)
+    expected, best = by_all_products(vectors, ids, centroids, 0.97)
+    known = spark.createDataFrame([(int(i), c.tolist()) for i, c in zip(ids, centroids)], "topic bigint, centroid array<double>")
+    df = spark.createDataFrame([(n // 2, v.tolist()) for n, v in enumerate(vectors)], "id bigint, v array<double>")
+    found = T.assign_topics(df, known, "id", "v", threshold=0.97)
+    assert sorted((r.id, r.topic, r.closeness) for r in found.collect()) == sorted(
+        (n // 2, t, b) for n, (t, b) in enumerate(zip(expected, best))
+    )
+    plan = found._jdf.queryExecution().toString()
+    assert len(plan) < 50_000 and "Join" not in plan
+
+
+def test_blocks_that_cannot_be_nearest_are_not_compared():
+    rnd = np.random.default_rng(0)
+    places = rnd.normal(size=(20, 16))
+    places /= np.linalg.norm(places, axis=1, keepdims=True)
+    centroids = np.repeat(places, 100, axis=0) + rnd.normal(size=(2000, 16)) * 0.03
+    centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+    index = T.Nearest(np.arange(2000), centroids, centroids[::100], 64)
+    rows = centroids[5::40] + 0.001
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    found, best, compared = index.find(rows)
+    expected, closeness = by_all_products(rows, np.arange(2000), centroids, -1)
+    assert found.tolist() == expected and np.array_equal(best, closeness)
+    assert compared < len(rows) * 2000 / 5
+
+
+def test_centroids_of_no_use(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id bigint, v array<double>")
+    kind = "topic bigint, centroid array<double>"
+    for rows in ([], [(1, [0.0, 0.0]), (None, [1.0, 1.0]), (2, None)]):
+        found = T.assign_topics(df, spark.createDataFrame(rows, kind), "id", "v").collect()
+        assert {(r.id, r.topic, r.closeness) for r in found} == {(1, -1, None), (2, -1, None)}
+    found = T.assign_topics(df, spark.createDataFrame([(7, [1.0, 2.0])], kind), "id", "v").collect()
+    assert {(r.id, r.topic) for r in found} == {(1, 7), (2, -1)}
+
+
+def test_kmeans_ends_at_a_fixed_point(spark):
+    """Each row's centre, the direction of its cluster's sum, is the nearest of all centres."""
+    rnd = np.random.default_rng(8)
+    vectors = rnd.normal(size=(300, 5))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    found = T.kmeans_topics(frame(spark, rows), "id", "v", 6, max_iter=100).collect()
+    labels = np.array([r.topic for r in sorted(found, key=lambda r: r.id)])
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    centres = np.array([units[labels == k].sum(axis=0) for k in range(6)])
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    assert (np.argmax(units @ centres.T, axis=1) == labels).all()
+
+
+def test_kmeans_of_copies_and_of_too_few_rows(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(50)] + [(90, [0.0, 1.0]), (91, [0.0, 0.0]), (92, None)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").withColumn("cluster", F.lit("x"))
+    found = T.kmeans_topics(df, "id", "v", 5)
+    assert {(r.topic, r["count"]) for r in found.groupBy("topic").count().collect()} == {(0, 50), (1, 1)}
+    assert found.columns == ["id", "v", "cluster", "topic"]
+    assert T.kmeans_topics(df.limit(0), "id", "v", 5).collect() == []

@@ -8,14 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from townpulse.functions.vectors import cosine, dot, norm
+from townpulse.functions.vectors import norm
 from townpulse.scale import attach, settle, written
 
 NOISE = -1
@@ -23,6 +22,10 @@ NOISE = -1
 MIN_TOPIC_SIZE = 10
 # Sets of planes, planes of a set that cut space at first, and planes that a set has.
 TABLES, BITS, MOST_BITS = 8, 8, 60
+# Numbers of centres or centroids that are sent to every task at once (64 MB).
+MOST_CENTRE_NUMBERS = 1 << 23
+# Centroids that serve as points of reference for the others.
+PIVOTS = 32
 # Different vectors that are compared in one cell; a cell with more is cut by this many further planes.
 MOST_ROWS, MORE_BITS = 4096, 4
 
@@ -308,6 +311,64 @@ def density_topics(
     return found.select(*[F.col(c) for c in rows.columns], topic)
 
 
+def _unit_rows(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """Vectors of equal length as rows of length 1."""
+    flat = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(float)
+    rows = flat.reshape(batch.num_rows, -1) if batch.num_rows else flat.reshape(0, 1)
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+
+def first_centres(df: DataFrame, key: str, vector: str, count: int, seed: int) -> np.ndarray:
+    """``count`` different directions: vectors in the order of the md5 of ``seed/key``."""
+    order = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")))
+    given = df.select(F.col(vector).cast("array<double>").alias("_v"), order.alias("_order"))
+    ranked = given.groupBy(*_hashes("_v")).agg(F.min("_order").alias("_order"))
+    least = ranked.orderBy("_order", "h1").limit(count)
+    # at most ``count`` rows go along
+    picked = given.join(F.broadcast(least.select("_order")), "_order", "left_semi")
+    chosen = picked.dropDuplicates(["_order"]).orderBy("_order").collect()
+    if not chosen:
+        return np.zeros((0, 1))
+    centres = np.array([r._v for r in chosen], float)
+    return np.round(centres / np.sqrt((centres * centres).sum(axis=1, keepdims=True)), 9)
+
+
+def moved_centres(points: DataFrame, vector: str, centres: np.ndarray) -> np.ndarray:
+    """Each centre moved to the direction of the sum of the rows nearest to it.
+
+    A task adds up its rows by centre, so that a centre's numbers are all that is shuffled, whatever
+    the size of its cluster. Equal closeness (to 9 digits) goes to the first centre; a centre without
+    rows stays where it is.
+    """
+    count, dims = centres.shape
+    shared = points.sparkSession.sparkContext.broadcast(centres)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((count, dims))
+        for batch in batches:
+            rows = _unit_rows(batch, vector)
+            if len(rows):
+                nearest = np.round(rows @ shared.value.T, 9).argmax(axis=1)
+                total += (nearest == np.arange(count)[:, None]).astype(float) @ rows
+        centre, place = np.nonzero(total)
+        yield pa.record_batch(
+            [pa.array(centre), pa.array(place), pa.array(total[centre, place])], names=["centre", "place", "part"]
+        )
+
+    sums = (
+        points.mapInArrow(add_up, "centre bigint, place bigint, part double")
+        .groupBy("centre", "place")
+        .agg(F.sum("part").alias("total"))
+        .collect()
+    )
+    shared.destroy()
+    moved = np.zeros((count, dims))
+    for r in sums:
+        moved[r.centre, r.place] = r.total
+    length = np.sqrt((moved * moved).sum(axis=1, keepdims=True))
+    return np.where(length > 0, np.round(moved / np.where(length > 0, length, 1), 9), centres)
+
+
 def kmeans_topics(
     df: DataFrame,
     key: str,
@@ -318,36 +379,55 @@ def kmeans_topics(
     max_iter: int = 20,
 ) -> DataFrame:
     """Adds ``topic``: k-means by cosine; rows less alike to their centre than
-    ``threshold`` are noise; ids by size. Rows without direction leave. Runs the fit."""
+    ``threshold`` are noise; ids by size. Rows without direction leave.
+
+    Rounds of assignment and mean until no centre moves (in 9 digits) or ``max_iter`` rounds are done.
+    The vectors are written once; a round reads them and shuffles at most ``count`` centres of each
+    task. Centres travel as a variable of at most ``MOST_CENTRE_NUMBERS`` numbers, not with the plan.
+    """
     columns = [c for c in df.columns if c != "topic"]
     ready = df.filter(F.col(vector).isNotNull() & (norm(vector) > 0))
-    ready = ready.select(*columns, array_to_vector(vector).alias("_v"))
-    model = KMeans(
-        k=count,
-        seed=seed,
-        maxIter=max_iter,
-        distanceMeasure="cosine",
-        featuresCol="_v",
-        predictionCol="_cluster",
-    ).fit(ready)
-    centres = F.array(
-        *[F.array(*[F.lit(float(x)) for x in centre]) for centre in model.clusterCenters()]
-    )
-    found = model.transform(ready)
-    if threshold is not None:
-        closeness = cosine(vector, F.element_at(centres, F.col("_cluster") + 1))
-        found = found.withColumn("_cluster", F.when(closeness >= threshold, F.col("_cluster")))
+    points = written(ready.select(F.col(key).alias("key"), F.col(vector).alias("v")), "vectors")
+    centres = first_centres(points, "key", "v", count, seed)
+    if centres.size > MOST_CENTRE_NUMBERS:
+        raise ValueError("too many centres for one variable; cluster in steps")
+    for _ in range(max_iter if len(centres) else 0):
+        moved = moved_centres(points.select("v"), "v", centres)
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("struct<cluster:bigint,closeness:double>")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        if not len(vectors):
+            return pd.DataFrame({"cluster": pd.Series([], dtype="int64"), "closeness": pd.Series([], dtype=float)})
+        rows = np.stack(vectors.to_numpy()).astype(float)
+        rows /= np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        closeness = np.round(rows @ shared.value.T, 9)
+        best = closeness.argmax(axis=1)
+        return pd.DataFrame({"cluster": best, "closeness": closeness[np.arange(len(best)), best]})
+
+    def placed(of: DataFrame, column: str, out: str) -> DataFrame:
+        found = of.withColumn(out, nearest(column))
+        if threshold is None:
+            return found.withColumn(out, F.col(f"{out}.cluster"))
+        return found.withColumn(out, F.when(F.col(out)["closeness"] >= threshold, F.col(out)["cluster"]))
+
     groups = (
-        found.filter(F.col("_cluster").isNotNull())
-        .groupBy("_cluster")
-        .agg(F.count("*").alias("size"), F.min(key).alias("first_key"))
+        placed(points, "v", "cluster")
+        .filter(F.col("cluster").isNotNull())
+        .groupBy("cluster")
+        .agg(F.count("*").alias("size"), F.min("key").alias("first_key"))
     )
+    own = f"_{uuid.uuid4().hex}"
     # at most ``count`` rows
-    numbers = F.broadcast(number_by_size(groups, "_cluster", "size", "first_key"))
-    named = found.join(numbers, "_cluster", "left")
-    return named.select(
-        *columns, F.coalesce("topic", F.lit(NOISE).cast("bigint")).alias("topic")
+    numbers = number_by_size(groups, "cluster", "size", "first_key").withColumnsRenamed(
+        {"cluster": own, "topic": f"{own}_topic"}
     )
+    named = placed(ready, vector, own).join(F.broadcast(numbers), own, "left")
+    topic = F.coalesce(f"{own}_topic", F.lit(NOISE).cast("bigint")).alias("topic")
+    return named.select(*columns, topic)
 
 
 def topic_centroids(df: DataFrame, topic: str, vector: str) -> DataFrame:
@@ -357,6 +437,62 @@ def topic_centroids(df: DataFrame, topic: str, vector: str) -> DataFrame:
     return df.filter(F.col(topic).isNotNull()).groupBy(topic).agg(mean.alias("centroid"))
 
 
+class Nearest:
+    """Centroids in blocks about pivots, searched with bounds from the triangle inequality on angles.
+
+    A block holds centroids whose angles to their nearest pivot are alike. A row whose angle to that
+    pivot differs from theirs by a gap is at least that gap away from all of them, so a block whose
+    least angle cannot better what the row has already is not compared with it.
+    """
+
+    def __init__(self, ids: np.ndarray, centroids: np.ndarray, pivots: np.ndarray, block: int):
+        """Centroids and pivots have length 1."""
+        closeness = np.clip(centroids @ pivots.T, -1, 1)
+        pivot = closeness.argmax(axis=1)
+        angle = np.arccos(closeness[np.arange(len(pivot)), pivot])
+        order = np.lexsort((angle, pivot))
+        cuts = np.flatnonzero(np.diff(pivot[order])) + 1
+        self.pivots, self.blocks = pivots, []
+        for part in np.split(order, cuts):
+            for at in range(0, len(part), block):
+                some = part[at : at + block]
+                low, high = float(angle[some].min()), float(angle[some].max())
+                by_id = some[np.argsort(ids[some])]  # the first of equals has the smallest id
+                self.blocks.append((int(pivot[some[0]]), low, high, ids[by_id], centroids[by_id]))
+
+    def find(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Best id and closeness (9 digits) of each row of length 1, and the comparisons made."""
+        angles = np.arccos(np.clip(rows @ self.pivots.T, -1, 1))
+        pivot, low, high = (np.array(x) for x in list(zip(*self.blocks, strict=True))[:3])
+        gap = np.maximum(0, np.maximum(angles[:, pivot] - high, low - angles[:, pivot]))
+        bound = np.cos(np.minimum(gap, np.pi))
+        best = np.full(len(rows), -np.inf)
+        found = np.zeros(len(rows), np.int64)
+        compared = 0
+
+        def look(number: int, at: np.ndarray) -> None:
+            nonlocal compared
+            _, _, _, ids, centroids = self.blocks[number]
+            scores = np.round(rows[at] @ centroids.T, 9)
+            first = scores.argmax(axis=1)
+            score, name = scores[np.arange(len(at)), first], ids[first]
+            better = (score > best[at]) | ((score == best[at]) & (name < found[at]))
+            best[at[better]], found[at[better]] = score[better], name[better]
+            compared += scores.size
+
+        likely = bound.argmax(axis=1)
+        for number in range(len(self.blocks)):
+            at = np.flatnonzero(likely == number)
+            if len(at):
+                look(number, at)
+        for number in range(len(self.blocks)):
+            # rounding may lift a score by half of the ninth digit
+            at = np.flatnonzero((likely != number) & (bound[:, number] >= best - 1e-8))
+            if len(at):
+                look(number, at)
+        return found, best, compared
+
+
 def assign_topics(
     df: DataFrame,
     centroids: DataFrame,
@@ -364,39 +500,77 @@ def assign_topics(
     vector: str,
     topic: str = "topic",
     threshold: float = 0.0,
-    chunk: int = 500,
+    chunk: int = 512,
 ) -> DataFrame:
     """``key, topic, closeness``: the most alike centroid by cosine, ties to the smaller
     id; -1 where even that is under ``threshold``.
 
-    ``centroids`` (topic, centroid) travel with the plan in lists of about
-    ``chunk``; each row is compared inside the row. Runs the centroids.
+    Centroids are rows, grouped into blocks of ``chunk`` about ``PIVOTS`` of them, and a row is
+    compared only with blocks that can hold a better one. Up to ``MOST_CENTRE_NUMBERS`` numbers of
+    centroids are sent along at once and the rows are read in place. More go in several passes over
+    the rows, of which each row keeps the best. A row without direction, or of another length than
+    the centroids have, is -1 without closeness. Runs the centroids.
     """
-    known = settle(
-        centroids.select(F.col(topic).cast("bigint").alias("t"), F.col("centroid").alias("c"))
-        .withColumn("n", norm("c"))
-        .filter(F.col("n") > 0)
+    spark = df.sparkSession
+    length = norm("c")
+    known = written(
+        centroids.select(F.col(topic).cast("bigint").alias("t"), F.col("centroid").cast("array<double>").alias("c"))
+        .filter(F.col("t").isNotNull() & (length > 0) & ~F.isnan(length))
+        .withColumn("h", F.xxhash64("t", "c")),
+        "centroids",
     )
-    chunks = -(-known.count() // chunk) or 1
-    rows = df.select(key, vector).withColumn("_norm", norm(vector))
-    best = F.lit(None).cast("struct<s:double,t:bigint>")
-    for number in range(chunks):
-        part = known.filter(F.pmod(F.xxhash64("t"), F.lit(chunks)) == number)
-        name = f"_known{number}"
-        rows = rows.withColumn(name, part.agg(F.collect_list(F.struct("t", "c", "n"))).scalar())
-        scored = F.transform(
-            name,
-            lambda k: F.struct(
-                F.round(F.try_divide(dot(vector, k["c"]), F.col("_norm") * k["n"]), 9).alias("s"),
-                (-k["t"]).alias("t"),
-            ),
-        )
-        usable = F.filter(scored, lambda x: x["s"].isNotNull())
-        best = F.array_max(F.array_compact(F.array(best, F.array_max(usable))))
-    found = rows.select(key, best.alias("_best"))
-    near = F.col("_best.s") >= threshold
+    sizes = known.agg(F.count("*").alias("n"), F.max(F.size("c")).alias("dims")).first()
+    dims = sizes.dims or 0
+    passes = max(1, -(-sizes.n * dims // MOST_CENTRE_NUMBERS))
+    pivots = np.array([r.c for r in known.orderBy("h").limit(PIVOTS).collect()], float).reshape(-1, dims or 1)
+    pivots /= np.sqrt((pivots * pivots).sum(axis=1, keepdims=True))
+    given = F.col(vector).cast("array<double>")
+    usable = (F.size("v") == dims) & (norm("v") > 0) & ~F.isnan(norm("v"))
+    rows = df.select(F.col(key).alias("key"), given.alias("v"))
+    rows = rows.select("key", F.coalesce(usable, F.lit(False)).alias("ok"), "v")
+    if passes > 1:
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    carried = [c for c in rows.columns if c not in ("ok", "v")]
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
+
+    def one_pass(number: int) -> DataFrame:
+        part = known.filter(F.pmod("h", F.lit(passes)) == number).select("t", "c").toArrow()
+        index = None
+        if part.num_rows:
+            vectors = part.column("c").combine_chunks().flatten().to_numpy().reshape(-1, dims)
+            vectors = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+            index = Nearest(part.column("t").to_numpy(), vectors, pivots, chunk)
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2048):
+                    some = batch.slice(at, 2048)
+                    topics, best = np.zeros(some.num_rows, np.int64), np.full(some.num_rows, np.nan)
+                    ok = some.column("ok").to_numpy(zero_copy_only=False).astype(bool)
+                    if shared.value is not None and ok.any():
+                        units = _unit_rows(some.filter(some.column("ok")), "v")
+                        topics[ok], best[ok], _ = shared.value.find(units)
+                    yield pa.record_batch(
+                        [
+                            *(some.column(c) for c in carried),
+                            pa.array(topics, mask=np.isnan(best)),
+                            pa.array(best, mask=np.isnan(best)),
+                        ],
+                        names=[*carried, "t", "s"],
+                    )
+
+        return rows.mapInArrow(run, f"{schema}, t bigint, s double")
+
+    found = one_pass(0)
+    if passes > 1:
+        for number in range(1, passes):
+            found = found.unionByName(one_pass(number))
+        best = F.max_by(F.struct("t", "s"), F.when(F.col("s").isNotNull(), F.struct("s", -F.col("t"))))
+        found = found.groupBy("row", "key").agg(best.alias("b")).select("key", "b.t", "b.s")
+    near = F.col("s") >= threshold
     return found.select(
-        key,
-        F.when(near, -F.col("_best.t")).otherwise(NOISE).cast("bigint").alias("topic"),
-        F.col("_best.s").alias("closeness"),
+        F.col("key").alias(key),
+        F.when(near, F.col("t")).otherwise(NOISE).cast("bigint").alias("topic"),
+        F.col("s").alias("closeness"),
     )
