@@ -181,6 +181,22 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC
 _LABELLED = """SELECT d.*, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive'
 ELSE 'neutral' END AS label FROM documents d JOIN labels USING (doc_id)"""
 
+BAYES = f"""WITH l AS ({_LABELLED}),
+seen AS (SELECT label, unnest({split(clean('text'))}) AS w FROM l WHERE text IS NOT NULL),
+counts AS (SELECT label, w, count(*) AS n FROM seen GROUP BY ALL),
+vocabulary AS (SELECT DISTINCT w FROM counts),
+labels AS (SELECT label, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM l WHERE text IS NOT NULL GROUP BY label),
+sizes AS (SELECT label, prior, coalesce((SELECT sum(n) FROM counts c WHERE c.label = labels.label), 0)
+          + (SELECT count(*) FROM vocabulary) AS n FROM labels),
+docs AS (SELECT doc_id, unnest({split(clean("coalesce(text, '')"))}) AS w FROM documents),
+known AS (SELECT doc_id, w, count(*) AS tf FROM docs JOIN vocabulary USING (w) GROUP BY ALL),
+summed AS (SELECT k.doc_id, s.label, sum(tf * ln((coalesce(c.n, 0) + 1) / s.n)) AS s
+           FROM known k, sizes s LEFT JOIN counts c ON c.label = s.label AND c.w = k.w GROUP BY ALL),
+scored AS (SELECT d.doc_id, z.label, round(z.prior + coalesce(m.s, 0), 9) AS score
+           FROM documents d, sizes z LEFT JOIN summed m ON m.doc_id = d.doc_id AND m.label = z.label)
+SELECT doc_id, label, round(score, 4) AS score FROM scored
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1"""
+
 _E_RANGE = f"ts >= TIMESTAMP '{P.EVENT_RANGE[0]}' AND ts < TIMESTAMP '2024-01-22'"
 _C_RANGE = f"ts BETWEEN TIMESTAMP '{P.COMMENT_RANGE[0]}' AND TIMESTAMP '{P.COMMENT_RANGE[1]}'"
 _RUNS = f"""runs AS (SELECT event_id, event_type AS topic_name FROM events WHERE ts < TIMESTAMP '2024-01-22'
@@ -358,6 +374,18 @@ sums AS (SELECT doc_id, sum(s) AS s FROM placed JOIN lex ON word = w GROUP BY do
 SELECT doc_id, CAST(coalesce(s, 0) AS BIGINT) AS score,
 CASE WHEN s > 0 THEN 'positive' WHEN s < 0 THEN 'negative' ELSE 'neutral' END AS label
 FROM docs LEFT JOIN sums USING (doc_id)""",
+    "bayes_sentiment": BAYES,
+    "bayes_sentiment_joined": BAYES,
+    "full_run_labels": f"""WITH {WHOLE_FEED},
+prepared AS (SELECT concat_ws('/', group_domain, post_id::VARCHAR, coalesce(comment_id::VARCHAR, '')) AS row_id,
+  list_filter({split(clean(f"regexp_replace({no_links('text')}, '{EMOJI}', ' ', 'g')"))},
+              lambda w: w NOT IN ({_words(P.STOP)})) AS ws FROM flat),
+scored AS (SELECT row_id, array_to_string(ws, ' ') AS text_preprocessed,
+  list_sum(list_transform(ws, lambda w: CASE w {" ".join(f"WHEN '{w}' THEN {n}" for w, n in P.RUN_SCORES.items())}
+                                        ELSE 0 END)) AS s
+  FROM prepared)
+SELECT row_id, coalesce(text_preprocessed, '') AS text_preprocessed,
+CASE WHEN s > 0 THEN 'positive' WHEN s < 0 THEN 'negative' ELSE 'neutral' END AS label FROM scored""",
     "label_wrap_exact": wrap("exact"),
     "label_wrap_clean": wrap("clean"),
     "series_name": "SELECT doc_id, replace(text, ', ', ' - ') AS name FROM documents",

@@ -20,6 +20,11 @@ SCORES = {
     "idiot": -3, "moron": -3, "scum": -3, "disgusting": -3, "worthless": -2, "trash": -2,
     "pathetic": -2, "vile": -2, "clown": -1, "able": 1, "avec": 1, "mit": 1, "con": 1,
 }
+# Fixed scores for the whole run: words of lines that many documents share.
+RUN_SCORES = {
+    "thanedble": -2, "esndha": -1, "therhean": -1, "laleenéelle": -2, "réleou": -1, "aulich": -1,
+    "erüver": -1, "erreth": -2, "ofretihaou": -1, "osóciónta": -2, "ofstthe": 1, "able": 1,
+}
 # Fixed display names of the event types; one type is left out on purpose.
 EVENT_NAMES = {"click": "Click", "view": "View", "purchase": "Purchase", "signup": "Sign-up"}
 # Order states read as sentiment labels.

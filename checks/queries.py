@@ -419,6 +419,22 @@ def trained_sentiment(spark, folder):
     return docs.select("doc_id", "label")
 
 
+@query
+def bayes_sentiment(spark, folder):
+    model = wording.train_bayes(labelled(spark, folder))
+    docs = wording.predict_bayes(raw_documents(spark, folder), model, "doc_id", score="score")
+    return docs.select("doc_id", "label", F.round("score", 4).alias("score"))
+
+
+@query
+def bayes_sentiment_joined(spark, folder):
+    """The same with the words' weights joined instead of sent along."""
+    model = wording.train_bayes(labelled(spark, folder))
+    docs = raw_documents(spark, folder)
+    found = wording.predict_bayes(docs, model, "doc_id", score="score", max_rows=0)
+    return found.select("doc_id", "label", F.round("score", 4).alias("score"))
+
+
 @query
 def label_wrap_exact(spark, folder):
     docs = raw_documents(spark, folder)
@@ -604,15 +620,25 @@ def report_monthly(spark, folder):
     return reports.monthly_shares(orders(spark, folder), "1996-01-01", "2000-12-31")
 
 
+def labelled_feed(spark, folder) -> DataFrame:
+    """The feed of documents as the run's first result table, written and read again."""
+    path = shared_path(spark, "labelled")
+    lexicon = spark.createDataFrame(list(P.RUN_SCORES.items()), "word string, score bigint")
+    flat = feed.flatten(document_feed(spark, folder))
+    tables.write_table(batch.label_table(flat, P.STOP, lexicon=lexicon), path)
+    return tables.read_table(spark, path)
+
+
+@query
+def full_run_labels(spark, folder):
+    return labelled_feed(spark, folder).select("row_id", "text_preprocessed", "label")
+
+
 @query
 def full_run_topics(spark, folder):
     """Feed of documents to the topic table, through the labelled table."""
-    labelled_path = shared_path(spark, "labelled")
     topics_path = shared_path(spark, "topics")
-    lexicon = spark.createDataFrame(list(P.SCORES.items()), "word string, score bigint")
-    flat = feed.flatten(document_feed(spark, folder))
-    tables.write_table(batch.label_table(flat, P.STOP, lexicon=lexicon), labelled_path)
-    negatives = batch.negative_rows(tables.read_table(spark, labelled_path))
+    negatives = batch.negative_rows(labelled_feed(spark, folder))
     found = batch.topic_table(negatives, dims=128, stop=P.STOP, threshold=0.6)
     tables.write_table(found, topics_path)
     return tables.read_table(spark, topics_path).select("row_id", "topic", "topic_name")
