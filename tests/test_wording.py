@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from townpulse.operators import wording as W
@@ -98,3 +99,86 @@ def test_trained_sentiment_separates_plain_words(spark):
     found = {r.id: r.label for r in W.predict_sentiment(test, model).collect()}
     assert (found[1], found[2], found[3]) == ("positive", "negative", "neutral")
     assert found[4] in {"positive", "negative", "neutral"}
+
+
+def plain_bayes(examples, texts, smoothing=1.0):
+    import math
+
+    rows = [(t.lower().split(), y) for t, y in examples if t is not None and y is not None]
+    labels = sorted({y for _, y in rows})
+    counts = {y: {} for y in labels}
+    for ws, y in rows:
+        for w in ws:
+            counts[y][w] = counts[y].get(w, 0) + 1
+    known = {w for c in counts.values() for w in c}
+    out = []
+    for t in texts:
+        scores = []
+        for y in labels:
+            n = sum(counts[y].values()) + smoothing * len(known)
+            s = math.log(sum(z == y for _, z in rows) / len(rows))
+            s += sum(math.log((counts[y].get(w, 0) + smoothing) / n) for w in (t or "").lower().split() if w in known)
+            scores.append(round(s, 9))
+        best = max(range(len(labels)), key=lambda i: (scores[i], -i))
+        out.append((labels[best], scores[best]))
+    return out
+
+
+@pytest.mark.parametrize("max_rows", [200_000, 0])
+def test_bayes_equals_plain_counts(spark, max_rows):
+    import random
+
+    rng = random.Random(2)
+
+    def some():
+        return " ".join(rng.choice(["Red", "green", "blue", "of", "a"]) for _ in range(rng.randint(0, 9)))
+
+    examples = [(some() + " ill" * (i % 3 == 0), ["bad", "good", "ill"][i % 3]) for i in range(40)]
+    examples += [(None, "good"), ("red", None)]
+    model = W.train_bayes(spark.createDataFrame(examples, "text string, label string"))
+    texts = [some() + " unseen" for _ in range(30)] + [None, "", "nothing known", "ill ill", "ill ill"]
+    df = spark.createDataFrame([(i % 20, t, i) for i, t in enumerate(texts)], "id bigint, text string, entries int")
+    found = W.predict_bayes(df.repartition(4), model, "id", score="score", max_rows=max_rows)
+    assert found.columns == ["id", "text", "entries", "label", "score"]
+    got = [(r.label, r.score) for r in sorted(found.collect(), key=lambda r: r.entries)]
+    for (label, score), (expected, wanted) in zip(got, plain_bayes(examples, texts), strict=True):
+        assert label == expected and abs(score - wanted) < 1e-8
+
+
+def test_bayes_without_examples(spark):
+    model = W.train_bayes(spark.createDataFrame([], "text string, label string"))
+    with pytest.raises(ValueError):
+        W.predict_bayes(spark.createDataFrame([("x",)], "text string"), model, "text")
+
+
+@pytest.mark.parametrize("max_rows", [200_000, 0])
+def test_large_dictionary_and_long_texts(spark, max_rows):
+    """Sixty thousand forms, a text of 20,000 words among empty and null ones, and hot copies."""
+    forms = spark.range(60_000).selectExpr("concat('w', id) AS form", "concat('l', id % 7) AS lemma")
+    long = " ".join(f"w{i * 7 % 90_000}" for i in range(20_000))
+    rows = [(1, long), (2, ""), (3, None), (4, "  "), (5, "none here")] + [(i, "w1 x w2") for i in range(10, 500)]
+    df = spark.createDataFrame(rows, "id bigint, t string").repartition(5)
+    found = {r.id: r.lemmas for r in W.lemmatize(df, forms, "id", "t", max_rows=max_rows).collect()}
+
+    def plain(t):
+        parts = [f"l{int(w[1:]) % 7}" if w[0] == "w" and int(w[1:]) < 60_000 else w for w in t.split()]
+        return " ".join(parts)
+
+    assert found[1] == plain(long) and found[2] == found[4] == "" and found[3] is None
+    assert found[5] == "none here" and {found[i] for i in range(10, 500)} == {"l1 x l2"}
+
+
+def test_texts_stay_where_they_are_within_the_bound(texts, forms):
+    plan = W.lemmatize(texts, forms, "id", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1  # the fixture's own
+
+
+def test_only_words_that_may_be_forms_travel(spark):
+    from townpulse.functions import lookup
+
+    forms = spark.createDataFrame([("b", "x")], "form string, lemma string")
+    bits = lookup.key_bitmap(forms, "form")
+    assert int(np.unpackbits(bits).sum()) == 1
+    df = spark.createDataFrame([("a b c b",), ("",), (None,)], "t string")
+    kept = df.select(lookup._may_be_keys(bits, W.words("t"), df).alias("k")).collect()
+    assert [r.k for r in kept] == [["b"], [], None]

@@ -1,44 +1,141 @@
-"""Word look-ups inside a row, without exploding or shuffling the texts."""
+"""What a dictionary says about every word of a text, without moving the texts for small dictionaries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Entries per bucket of a packed dictionary; a look-up scans one bucket.
-BUCKET_FILL = 4
+from townpulse.functions.text import words
+from townpulse.scale import BROADCAST_ROWS, attach, settle
 
+# Bits that say which words may be in a dictionary, and bits in a piece of them.
+BITMAP_BITS, PIECE_BITS = 24, 15
 
-def pack_dictionary(table: DataFrame, key: str, value: str, entries: int) -> Column:
-    """``table`` as one array of small maps, usable as a column of any frame.
 
-    The caller has checked that the table holds ``entries`` rows, few enough to
-    send around. Keys are hashed to buckets, so that a look-up costs the same
-    whatever the size. Of several values for a key the smallest is taken.
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(1 << BITMAP_BITS)).cast("int")
+
+
+def key_bitmap(table: DataFrame, key: str) -> np.ndarray:
+    """Which slots the keys of a table take: 2 MB, however many keys there are.
+
+    A full bitmap lets more words through; what is found does not change.
     """
-    buckets = max(1, entries // BUCKET_FILL)
-    unique = table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
-    filled = unique.groupBy(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")).agg(
-        F.map_from_entries(F.collect_list(F.struct(key, value))).alias("entries")
+    pieces = (
+        table.select(_slot(F.col(key)).alias("slot"))
+        .groupBy(F.shiftright("slot", PIECE_BITS).alias("piece"))
+        .agg(F.call_function("bitmap_construct_agg", F.col("slot") % (1 << PIECE_BITS)).alias("bits"))
+        .collect()
     )
-    whole = filled.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "entries"))).alias("m"))
-    empty = F.create_map().cast(filled.schema["entries"].dataType)
-    return whole.select(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(buckets - 1)),
-            lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), empty),
-        )
-    ).scalar()
+    out = np.zeros((1 << BITMAP_BITS) >> 3, np.uint8)
+    size = (1 << PIECE_BITS) >> 3
+    for row in pieces:
+        out[row.piece * size : (row.piece + 1) * size] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def _like(lists: pa.ListArray, values: pa.Array) -> pa.ListArray:
+    """Lists of the same lengths, and nulls at the same places, with other values."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=lists.is_null())
+
+
+def _sent_along(dictionary: DataFrame, form: str, value: str, words_of: Column) -> Column:
+    """Values of a row's words from a dictionary that every task has.
+
+    The words of a slice of rows are made distinct first, so each is looked up once.
+    """
+    table = dictionary.toArrow().combine_chunks()
+    keys, values = (table.column(c).combine_chunks() for c in (form, value))
+    keys, values = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (keys, values))
+    shared = dictionary.sparkSession.sparkContext.broadcast((keys, values))
+    kind = dictionary.schema[value].dataType.simpleString()
+
+    @F.arrow_udf(f"array<{kind}>")
+    def look(lists: pa.Array) -> pa.Array:
+        keys, values = shared.value
+        coded = lists.flatten().dictionary_encode()
+        found = values.take(pc.index_in(coded.dictionary, value_set=keys))
+        return _like(lists, found.take(coded.indices))
+
+    return look(words_of)
+
 
+def _may_be_keys(bitmap: np.ndarray, words_of: Column, table: DataFrame) -> Column:
+    """The distinct words of a row whose slot is taken."""
+    shared = table.sparkSession.sparkContext.broadcast(bitmap)
 
-def looker(packed: Column, entries: int) -> Callable[[Column], Column]:
-    """Look-up function over a packed dictionary held in column ``packed``."""
-    buckets = max(1, entries // BUCKET_FILL)
+    @F.arrow_udf("array<boolean>")
+    def taken(slots: pa.Array) -> pa.Array:
+        slot = slots.flatten().to_numpy()
+        return _like(slots, pa.array((shared.value[slot >> 3] >> (slot & 7)) & 1 > 0))
 
-    def look(word: Column) -> Column:
-        bucket = F.pmod(F.xxhash64(word), F.lit(buckets)) + 1
-        return F.try_element_at(F.element_at(packed, bucket.cast("int")), word)
+    distinct = F.array_distinct(words_of)
+    pairs = F.arrays_zip(distinct.alias("w"), taken(F.transform(distinct, _slot)).alias("k"))
+    return F.transform(F.filter(pairs, lambda p: p["k"]), lambda p: p["w"])
 
-    return look
+
+def _aligned(words_of: Column, entries: Column, form: str, value: str, kind: str) -> Column:
+    """Values of a row's words from the row's own entries (form, value)."""
+
+    @F.arrow_udf(f"array<{kind}>")
+    def place(lists: pa.Array, entries: pa.Array) -> pa.Array:
+        own = entries.flatten()
+        keys, values = own.field(form), own.field(value)
+        wanted = lists.flatten()
+        coded = pa.concat_arrays([keys, wanted]).dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+        def rows_of(x: pa.Array) -> np.ndarray:
+            sizes = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+            return np.repeat(np.arange(len(x)), sizes)
+
+        # a word of a row is the pair of its row and its number
+        pair = np.concatenate([rows_of(entries), rows_of(lists)]) * max(1, len(coded.dictionary)) + code
+        have, want = pair[: len(keys)], pair[len(keys) :]
+        order = np.argsort(have, kind="stable")
+        at = np.searchsorted(have[order], want)
+        hit = at < len(have)
+        hit[hit] = have[order][at[hit]] == want[hit]
+        index = np.zeros(len(want), np.int64)
+        index[hit] = order[at[hit]]
+        return _like(lists, values.take(pa.array(index, mask=~hit)))
+
+    return place(words_of, entries)
+
+
+def with_values(
+    df: DataFrame, text: str, dictionary: DataFrame, form: str, value: str, out: str, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Adds ``out``: for each of ``words(text)`` the dictionary's value, null where it has none.
+
+    Of several values for a form the smallest is taken; a null text gives null. A dictionary of up to
+    ``max_rows`` rows goes to every task and the rows stay where they are. A larger one is joined with
+    the distinct words of each different text that may be in it, by a bitmap of its forms, and the
+    entries found are brought to the rows by a 128-bit hash of their text.
+    """
+    once = dictionary.filter(F.col(form).isNotNull()).groupBy(form).agg(F.min(value).alias(value))
+    once = settle(once)
+    if once.count() <= max_rows:
+        return df.withColumn(out, _sent_along(once, form, value, words(text)))
+    own = {c: f"_{uuid.uuid4().hex}" for c in ("h1", "h2", "entries")}
+    hashes = {own["h1"]: F.xxhash64(text), own["h2"]: F.xxhash64(F.lit(1), F.col(text))}
+    pieces = df.filter(F.col(text).isNotNull()).select(
+        *[h.alias(name) for name, h in hashes.items()],
+        F.explode(_may_be_keys(key_bitmap(once, form), words(text), once)).alias(form),
+    )
+    by = [own["h1"], own["h2"]]
+    found = (
+        pieces.join(once.hint("merge"), form)
+        .groupBy(*by)
+        .agg(F.collect_set(F.struct(form, value)).alias(own["entries"]))
+    )
+    kind = once.schema[value].dataType.simpleString()
+    rows = attach(df.withColumns(hashes), found, by)
+    return rows.withColumn(out, _aligned(words(text), F.col(own["entries"]), form, value, kind)).drop(*own.values())

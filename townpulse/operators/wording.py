@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -10,7 +10,7 @@ from pyspark.ml.feature import IDF, HashingTF, IndexToString, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townpulse.functions.lookup import looker, pack_dictionary
+from townpulse.functions.lookup import with_values
 from townpulse.functions.text import (
     clean_text,
     remove_emojis,
@@ -28,46 +28,6 @@ def prepare(df: DataFrame, stop: list[str], text: str = "text", out: str = "text
     return df.withColumn(out, ready)
 
 
-def _with_found(
-    df: DataFrame,
-    dictionary: DataFrame,
-    columns: tuple[str, str],
-    key: str,
-    text: str,
-    out: str,
-    in_row: Callable[[Column, Callable[[Column], Column]], Column],
-    grouped: Column,
-    absent: Column,
-    max_rows: int,
-) -> DataFrame:
-    """Add ``out``, a value made of what ``dictionary`` says about a text's words.
-
-    A dictionary of up to ``max_rows`` rows is sent along and read inside each
-    row, so the texts are not shuffled. A larger one is joined to the exploded
-    words and the result is grouped by row again, under a number that each row gets
-    before: ``key`` may repeat or be null. Both ways give the same.
-    """
-    form, value = columns
-    dictionary = settle(dictionary.select(form, value))
-    size = dictionary.count()
-    if size == 0:
-        dictionary = dictionary.sparkSession.createDataFrame([], dictionary.schema)
-    if size <= max_rows:
-        packed = df.withColumn("_dict", pack_dictionary(dictionary, form, value, size))
-        look = looker(F.col("_dict"), size)
-        return packed.withColumn(out, in_row(words(text), look)).drop("_dict")
-    unique = dictionary.groupBy(form).agg(F.min(value).alias(value))
-    # A written cut, so that the numbers stay the same when a part is computed again.
-    rows = settle(df.withColumn("_row", F.monotonically_increasing_id()))
-    pieces = rows.select("_row", F.posexplode(words(text)).alias("_pos", form))
-    found = pieces.join(unique.hint("merge"), form, "left")
-    made = found.groupBy("_row").agg(grouped.alias("_made"))
-    kind = dictionary.schema[value].dataType
-    of_null = in_row(words(text), lambda word: F.lit(None).cast(kind))
-    value_of = F.when(F.col(text).isNull(), of_null).otherwise(F.coalesce("_made", absent))
-    return rows.join(made, "_row", "left").withColumn(out, value_of).drop("_row", "_made")
-
-
 def lemmatize(
     df: DataFrame,
     dictionary: DataFrame,
@@ -78,25 +38,12 @@ def lemmatize(
 ) -> DataFrame:
     """Replace each word found in ``dictionary`` (form, lemma) by its lemma.
 
-    Runs the dictionary to learn its size.
+    Runs the dictionary to learn its size; beyond ``max_rows`` it is joined (see ``with_values``).
+    ``key`` is not needed: rows are never told apart by it.
     """
-    ordered = F.array_sort(
-        F.collect_list(F.struct("_pos", F.coalesce("lemma", "form").alias("word")))
-    )
-    return _with_found(
-        df,
-        dictionary,
-        ("form", "lemma"),
-        key,
-        text,
-        out,
-        lambda parts, look: F.array_join(
-            F.transform(parts, lambda w: F.coalesce(look(w), w)), " "
-        ),
-        F.array_join(F.transform(ordered, lambda x: x["word"]), " "),
-        F.lit(""),
-        max_rows,
-    )
+    found = with_values(df, text, dictionary, "form", "lemma", "_lemmas", max_rows)
+    either = F.zip_with(words(text), "_lemmas", lambda w, lemma: F.coalesce(lemma, w))
+    return found.withColumn(out, F.array_join(either, " ")).drop("_lemmas")
 
 
 def lexicon_score(
@@ -109,21 +56,10 @@ def lexicon_score(
 ) -> DataFrame:
     """Sum of the ``lexicon`` (word, score: whole numbers) scores of a text's words."""
     lexicon = lexicon.select("word", F.col("score").cast("bigint").alias("score"))
+    found = with_values(df, text, lexicon, "word", "score", "_scores", max_rows)
     zero = F.lit(0).cast("bigint")
-    return _with_found(
-        df,
-        lexicon,
-        ("word", "score"),
-        key,
-        text,
-        out,
-        lambda parts, look: F.aggregate(
-            parts, zero, lambda total, w: total + F.coalesce(look(w), zero)
-        ),
-        F.coalesce(F.sum("score"), zero),
-        zero,
-        max_rows,
-    )
+    total = F.aggregate("_scores", zero, lambda total, s: total + F.coalesce(s, zero))
+    return found.withColumn(out, total).drop("_scores")
 
 
 def score_label(score) -> Column:
@@ -178,3 +114,84 @@ def predict_sentiment(
     keep = [c for c in df.columns if c != out]
     scored = model.transform(df.withColumn("_words", terms(clean_text(F.coalesce(text, F.lit(""))))))
     return scored.select(*keep, F.col("_name").alias(out))
+
+
+@dataclass
+class BayesModel:
+    """Multinomial naive Bayes as tables.
+
+    ``table`` (word, gains): for each label by how much a word lifts it over one that the label never
+    had, and a last 1. ``priors`` and ``floors``: each label's share of examples, and its weight of a
+    word it never had, as logarithms.
+    """
+
+    labels: list[str]
+    table: DataFrame
+    priors: list[float]
+    floors: list[float]
+
+
+def train_bayes(
+    examples: DataFrame, text: str = "text", label: str = "label", smoothing: float = 1.0
+) -> BayesModel:
+    """Count the words of labelled ``examples``. Runs jobs.
+
+    Rows without label or text are not learned from. Only counts are shuffled, combined before; the
+    labels are expected to be few, the words may be any number.
+    """
+    ready = examples.select(F.col(label).alias("label"), words(clean_text(text)).alias("words")).na.drop()
+    sizes = ready.groupBy("label").agg(F.count("*").alias("rows"), F.sum(F.size("words")).alias("n")).collect()
+    sizes.sort(key=lambda r: r.label)
+    counts = settle(
+        ready.select("label", F.explode("words").alias("word")).groupBy("label", "word").agg(F.count("*").alias("n"))
+    )
+    distinct = counts.agg(F.countDistinct("word").alias("v")).first().v
+    of_label = [F.sum(F.when(F.col("label") == r.label, F.col("n")).otherwise(0)) for r in sizes]
+    gains = F.array(*[F.ln((n + F.lit(smoothing)) / smoothing) for n in of_label], F.lit(1.0))
+    weights = [F.lit(smoothing) / (F.lit(float(r.n)) + smoothing * distinct) for r in sizes]
+    total = sum(r.rows for r in sizes)
+    logs = ready.sparkSession.range(1).select(
+        F.array(*[F.ln(F.lit(float(r.rows)) / total) for r in sizes]).alias("priors"),
+        F.array(*[F.ln(w) for w in weights]).alias("floors"),
+    ).first()
+    return BayesModel(
+        [r.label for r in sizes], counts.groupBy("word").agg(gains.alias("gains")), logs.priors, logs.floors
+    )
+
+
+def predict_bayes(
+    df: DataFrame,
+    model: BayesModel,
+    key: str,
+    text: str = "text",
+    out: str = "label",
+    score: str | None = None,
+    max_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Add the label whose prior and words' weights sum to most, ties (9 digits) to the first by name.
+
+    Words that no example had count nothing, and a text without known words, or null, gets the most
+    frequent label. ``score`` names a column for the winning sum. Words are looked up as in
+    ``lexicon_score``.
+    """
+    if not model.labels:
+        raise ValueError("a model without labels")
+    n = len(model.labels)
+    nothing = F.array(*[F.lit(0.0)] * (n + 1))
+    sums, body = f"_sums_{out}", f"_body_{out}"
+    read = df.withColumn(body, clean_text(F.coalesce(text, F.lit(""))))
+    found = with_values(read, body, model.table, "word", "gains", sums, max_rows)
+    added = F.aggregate(
+        sums, nothing, lambda total, w: F.zip_with(total, F.coalesce(w, nothing), lambda a, b: a + b)
+    )
+    # summed once: the totals read the sums several times
+    found = found.withColumn(sums, F.transform(F.array(added), lambda s: s)[0])
+    totals = [
+        F.round(F.lit(prior) + F.lit(floor) * F.get(sums, F.lit(n)) + F.get(sums, F.lit(i)), 9)
+        for i, (prior, floor) in enumerate(zip(model.priors, model.floors, strict=True))
+    ]
+    ranked = F.array(*[F.struct(t.alias("s"), F.lit(-i).alias("i")) for i, t in enumerate(totals)])
+    names = F.array(*[F.lit(name) for name in model.labels])
+    best = found.withColumn(sums, F.array_max(ranked))
+    added = {out: F.get(names, -F.col(f"{sums}.i"))} | ({score: F.col(f"{sums}.s")} if score else {})
+    return best.withColumns(added).drop(sums, body)
