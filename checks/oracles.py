@@ -74,47 +74,63 @@ shares AS (SELECT *, CASE WHEN total_comments = 0 THEN 0.0
 
 _SERIES = """
 series AS (SELECT topic_name, list(percent ORDER BY month_start) AS y,
-                  max(month_start) AS last FROM shares GROUP BY topic_name),
-tenths AS (SELECT unnest(range(1, 10)) / 10.0::DOUBLE AS x)"""
-
-TREND_FIT = f"""{_SERIES},
-grid2 AS (SELECT a.x AS alpha, b.x AS beta FROM tenths a, tenths b),
-fit AS (
-  SELECT topic_name, y, last, alpha, beta, 2 AS i, y[1] AS lev, y[2] - y[1] AS slope,
-         0.0::DOUBLE AS sse
-  FROM series, grid2
-  UNION ALL
-  SELECT topic_name, y, last, alpha, beta, i + 1,
-         alpha * y[i] + (1 - alpha) * (lev + slope),
-         beta * (alpha * y[i] + (1 - alpha) * (lev + slope) - lev) + (1 - beta) * slope,
-         sse + (y[i] - (lev + slope)) * (y[i] - (lev + slope))
-  FROM fit WHERE i <= len(y)),
-best AS (SELECT * FROM fit WHERE i = len(y) + 1
-         QUALIFY row_number() OVER (PARTITION BY topic_name ORDER BY sse, alpha, beta) = 1),
-ahead AS (SELECT topic_name, CAST(last + to_months(CAST(h AS INTEGER)) AS DATE) AS month_start,
-                 round_even(lev + h * slope, 1) AS percent
-          FROM best, (SELECT unnest(range(1, 4)) AS h))"""
-
-SEASON_FIT = f"""{_SERIES},
-grid3 AS (SELECT a.x AS alpha, b.x AS beta, g.x AS gamma FROM tenths a, tenths b, tenths g),
-begun AS (SELECT topic_name, y, last, list_sum(y[1:12]) / 12.0::DOUBLE AS m1,
-                 list_sum(y[13:24]) / 12.0::DOUBLE AS m2 FROM series),
-fit AS (
-  SELECT topic_name, y, last, alpha, beta, gamma, 13 AS i, m1 AS lev, (m2 - m1) / 12.0::DOUBLE AS slope,
-         list_transform(y[1:12], lambda v: v - m1) AS s, 0.0::DOUBLE AS sse
-  FROM begun, grid3
+                  max(month_start) AS last FROM shares GROUP BY topic_name)"""
+
+
+def fitted(season: bool) -> str:
+    """The search written out: the coarse grid, then each box around the best, by recursion over months."""
+    if season:
+        begun = """begun AS (SELECT topic_name, y, last, list_sum(y[1:12]) / 12.0::DOUBLE AS m1,
+                 list_sum(y[13:24]) / 12.0::DOUBLE AS m2 FROM series)"""
+        start = """13 AS i, m1 + shift * (m2 - m1) AS lev, tilt * ((m2 - m1) / 12.0::DOUBLE) AS slope,
+         list_transform(y[1:12], lambda v: swing * (v - m1)) AS s"""
+        gammas = "(SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS x)"
+        moved = "greatest(least({0}, 0.99), 0.01)"
+    else:
+        begun = "begun AS (SELECT topic_name, y, last, y[1] AS m1, y[2] AS m2 FROM series)"
+        start = "2 AS i, m1 + shift * (m2 - m1) AS lev, tilt * (m2 - m1) AS slope, list_transform(range(12), lambda v: 0.0::DOUBLE) AS s"
+        gammas = "(SELECT 0.0::DOUBLE AS x)"
+        moved = "b.gamma"
+    out = [_SERIES, begun, f"""
+tried0 AS (SELECT g.*, a.x AS alpha, b.x AS beta, c.x AS gamma, 0.0::DOUBLE AS shift, 1.0::DOUBLE AS tilt,
+                  1.0::DOUBLE AS swing
+           FROM begun g, (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS x) a,
+                (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS x) b, {gammas} c),
+corners AS (SELECT x.v AS x, y.v AS y, z.v AS z FROM (SELECT unnest([-1, 0, 1])::DOUBLE AS v) x,
+            (SELECT unnest([-1, 0, 1])::DOUBLE AS v) y, (SELECT unnest([-1, 0, 1])::DOUBLE AS v) z)"""]
+    names = "topic_name, y, last, m1, m2, alpha, beta, gamma, shift, tilt, swing"
+    boxes = [size for n in range(7) for size in ((0.1 / 2**n, 0.0), (0.0, 0.5 / 2**n))]
+    for r in range(len(boxes) + 1):
+        out.append(f"""
+fit{r} AS (
+  SELECT {names}, {start}, 0.0::DOUBLE AS sse FROM tried{r}
   UNION ALL
-  SELECT topic_name, y, last, alpha, beta, gamma, i + 1,
+  SELECT {names}, i + 1,
          alpha * (y[i] - s[1]) + (1 - alpha) * (lev + slope),
          beta * (alpha * (y[i] - s[1]) + (1 - alpha) * (lev + slope) - lev) + (1 - beta) * slope,
-         list_concat(s[2:12], [gamma * (y[i] - (lev + slope)) + (1 - gamma) * s[1]]),
+         list_concat(s[2:12], [{"gamma * (y[i] - (lev + slope)) + (1 - gamma) * s[1]" if season else "0.0::DOUBLE"}]),
          sse + (y[i] - (lev + slope + s[1])) * (y[i] - (lev + slope + s[1]))
-  FROM fit WHERE i <= len(y)),
-best AS (SELECT * FROM fit WHERE i = len(y) + 1
-         QUALIFY row_number() OVER (PARTITION BY topic_name ORDER BY sse, alpha, beta, gamma) = 1),
+  FROM fit{r} WHERE i <= len(y)),
+best{r} AS MATERIALIZED (SELECT * FROM fit{r} WHERE i = len(y) + 1 QUALIFY row_number() OVER (
+  PARTITION BY topic_name ORDER BY round(sse, 9), alpha, beta, gamma, shift, tilt, swing) = 1)""")
+        if r < len(boxes):
+            a, b = boxes[r]
+            out.append(f"""
+tried{r + 1} AS (SELECT topic_name, b.y, last, m1, m2,
+  greatest(least(round(alpha + c.x * {a}::DOUBLE, 6), 0.99), 0.01) AS alpha,
+  greatest(least(round(beta + c.y * {a}::DOUBLE, 6), 0.99), 0.01) AS beta,
+  {moved.format(f"round(gamma + c.z * {a}::DOUBLE, 6)")} AS gamma,
+  round(shift + c.x * {b}::DOUBLE, 6) AS shift, round(tilt + c.y * {b}::DOUBLE, 6) AS tilt,
+  {f"round(swing + c.z * {b}::DOUBLE, 6)" if season else "b.swing"} AS swing
+  FROM best{r} b, corners c)""")
+    out.append(f"""
 ahead AS (SELECT topic_name, CAST(last + to_months(CAST(h AS INTEGER)) AS DATE) AS month_start,
                  round_even(lev + h * slope + s[h], 1) AS percent
-          FROM best, (SELECT unnest(range(1, 4)) AS h))"""
+          FROM best{len(boxes)}, (SELECT unnest(range(1, 4)) AS h))""")
+    return ",".join(out)
+
+
+TREND_FIT, SEASON_FIT = fitted(False), fitted(True)
 
 CONVERSATION = """
 posts AS (SELECT 'g' || (conv_id % 3) AS group_domain, conv_id AS post_id,

@@ -37,15 +37,49 @@ def test_tfidf_against_a_direct_count(docs):
     assert all(abs(found[k] - expected[k]) < 1e-12 for k in found)
 
 
-def test_tfidf_with_a_vocabulary_too_large_to_send(docs, monkeypatch):
+def test_tfidf_with_a_vocabulary_too_large_to_send(docs):
     small = sorted(T.tfidf(docs, "id", min_df=1, max_df=1.0).collect())
-    join = T.attach
-    monkeypatch.setattr(T, "attach", lambda *a: join(*a, max_rows=1))
-    large = sorted(T.tfidf(docs, "id", min_df=1, max_df=1.0).collect())
+    large = sorted(T.tfidf(docs, "id", min_df=1, max_df=1.0, max_rows=0).collect())
     assert [(r.id, r.term) for r in small] == [(r.id, r.term) for r in large]
     assert all(abs(a.weight - b.weight) < 1e-12 for a, b in zip(small, large))
 
 
+@pytest.mark.parametrize("max_rows", [200_000, 0])
+def test_tfidf_shuffles_no_text(spark, tmp_path, max_rows):
+    rows = spark.range(50).selectExpr("id", "concat('word', id % 3, ' of words ', id) AS cleaned")
+    rows.write.parquet(str(tmp_path / "d"))
+    found = T.tfidf(spark.read.parquet(str(tmp_path / "d")), "id", min_df=2, max_df=1.0, max_rows=max_rows)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    shuffled = [p for p in plan.toString().split("\n") if "Repartition" in p or "RebalancePartitions" in p]
+    assert shuffled == []
+    executed = found._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange") == (0 if max_rows else executed.count("Exchange hashpartitioning"))
+    assert "FileScan" in executed and found.count() > 0
+
+
+def test_tfidf_of_null_and_empty_texts(spark):
+    rows = [(1, None), (2, ""), (3, "a b"), (4, "aa bb"), (5, "aa aa"), (5, "aa cc")]
+    docs = spark.createDataFrame(rows, "id bigint, cleaned string")
+    found = sorted((r.id, r.term, round(r.weight, 6)) for r in T.tfidf(docs, "id", min_df=1, max_df=1.0).collect())
+    assert [(i, t) for i, t, _ in found] == [(4, "aa"), (4, "bb"), (5, "aa"), (5, "aa"), (5, "cc")]
+    assert T.tfidf(docs.limit(0), "id").collect() == []
+
+
+def test_words_and_pairs_are_counted_in_one_reading(spark, tmp_path):
+    rows = [(i, "ab"[i % 2], f"слово{i % 9} вода раз 2024 горячая вода") for i in range(200)]
+    spark.createDataFrame(rows, "id bigint, topic string, cleaned string").write.parquet(str(tmp_path / "p"))
+    docs = spark.read.parquet(str(tmp_path / "p"))
+    counts = T.word_and_pair_counts(docs, "topic", "cleaned", ["раз"])
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "partial_count" in plan
+    found = {(r.topic, r._w1, r._w2): r["count"] for r in counts.collect()}
+    assert found["a", "вода", None] == 200 and found["a", "горячая", "вода"] == 100
+    # a bare number between two words is not there, so they are neighbours
+    assert ("a", "раз", "горячая") not in found and ("a", "раз", None) not in found
+    clouds = T.phrase_frequencies(docs, "topic", stop=["раз"])
+    assert "FileScan" not in clouds._jdf.queryExecution().executedPlan().toString()
+
+
 def test_word_frequencies_drop_numbers_and_scale_to_the_top(docs):
     found = {(r.topic, r.term): (r["count"], r.frequency) for r in T.word_frequencies(docs, "topic", stop=["город"]).collect()}
     assert found == {

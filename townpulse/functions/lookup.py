@@ -39,14 +39,14 @@ def key_bitmap(table: DataFrame, key: str) -> np.ndarray:
     return out
 
 
-def _like(lists: pa.ListArray, values: pa.Array) -> pa.ListArray:
+def like_lists(lists: pa.ListArray, values: pa.Array) -> pa.ListArray:
     """Lists of the same lengths, and nulls at the same places, with other values."""
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=lists.is_null())
 
 
-def _sent_along(dictionary: DataFrame, form: str, value: str, words_of: Column) -> Column:
+def values_sent_along(dictionary: DataFrame, form: str, value: str, words_of: Column) -> Column:
     """Values of a row's words from a dictionary that every task has.
 
     The words of a slice of rows are made distinct first, so each is looked up once.
@@ -62,7 +62,7 @@ def _sent_along(dictionary: DataFrame, form: str, value: str, words_of: Column)
         keys, values = shared.value
         coded = lists.flatten().dictionary_encode()
         found = values.take(pc.index_in(coded.dictionary, value_set=keys))
-        return _like(lists, found.take(coded.indices))
+        return like_lists(lists, found.take(coded.indices))
 
     return look(words_of)
 
@@ -74,7 +74,7 @@ def _may_be_keys(bitmap: np.ndarray, words_of: Column, table: DataFrame) -> Colu
     @F.arrow_udf("array<boolean>")
     def taken(slots: pa.Array) -> pa.Array:
         slot = slots.flatten().to_numpy()
-        return _like(slots, pa.array((shared.value[slot >> 3] >> (slot & 7)) & 1 > 0))
+        return like_lists(slots, pa.array((shared.value[slot >> 3] >> (slot & 7)) & 1 > 0))
 
     distinct = F.array_distinct(words_of)
     pairs = F.arrays_zip(distinct.alias("w"), taken(F.transform(distinct, _slot)).alias("k"))
@@ -105,7 +105,7 @@ def _aligned(words_of: Column, entries: Column, form: str, value: str, kind: str
         hit[hit] = have[order][at[hit]] == want[hit]
         index = np.zeros(len(want), np.int64)
         index[hit] = order[at[hit]]
-        return _like(lists, values.take(pa.array(index, mask=~hit)))
+        return like_lists(lists, values.take(pa.array(index, mask=~hit)))
 
     return place(words_of, entries)
 
@@ -123,7 +123,7 @@ def with_values(
     once = dictionary.filter(F.col(form).isNotNull()).groupBy(form).agg(F.min(value).alias(value))
     once = settle(once)
     if once.count() <= max_rows:
-        return df.withColumn(out, _sent_along(once, form, value, words(text)))
+        return df.withColumn(out, values_sent_along(once, form, value, words(text)))
     own = {c: f"_{uuid.uuid4().hex}" for c in ("h1", "h2", "entries")}
     hashes = {own["h1"]: F.xxhash64(text), own["h2"]: F.xxhash64(F.lit(1), F.col(text))}
     pieces = df.filter(F.col(text).isNotNull()).select(

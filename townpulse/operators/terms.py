@@ -5,12 +5,16 @@ Inputs hold text that went through ``clean_text``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from townpulse.functions.text import terms, word_line
-from townpulse.scale import attach
+from townpulse.functions.lookup import values_sent_along
+from townpulse.functions.text import terms, word_line, words
+from townpulse.scale import BROADCAST_ROWS, attach, settle
 
 # Document-frequency cuts of the vectoriser and list lengths (fixed).
 MIN_DF = 10
@@ -19,10 +23,36 @@ TERMS_PER_TOPIC = 10
 CLOUD_WORDS = 200
 # Likelihood ratio above which two neighbouring words are a phrase (fixed).
 PHRASE_THRESHOLD = 30.0
+# Words that clouds leave out.
+BARE_NUMBER = r"^\p{Nd}+$"
 # Topics listed and named: ids 0 to 45 (fixed).
 LAST_LISTED_TOPIC = 45
 
 
+def unit_weights(words_of: Column, idfs: Column) -> Column:
+    """Array of (term, weight) of a row: its different words with an idf, as a vector of length 1."""
+
+    @F.arrow_udf("array<struct<term:string,weight:double>>")
+    def weigh(lists: pa.Array, idfs: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(lists)), sizes)
+        coded = lists.flatten().dictionary_encode()
+        idf = idfs.flatten().to_numpy(zero_copy_only=False).astype(float)
+        known = np.flatnonzero(~np.isnan(idf))
+        size = max(1, len(coded.dictionary))
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pair, first, count = np.unique(rows[known] * size + code[known], return_index=True, return_counts=True)
+        row, weight = pair // size, count * idf[known][first]
+        length = np.sqrt(np.bincount(row, weight * weight, len(lists)))
+        made = pa.StructArray.from_arrays(
+            [coded.dictionary.take(pa.array(pair % size)), pa.array(weight / length[row])], ["term", "weight"]
+        )
+        offsets = np.append(0, np.cumsum(np.bincount(row, minlength=len(lists))))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), made)
+
+    return weigh(words_of, idfs)
+
+
 def tfidf(
     docs: DataFrame,
     key: str,
@@ -30,16 +60,18 @@ def tfidf(
     stop: list[str] = (),
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
+    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``key, term, weight``: term count times smoothed idf, each document of length 1.
 
     Terms in fewer than ``min_df`` documents or in more than the share ``max_df``
-    of them are left out. ``key`` names one row each. Documents are placed by key
-    once; counting, weighting and the norm then need no further shuffle as long as
-    the vocabulary is small enough to be sent along. Runs the vocabulary.
+    of them are left out. ``key`` names one row each. A vocabulary of up to
+    ``max_rows`` terms goes to every task, where a row's terms are counted, weighed
+    and scaled in the row; with a larger one only (key, term, count) is shuffled.
+    Texts stay where they are. Runs the vocabulary.
     """
     total = docs.agg(F.count("*").alias("n")).scalar()
-    vocabulary = (
+    vocabulary = settle(
         docs.select(F.explode(F.array_distinct(terms(text, stop))).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("_df"))
@@ -47,16 +79,20 @@ def tfidf(
         .filter((F.col("_df") >= min_df) & (F.col("_df") <= F.col("_all") * F.lit(max_df)))
         .select("term", (F.ln((1 + F.col("_all")) / (1 + F.col("_df"))) + 1).alias("_idf"))
     )
+    if vocabulary.count() <= max_rows:
+        # split once; words outside the vocabulary, stop words among them, have no idf
+        split = docs.select(key, words(text).alias("_words"))
+        idfs = values_sent_along(vocabulary, "term", "_idf", F.col("_words"))
+        weighed = split.withColumn("_idfs", idfs).select(
+            key, F.explode(unit_weights(F.col("_words"), F.col("_idfs"))).alias("_w")
+        )
+        return weighed.select(key, "_w.term", "_w.weight")
     counts = (
-        docs.select(key, text)
-        .repartition(key)
-        # exploded in place: a named array would also be tested for emptiness, before
-        # the shuffle and at the price of splitting every text twice
-        .select(key, F.explode(terms(text, stop)).alias("term"))
+        docs.select(key, F.explode(terms(text, stop)).alias("term"))
         .groupBy(key, "term")
         .agg(F.count("*").alias("_tf"))
     )
-    weighed = attach(counts, vocabulary, ["term"], "inner").withColumn(
+    weighed = counts.join(vocabulary.hint("merge"), "term").withColumn(
         "_w", F.col("_tf") * F.col("_idf")
     )
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))
@@ -92,7 +128,7 @@ def word_frequencies(
     ties by word; ``frequency`` is relative to the topic's most frequent word.
     """
     counts = topic_term_counts(df, topic, text, stop)
-    return cloud(counts.filter(~F.col("term").rlike(r"^\p{Nd}+$")), topic, count)
+    return cloud(counts.filter(~F.col("term").rlike(BARE_NUMBER)), topic, count)
 
 
 def likelihood_ratio(both, first, second, total) -> Column:
@@ -115,6 +151,35 @@ def likelihood_ratio(both, first, second, total) -> Column:
     return F.when((total <= first) | (total <= second), 0.0).otherwise(-2 * ratio)
 
 
+def word_and_pair_counts(df: DataFrame, topic: str, text: str, stop: list[str]) -> DataFrame:
+    """``topic, _w1, _w2, count``: words other than stop words and bare numbers (``_w2`` null), and
+    neighbouring pairs of them.
+
+    A text is read and split once; its words and pairs are one stream, combined before its one shuffle.
+    """
+    listed_words = list(stop)
+
+    def usable(word: Column) -> Column:
+        return ~word.isin(listed_words) if listed_words else F.lit(True)
+
+    def both(tokens: Column) -> Column:
+        zipped = F.arrays_zip(tokens.alias("_w1"), F.slice(tokens, F.lit(2), F.size(tokens)).alias("_w2"))
+        pairs = F.filter(zipped, lambda z: z["_w2"].isNotNull() & usable(z["_w1"]) & usable(z["_w2"]))
+        alone = F.transform(
+            F.filter(tokens, usable),
+            lambda w: F.struct(w.alias("_w1"), F.lit(None).cast("string").alias("_w2")),
+        )
+        return F.concat(alone, pairs)
+
+    tokens = F.filter(terms(text), lambda w: ~w.rlike(BARE_NUMBER))
+    return (
+        df.filter(F.col(topic).isNotNull())
+        .select(topic, F.explode(F.transform(F.array(tokens), both)[0]).alias("z"))
+        .groupBy(topic, F.col("z._w1").alias("_w1"), F.col("z._w2").alias("_w2"))
+        .agg(F.count("*").alias("count"))
+    )
+
+
 def phrase_frequencies(
     df: DataFrame,
     topic: str,
@@ -130,36 +195,17 @@ def phrase_frequencies(
     phrase are taken off the counts of its words. Pairs are counted before they
     meet the word counts, so the joins see each pair of a topic once.
     """
-    plain = r"^\p{Nd}+$"
-    named = df.filter(F.col(topic).isNotNull())
-    words = topic_term_counts(df, topic, text, stop).filter(~F.col("term").rlike(plain))
-
-    def neighbours(tokens: Column) -> Column:
-        zipped = F.arrays_zip(tokens.alias("w"), F.slice(tokens, F.lit(2), F.size(tokens)).alias("x"))
-        usable = F.filter(zipped, lambda z: z["x"].isNotNull())
-        if not stop:
-            return usable
-        listed_words = list(stop)
-        return F.filter(
-            usable, lambda z: ~z["w"].isin(listed_words) & ~z["x"].isin(listed_words)
-        )
-
-    tokens = F.filter(terms(text), lambda w: ~w.rlike(plain))
-    pairs = (
-        named.select(topic, F.explode(F.transform(F.array(tokens), neighbours)[0]).alias("z"))
-        .select(topic, F.col("z.w").alias("_w1"), F.col("z.x").alias("_w2"))
-        .groupBy(topic, "_w1", "_w2")
-        .agg(F.count("*").alias("count"))
-    )
-    total = words.groupBy(topic).agg(F.sum("count").alias("_n"))
-    first = words.select(topic, F.col("term").alias("_w1"), F.col("count").alias("_c1"))
-    second = words.select(topic, F.col("term").alias("_w2"), F.col("count").alias("_c2"))
+    counts = settle(word_and_pair_counts(df, topic, text, stop))
+    lone = counts.filter(F.col("_w2").isNull()).select(topic, F.col("_w1").alias("term"), "count")
+    pairs = counts.filter(F.col("_w2").isNotNull())
+    total = lone.groupBy(topic).agg(F.sum("count").alias("_n"))
+    first = lone.select(topic, F.col("term").alias("_w1"), F.col("count").alias("_c1"))
+    second = lone.select(topic, F.col("term").alias("_w2"), F.col("count").alias("_c2"))
     score = likelihood_ratio(F.col("count"), F.col("_c1"), F.col("_c2"), F.col("_n"))
+    # totals are one row a topic: sent along where they are few
+    placed = attach(pairs.join(first, [topic, "_w1"]).join(second, [topic, "_w2"]), total, [topic], "inner")
     phrases = (
-        pairs.join(first, [topic, "_w1"])
-        .join(second, [topic, "_w2"])
-        .join(total, topic)
-        .filter(score > threshold)
+        placed.filter(score > threshold)
         .select(topic, "_w1", "_w2", "count")
     )
     taken = (
@@ -167,7 +213,7 @@ def phrase_frequencies(
         .groupBy(topic, "term")
         .agg(F.sum("count").alias("_taken"))
     )
-    left = words.join(taken, [topic, "term"], "left").select(
+    left = lone.join(taken, [topic, "term"], "left").select(
         topic, "term", (F.col("count") - F.coalesce("_taken", F.lit(0))).alias("count")
     )
     both = left.filter(F.col("count") > 0).unionByName(
@@ -201,14 +247,15 @@ def topic_terms(
     ``ln(1 + mean words per topic / count of the term in all topics)``. With
     ``normalise`` the count is divided by the topic's words.
     """
-    counts = topic_term_counts(df, topic, text, stop)
+    # counted once; the mean, the totals and the weights all read the counts
+    counts = settle(topic_term_counts(df, topic, text, stop))
     mean_words = counts.agg((F.sum("count") / F.countDistinct(topic)).alias("a")).scalar()
     everywhere = F.sum("count").over(W.partitionBy("term"))
     weight = F.col("count") * F.ln(1 + F.col("_mean") / F.col("_f"))
     weighed = counts.withColumn("_f", everywhere).withColumn("_mean", mean_words)
     if normalise:
-        words = counts.groupBy(topic).agg(F.sum("count").alias("_words"))
-        weighed = weighed.join(words, topic)
+        totals = counts.groupBy(topic).agg(F.sum("count").alias("_words"))
+        weighed = attach(weighed, totals, [topic], "inner")
         weight = weight / F.col("_words")
     best = W.partitionBy(topic).orderBy(F.desc("weight"), F.asc("term"))
     return (
