@@ -42,7 +42,7 @@ from townpulse.scale import settle
 # and how many shingles a task looks at together. They change the order in a set, never a result.
 FREQUENT = 1 << 17
 FREQUENT_IN_TASK = 4
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 # Bits of the bitmap of repeated shingles, and of a piece of it that is filled at one place.
 REPEATED_BITS = 27
 FILL_BITS = 20
@@ -495,6 +495,9 @@ def join_sets(
     wanted = context.broadcast(bits_of(entries.select("number").distinct(), "number"))
     nodes = entries.select("node").distinct()
     sets = kept(join_sized(whole_sets(docs, text, words, wanted), nodes, "node", "left_semi"), "wholes")
+    # everything that reads them is written; later stages need the memory
+    for shared in (order, marked, wanted):
+        shared.destroy()
     links = known = None
     for turn in range(LEADER_ROUNDS):
         mixed = settle(with_component(entries.select("shingle", "node", "size", "place"), links))
