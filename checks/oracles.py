@@ -213,6 +213,10 @@ scored AS (SELECT d.doc_id, z.label, round(z.prior + coalesce(m.s, 0), 9) AS sco
 SELECT doc_id, label, round(score, 4) AS score FROM scored
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1"""
 
+LATEST = """WITH v AS (SELECT event_id // 3 AS key, CASE WHEN event_id % 11 <> 0 THEN event_id % 5 END AS version,
+  event_id, event_type AS topic_name FROM events)
+SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY key ORDER BY version DESC NULLS LAST, event_id DESC) = 1"""
+
 _E_RANGE = f"ts >= TIMESTAMP '{P.EVENT_RANGE[0]}' AND ts < TIMESTAMP '2024-01-22'"
 _C_RANGE = f"ts BETWEEN TIMESTAMP '{P.COMMENT_RANGE[0]}' AND TIMESTAMP '{P.COMMENT_RANGE[1]}'"
 _RUNS = f"""runs AS (SELECT event_id, event_type AS topic_name FROM events WHERE ts < TIMESTAMP '2024-01-22'
@@ -333,6 +337,16 @@ WHERE event_type IN ('click', 'error')""",
     "time_bounds": "SELECT min(ts) AS min_date, max(ts) AS max_date FROM events",
     "latest_month": f"SELECT max({_MONTH_OF['week']}) AS month_start FROM orders",
     "flatten_posts_comments": f"WITH {CONVERSATION} {FLAT_OUT}",
+    "bad_groups": """WITH counted AS (SELECT source AS group_domain, count(*) AS lines,
+  count(*) FILTER (WHERE doc_id % 13 = 5) AS bad FROM documents GROUP BY source)
+SELECT 'batch' AS mode, *, bad = 0 AS kept FROM counted UNION ALL SELECT 'stream', *, true FROM counted""",
+    "readable_posts": """WITH good AS (SELECT doc_id AS id FROM documents WHERE doc_id % 13 <> 5),
+whole AS (SELECT doc_id AS id FROM documents WHERE source NOT IN (
+  SELECT source FROM documents WHERE doc_id % 13 = 5))
+SELECT 'batch' AS mode, 'line' AS rule, id FROM good UNION ALL SELECT 'batch', 'group', id FROM whole
+UNION ALL SELECT 'stream', 'line', id FROM good""",
+    "latest_rows": LATEST,
+    "latest_rows_stream": LATEST,
     "csv_store": f"WITH {CONVERSATION} {FLAT_OUT}",
     "group_store": f"""WITH {CONVERSATION},
 twice AS (SELECT group_domain FROM flat UNION ALL SELECT group_domain FROM flat)

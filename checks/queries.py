@@ -17,7 +17,7 @@ from townpulse.operators import feed, forecast, ordering, terms, topics, trends,
 from townpulse.plans import batch, reports
 from townpulse.scale import shared_path
 from townpulse.session import apply_settings
-from townpulse.sources import feeds, tables
+from townpulse.sources import feeds, tables, versions
 from townpulse.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -329,6 +329,77 @@ def stream_ingest(spark, folder):
     return feed.as_text_dates(spark.read.parquet(store).select(*feed.FLAT_COLUMNS))
 
 
+def broken_feed(spark, folder) -> str:
+    """The feed as files, with the line of every thirteenth document cut in half."""
+    path = shared_path(spark, "feed")
+    posts = document_feed(spark, folder)
+    line = F.to_json(F.struct(*[c for c in posts.columns if c != "group_domain"]))
+    half = F.when(F.col("seq") % 13 == 5, F.substr(line, F.lit(1), F.greatest(F.length(line) / 2, F.lit(1)).cast("int")))
+    lines = posts.select("group_domain", F.coalesce(half, line).alias("value"))
+    lines.write.partitionBy("group_domain").text(path)
+    return path
+
+
+@query
+def bad_groups(spark, folder):
+    """What each group lost to unreadable lines, by a batch run and by the incremental job."""
+    path = broken_feed(spark, folder)
+    landing, store, state = (shared_path(spark, n) for n in ("landed", "store", "state"))
+    feeds.read_posts(spark, path, f"{landing}/batch")
+    jobs.ingest_new(
+        spark, path, store, state, landing=f"{landing}/stream", rule="line", files_per_batch=32
+    ).awaitTermination()
+    runs = [
+        feeds.manifest(spark, f"{landing}/{mode}").withColumn("mode", F.lit(mode)) for mode in ("batch", "stream")
+    ]
+    return runs[0].unionByName(runs[1]).groupBy("mode", "group_domain").agg(
+        F.sum("lines").alias("lines"), F.sum("bad").alias("bad"), F.bool_and("kept").alias("kept")
+    )
+
+
+@query
+def readable_posts(spark, folder):
+    """Posts left by either rule, in either run mode."""
+    path = broken_feed(spark, folder)
+    found = []
+    for rule in feeds.RULES:
+        posts = feeds.read_posts(spark, path, rule=rule).select("id", F.lit("batch").alias("mode"))
+        found.append(posts.withColumn("rule", F.lit(rule)))
+    store, state = shared_path(spark, "store"), shared_path(spark, "state")
+    jobs.ingest_new(spark, path, store, state, rule="line", files_per_batch=32).awaitTermination()
+    stored = spark.read.parquet(store).filter("comment_id IS NULL")
+    found.append(stored.select(F.col("post_id").alias("id"), F.lit("stream").alias("mode"), F.lit("line").alias("rule")))
+    return feed.append_runs(*found).select("mode", "rule", "id")
+
+
+def event_versions(spark, folder) -> DataFrame:
+    """Events as rows that replace each other: one key for every three, different values under it."""
+    rows = events(spark, folder)
+    return rows.select(
+        F.floor(F.col("event_id") / 3).alias("key"),
+        F.when(F.col("event_id") % 11 != 0, F.col("event_id") % 5).alias("version"),
+        "event_id",
+        "topic_name",
+        "date_time",
+    )
+
+
+@query
+def latest_rows(spark, folder):
+    rows = event_versions(spark, folder).drop("date_time")
+    return feed.latest_rows(rows, ["key"], "version")
+
+
+@query
+def latest_rows_stream(spark, folder):
+    """The same events as a stream; a week of lateness covers a key's rows."""
+    path, table_path, state = (shared_path(spark, n) for n in ("events", "latest", "state"))
+    event_versions(spark, folder).repartitionByRange(4, "event_id").write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path)
+    jobs.keep_latest_rows(stream, table_path, state, ["key"], "version", "date_time", "60 days").awaitTermination()
+    return versions.read_version(spark, table_path, stream.schema).drop("date_time")
+
+
 @query
 def csv_store(spark, folder):
     """The flat table through the CSV file, in two batches."""
@@ -607,7 +678,7 @@ def stream_weekly_counts(spark, folder):
         .select(F.col("ts").alias("date_time"), F.col("event_type").alias("topic_name"))
     )
     jobs.keep_weekly_counts(stream, path, state).awaitTermination()
-    return spark.read.parquet(path)
+    return jobs.read_weekly_counts(spark, path)
 
 
 @query

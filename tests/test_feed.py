@@ -144,3 +144,24 @@ def test_repeated_runs_and_their_repeats(spark):
     both = P.append_runs(run, run)
     assert both.count() == 4
     assert P.drop_repeats(both).count() == 2
+
+
+def test_latest_row_of_each_key(spark):
+    rows = [
+        (1, None, 3, "a"), (1, None, 5, "b"), (1, None, 5, "c"), (1, 7, 1, "d"), (2, None, None, "e"),
+        (2, None, None, None), (3, None, None, "f"), (3, None, -1, "g"), (4, 1, 2, "same"), (4, 1, 2, "same"),
+    ]
+    df = spark.createDataFrame(rows, "post bigint, comment bigint, version int, _row string")
+    for parts in (1, 5):
+        found = P.latest_rows(df.repartition(parts), ["post", "comment"], "version")
+        assert found.columns == df.columns
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [
+            (1, None, 5, "c"), (1, 7, 1, "d"), (2, None, None, "e"), (3, None, -1, "g"), (4, 1, 2, "same")
+        ]))
+    plan = P.latest_rows(df, ["post"], "version")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and "Window" not in plan
+
+
+def test_latest_row_beside_maps(spark):
+    df = spark.createDataFrame([(1, 1, {"a": 1}), (1, 1, {"b": 2})], "k int, v int, m map<string,int>")
+    assert P.latest_rows(df, ["k"], "v").collect()[0].m == {"b": 2}

@@ -213,3 +213,19 @@ def append_runs(*runs: DataFrame) -> DataFrame:
 def drop_repeats(flat: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per (group, post, comment); null comment ids compare as equal."""
     return flat.dropDuplicates(keys or ["group_domain", "post_id", "comment_id"])
+
+
+def latest_rows(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """Of the rows of each key the one with the greatest ``version``, null versions last.
+
+    Different rows with one version are settled by their other columns, the greatest, so the result
+    does not depend on the order of rows. Nulls among the keys are equal. Combined before the shuffle,
+    so a key with any number of rows costs one row of each task.
+    """
+    others = [c for c in rows.columns if c not in (*keys, version)]
+    # maps cannot be compared; their text can
+    kinds = {f.name: f.dataType.typeName() for f in rows.schema.fields}
+    order = F.struct(version, *[F.to_json(c) if kinds[c] == "map" else F.col(c) for c in others])
+    whole = F.struct(version, *others)
+    best = F.max_by(whole, order).alias("_row")
+    return rows.groupBy(*keys).agg(best).select(*keys, "_row.*").select(*rows.columns)

@@ -20,7 +20,7 @@ from townpulse.operators.wording import (
     prepare,
 )
 from townpulse.scale import settle
-from townpulse.sources.feeds import read_posts
+from townpulse.sources.feeds import listed_posts, read_posts
 from townpulse.sources.tables import date_time_of, read_table, write_table
 
 
@@ -36,6 +36,9 @@ class Settings:
     stop_at_old: bool = False
     max_posts: int | None = None
     max_comments: int | None = None
+    # what an unreadable line takes out, and where all lines and their manifest are kept
+    bad_rule: str = "group"
+    landing_path: str | None = None
     language: str = "russian"
     dims: int = 256
     topic_options: dict = field(default_factory=dict)
@@ -122,12 +125,19 @@ def full_run(
     lexicon: DataFrame | None = None,
     model=None,
     names: DataFrame | None = None,
+    groups: DataFrame | None = None,
 ) -> None:
-    """Feed files to the two result tables; each table is written, then read by the next step."""
+    """Feed files to the two result tables; each table is written, then read by the next step.
+
+    With ``groups`` (``group_domain``, as ``read_groups`` gives it) only listed groups are read.
+    """
     settings = settings or Settings()
     stop = stop_words(spark, settings.language)
+    posts = read_posts(spark, feed_path, settings.landing_path, settings.bad_rule)
+    if groups is not None:
+        posts = listed_posts(posts, groups)
     flat = flatten(
-        read_posts(spark, feed_path),
+        posts,
         settings.first_date,
         settings.last_date,
         settings.stop_at_old,

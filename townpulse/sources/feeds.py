@@ -44,6 +44,65 @@ def read_feed_lines(spark: SparkSession, path: str) -> DataFrame:
     return parse_feed(lines)
 
 
+# What an unreadable line takes out: itself, or its whole group in that batch.
+RULES = ("line", "group")
+LANDED_SCHEMA = f"group_domain string, {POST_SCHEMA}, bad_line string"
+MANIFEST_SCHEMA = "batch bigint, group_domain string, lines bigint, bad bigint, kept boolean"
+
+
+def land_batch(rows: DataFrame, landing: str, batch: int, rule: str = "group") -> None:
+    """Write parsed lines below ``landing``, good and bad ones apart, and what there was of each group.
+
+    ``lines/batch=<n>/state=<good or bad>`` holds the lines, ``manifest/batch=<n>`` one row for each
+    group: its lines, the unreadable ones, and whether the group's good lines are used under ``rule``.
+    A batch that is written again replaces itself.
+    """
+    if rule not in RULES:
+        raise ValueError(f"unknown rule {rule!r}")
+    spark, path = rows.sparkSession, f"{landing.rstrip('/')}/lines/batch={batch}"
+    state = F.when(F.col("bad_line").isNull(), "good").otherwise("bad")
+    rows.withColumn("state", state).write.mode("overwrite").partitionBy("state").parquet(path)
+    landed = spark.read.schema(f"{LANDED_SCHEMA}, state string").parquet(path)
+    bad = F.count(F.when(F.col("state") == "bad", 1))
+    counts = landed.groupBy("group_domain").agg(F.count("*").alias("lines"), bad.alias("bad"))
+    kept = (F.col("bad") == 0) if rule == "group" else F.lit(True)
+    counts.withColumn("kept", kept).write.mode("overwrite").parquet(
+        f"{landing.rstrip('/')}/manifest/batch={batch}"
+    )
+
+
+def manifest(spark: SparkSession, landing: str) -> DataFrame:
+    """``batch, group_domain, lines, bad, kept`` of all batches landed."""
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{landing.rstrip('/')}/manifest").select(
+        "batch", "group_domain", "lines", "bad", "kept"
+    )
+
+
+def landed_posts(spark: SparkSession, landing: str, batch: int | None = None) -> DataFrame:
+    """Good lines of the groups that the manifest keeps, of one batch or of all.
+
+    Lines stay where they are while the groups left out are few. Runs the manifest.
+    """
+    rows = spark.read.schema(f"{LANDED_SCHEMA}, batch bigint, state string").parquet(
+        f"{landing.rstrip('/')}/lines"
+    )
+    out = manifest(spark, landing).filter(~F.col("kept")).select("batch", "group_domain")
+    if batch is not None:
+        rows, out = rows.filter(F.col("batch") == batch), out.filter(F.col("batch") == batch)
+    rows, out = rows.filter(F.col("state") == "good"), settle(out)
+    if not out.isEmpty():
+        rows = attach(rows, out, ["batch", "group_domain"], "left_anti", null_safe=True)
+    return rows.drop("bad_line", "batch", "state")
+
+
+def landed_bad_lines(spark: SparkSession, landing: str) -> DataFrame:
+    """``batch, group_domain, bad_line`` of every unreadable line."""
+    rows = spark.read.schema(f"{LANDED_SCHEMA}, batch bigint, state string").parquet(
+        f"{landing.rstrip('/')}/lines"
+    )
+    return rows.filter(F.col("state") == "bad").select("batch", "group_domain", "bad_line")
+
+
 def land_feed(spark: SparkSession, path: str, landing: str) -> DataFrame:
     """Parse the feed once into a columnar table at ``landing`` and read that."""
     read_feed_lines(spark, path).write.mode("overwrite").parquet(landing)
@@ -67,9 +126,13 @@ def bad_lines(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("bad_line").isNotNull()).select("group_domain", "bad_line")
 
 
-def read_posts(spark: SparkSession, path: str) -> DataFrame:
-    """``good_posts`` of the feed, by way of a landing table in the shared folder."""
-    return good_posts(land_feed(spark, path, shared_path(spark, "landed")))
+def read_posts(
+    spark: SparkSession, path: str, landing: str | None = None, rule: str = "group"
+) -> DataFrame:
+    """Usable posts of the feed, by way of a landing table: below ``landing``, or in the shared folder."""
+    landing = landing or shared_path(spark, "landed")
+    land_batch(read_feed_lines(spark, path), landing, 0, rule)
+    return landed_posts(spark, landing, 0)
 
 
 def listed_posts(posts: DataFrame, groups: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from townpulse.operators.feed import flatten
-from townpulse.sources.feeds import parse_feed
+from townpulse.operators.feed import flatten, latest_rows
+from townpulse.sources.feeds import land_batch, landed_bad_lines, landed_posts, listed_posts, parse_feed
+from townpulse.sources.versions import read_version, write_version
 
 
 def stream_posts(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -27,19 +28,31 @@ def ingest_new(
     last_date=None,
     bad_path: str | None = None,
     files_per_batch: int | None = None,
+    landing: str | None = None,
+    rule: str = "line",
+    groups: DataFrame | None = None,
 ) -> StreamingQuery:
     """Flatten the feed files that arrived since the last run and add them to the store.
 
     Handles what is there, then ends. ``state_path`` remembers the files done. A
     batch that is run again after a failure replaces its own rows (each batch has
-    its directory), so nothing is doubled. Unreadable lines go to ``bad_path``.
+    its directory), so nothing is doubled. Every batch lands below ``landing`` (beside
+    ``state_path`` where not given) with its manifest, as in a batch run: unreadable
+    lines are kept there, and ``rule`` says whether they take their group's lines of
+    that batch with them. They also go to ``bad_path`` where that is given. With
+    ``groups`` only listed groups reach the store.
     """
+    landing = landing or f"{state_path.rstrip('/')}-landed"
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        land_batch(batch, landing, number, rule)
         if bad_path:
-            bad = batch.filter(F.col("bad_line").isNotNull()).select("group_domain", "bad_line")
+            bad = landed_bad_lines(spark, landing).filter(F.col("batch") == number).drop("batch")
             bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
-        good = batch.filter(F.col("bad_line").isNull())
+        good = landed_posts(spark, landing, number)
+        if groups is not None:
+            good = listed_posts(good, groups)
         flatten(good, first_date, last_date).hint("rebalance", "group_domain").write.mode(
             "overwrite"
         ).parquet(f"{store_path}/batch={number}")
@@ -81,15 +94,85 @@ def keep_weekly_counts(
     topic: str = "topic_name",
     late: str = "7 days",
 ) -> StreamingQuery:
-    """Write the current weekly counts to ``table_path`` after every batch, the open
-    week included; handles what is there, then ends."""
+    """Keep the weekly counts at ``table_path``, the open week included; handles what is there, then ends.
 
-    def write(table: DataFrame, number: int) -> None:
-        table.write.mode("overwrite").parquet(table_path)
+    A batch brings the counts that it changed, which replace those of the last version in a new one
+    (``read_weekly_counts`` reads the newest). Rows of weeks that ended before the watermark, ``late``
+    behind the newest row of earlier batches, are dropped, and their state with them.
+    """
+
+    def write(changed: DataFrame, number: int) -> None:
+        keys = ["week_start", "topic_name"]
+        latest = changed.withColumn("_batch", F.lit(number))
+        before = read_version(changed.sparkSession, table_path, WEEKLY_SCHEMA, before=number)
+        both = before.withColumn("_batch", F.lit(-1)).unionByName(latest)
+        merged = both.groupBy(*keys).agg(F.max_by("count", "_batch").alias("count"))
+        write_version(merged, table_path, number)
 
     return (
         weekly_counts(events, ts, topic, late)
-        .writeStream.outputMode("complete")
+        .writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", state_path)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+WEEKLY_SCHEMA = "week_start date, topic_name string, count bigint"
+
+
+def read_weekly_counts(spark: SparkSession, table_path: str) -> DataFrame:
+    """``week_start, topic_name, count`` as the last whole batch left them."""
+    return read_version(spark, table_path, WEEKLY_SCHEMA)
+
+
+def newest_rows(
+    rows: DataFrame, keys: list[str], version: str, ts: str, late: str = "7 days"
+) -> DataFrame:
+    """Of a stream the rows that are newer, by ``version``, than all earlier rows of their keys.
+
+    Of one batch only the newest row of a key comes out; equal versions are settled by the whole row,
+    the greatest, as in ``latest_rows``. The state holds the newest row of a key in each stretch of
+    length ``late`` and is given up when the watermark, ``late`` behind the newest row of earlier
+    batches, passes its end; rows of such stretches are dropped, as rows without ``ts`` are.
+    """
+    columns = [c for c in rows.columns if c not in keys]
+    newest = F.max(F.struct(version, *[c for c in columns if c != version])).alias("_row")
+    timed = rows.withColumn("_ts", F.col(ts).cast("timestamp")).filter(F.col("_ts").isNotNull())
+    return (
+        timed.withWatermark("_ts", late)
+        .groupBy(*keys, F.window("_ts", late))
+        .agg(newest)
+        .select(*keys, "_row.*")
+        .select(*rows.columns)
+    )
+
+
+def keep_latest_rows(
+    rows: DataFrame,
+    table_path: str,
+    state_path: str,
+    keys: list[str],
+    version: str,
+    ts: str,
+    late: str = "7 days",
+) -> StreamingQuery:
+    """Keep at ``table_path`` the newest row of each key; handles what is there, then ends.
+
+    Each batch's newest rows are merged with those of the last version, so a row that comes late never
+    replaces a newer one, whatever the state still knows.
+    """
+    schema = rows.schema
+
+    def write(changed: DataFrame, number: int) -> None:
+        before = read_version(changed.sparkSession, table_path, schema, before=number)
+        merged = latest_rows(before.unionByName(changed), keys, version)
+        write_version(merged, table_path, number)
+
+    return (
+        newest_rows(rows, keys, version, ts, late)
+        .writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", state_path)
         .trigger(availableNow=True)
