@@ -258,7 +258,7 @@ def comment_cap(spark, folder):
     posts, comments = conversation_posts(spark, folder)
     heads = posts.select("post_id", "group_domain")
     rows = comments.join(heads, "post_id")
-    levels = [ordering.seq_bucket("post_id", 16), F.col("post_id"), ordering.seq_bucket("turn", 64)]
+    levels = [F.col("post_id")]
     kept = ordering.keep_first(rows, "group_domain", ["post_id", "turn"], P.COMMENT_CAP, levels)
     return kept.select("group_domain", "post_id", "turn")
 

@@ -143,3 +143,50 @@ def test_take_while_treats_null_positions_as_last(spark):
     assert sorted(map(str, ((r.g, r.seq) for r in some.collect()))) == sorted(
         map(str, [("a", 1), (None, 1), ("b", 5), ("b", None)])
     )
+
+
+@pytest.mark.parametrize("positions", ["null", "equal", "sparse", "skewed"])
+def test_any_distribution_of_positions_spreads_over_tasks(spark, positions):
+    """A million rows of one group, numbered in buckets of 50,000."""
+    seq = {
+        "null": "CAST(NULL AS BIGINT)",
+        "equal": "7L",
+        "sparse": "id * 9000000000000L",
+        "skewed": "IF(id % 2 = 0, id, -5)",
+    }[positions]
+    df = spark.range(0, 1_000_000, 1, 8).selectExpr("'hot' AS g", f"{seq} AS seq", "id AS v")
+    cut = O.in_buckets(df.withColumn("p", O.place_of(df, ["seq"])), ["g"], "p", "b", 50_000)
+    sizes = [r["count"] for r in cut.groupBy("b").count().collect()]
+    assert len(sizes) >= 20 and max(sizes) <= 50_000 and sum(sizes) == 1_000_000
+    found = O.running_number(df, "g", "seq", width=50_000)
+    row = found.agg(
+        F.count("*").alias("n"), F.countDistinct("number").alias("d"), F.min("number").alias("a"), F.max("number").alias("z")
+    ).first()
+    assert tuple(row) == (1_000_000, 1_000_000, 1, 1_000_000)
+    if positions == "sparse":
+        assert found.filter("number <> v + 1").isEmpty()
+    if positions == "skewed":
+        assert found.filter("(seq = -5) <> (number <= 500000)").isEmpty()
+
+
+@pytest.mark.parametrize("limit", [1, 33, 1999, 2000, 2345])
+def test_caps_over_repeated_null_and_sparse_positions(spark, limit):
+    rnd = random.Random(6)
+    places = [None] * 900 + [5] * 700 + [rnd.randrange(10**15) for _ in range(700)]
+    rows = [("g", p, n) for n, p in enumerate(places)] + [(None, n % 3, n) for n in range(50)]
+    df = spark.createDataFrame(rows, "g string, seq bigint, v bigint").repartition(6)
+    kept = O.keep_first(df, "g", ["seq"], limit, width=40).collect()
+    assert len(kept) == len({(r.g, r.v) for r in kept})
+    for g in ("g", None):
+        order = sorted((p is None, p or 0) for name, p, _ in rows if name == g)
+        assert sorted((r.seq is None, r.seq or 0) for r in kept if r.g == g) == order[:limit]
+    again = O.keep_first(df.repartition(3), "g", ["seq"], limit, width=10_000).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, again))
+
+
+def test_rows_equal_in_every_column_are_numbered_too(spark):
+    df = spark.createDataFrame([("g", 1, "x")] * 300 + [("g", 2, "y")] * 3, "g string, seq int, t string")
+    found = O.running_number(df.repartition(4), "g", "seq", width=10).collect()
+    assert sorted(r.number for r in found) == list(range(1, 304))
+    assert {r.number for r in found if r.seq == 2} == {301, 302, 303}
+    assert len(O.keep_first(df, "g", ["seq"], 302, width=10).collect()) == 302

@@ -11,9 +11,10 @@ from townpulse.functions.numbers import batch_of
 from townpulse.operators.ordering import (
     WIDTH,
     bucket_totals,
+    in_buckets,
     keep_first,
+    place_of,
     running_number,
-    seq_bucket,
     take_while,
 )
 from townpulse.scale import attach, settle
@@ -55,7 +56,7 @@ def post_window(
         posts = take_while(posts, "group_domain", F.col("seq"), old)
     posts = posts.filter(in_range(date, first_date, last_date))
     if max_posts is not None:
-        posts = keep_first(posts, "group_domain", ["seq"], max_posts, [seq_bucket("seq", width)])
+        posts = keep_first(posts, "group_domain", ["seq"], max_posts, width=width)
     return posts
 
 
@@ -76,16 +77,20 @@ def usable_comments(first_date=None, last_date=None) -> Column:
 def cap_comments(posts: DataFrame, max_comments: int, width: int = WIDTH) -> DataFrame:
     """Keep the first ``max_comments`` comments per group, in post then comment order.
 
-    Every post stays. Only sizes travel: buckets of posts wholly under or beyond
-    the cap are settled from their totals, and running sums are taken just inside
-    the bucket that crosses it. Runs the totals; when no group reaches the cap the
-    posts are returned as they are.
+    Every post stays. Groups of more than ``width`` posts are cut into buckets, as for
+    ``running_number``; buckets wholly under or beyond the cap are settled from their
+    totals, and running sums are taken just inside the bucket that crosses it. Runs the
+    totals; when no group reaches the cap the posts are returned as they are.
     """
-    cut = posts.withColumn("_bucket", seq_bucket("seq", width))
     have = F.coalesce(F.size("comments"), F.lit(0))
-    totals = settle(bucket_totals(cut, ["group_domain"], "_bucket", have))
-    if totals.filter(F.col("_before") + F.col("_size") > max_comments).isEmpty():
+    whole = settle(posts.groupBy("group_domain").agg(F.sum(have).alias("_size")))
+    if whole.filter(F.col("_size") > max_comments).isEmpty():
         return posts
+    placed = posts.withColumn("_place", place_of(posts, ["seq"]))
+    cut = in_buckets(placed, ["group_domain"], "_place", "_bucket", width)
+    if cut is None:
+        cut = placed.withColumn("_bucket", F.lit(0))
+    totals = settle(bucket_totals(cut, ["group_domain"], "_bucket", have))
     tagged = attach(cut, totals, ["group_domain", "_bucket"], "inner", null_safe=True)
     crosses = (F.col("_before") < max_comments) & (
         F.col("_before") + F.col("_size") > max_comments
@@ -98,7 +103,7 @@ def cap_comments(posts: DataFrame, max_comments: int, width: int = WIDTH) -> Dat
     )
     earlier = (
         W.partitionBy("group_domain", "_bucket")
-        .orderBy(F.asc_nulls_last("seq"))
+        .orderBy("_place")
         .rowsBetween(W.unboundedPreceding, -1)
     )
     used = F.col("_before") + F.coalesce(F.sum(have).over(earlier), F.lit(0))
