@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townpulse.llm.common import has_bit, join_sized, kept, repeated_bits
+from townpulse.llm.common import bits_of, has_bit, join_sized, kept, repeated_bits
 from townpulse.llm.words import gram_hashes, row_slices, split_words
 
 MOST_PACKS = 4000
@@ -256,7 +256,7 @@ def runs_of_hot(packs: DataFrame, width: int) -> DataFrame:
 def repeated_ranges(
     docs: DataFrame, key: str, text: str, width: int, gram: int, buckets: int | None
 ) -> DataFrame:
-    """(row, ranges): word ranges, end exclusive, of each row that smaller ids have too."""
+    """(row, id, ranges): word ranges, end exclusive, of each row that smaller ids have too."""
     bitmap = repeated_bits(minimisers(docs, key, text, width, gram), "minimiser", "id")
     packs = kept(packed_super_kmers(docs, bitmap, key, text, width, gram), "super-kmers")
     distinct = packs.groupBy("minimiser", "digest").agg(
@@ -281,8 +281,8 @@ def repeated_ranges(
     return (
         packs.select("row", "id", "first", "minimiser", "digest")
         .join(runs, ["minimiser", "digest"])
-        .select("row", F.explode(ranges).alias("range"))
-        .groupBy("row")
+        .select("row", "id", F.explode(ranges).alias("range"))
+        .groupBy("row", "id")
         .agg(F.collect_list("range").alias("ranges"))
     )
 
@@ -301,7 +301,18 @@ def remove_repeats(
     A word goes if a window that covers it also starts in a document with a smaller id.
     """
     docs = docs.select(key, text).withColumn("_row", F.xxhash64(key, text))
-    ranges = repeated_ranges(docs, key, text, width, gram, buckets)
+    ranges = kept(repeated_ranges(docs, key, text, width, gram, buckets), "ranges")
+    marked = docs.sparkSession.sparkContext.broadcast(bits_of(ranges, "row"))
+
+    def with_ranges(wanted: bool):
+        """Rows that may have ranges, or those that have none: only the first are shuffled."""
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = batch.column(2).to_numpy().view(np.uint64)
+                yield batch.filter(pa.array(has_bit(marked.value, rows) == wanted))
+
+        return pick
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,8 +340,13 @@ def remove_repeats(
                     names=[key, "n_words", "n_removed", "kept"],
                 )
 
-    return (
-        docs.join(ranges, F.col("_row") == F.col("row"), "left")
-        .select(key, text, "ranges")
-        .mapInArrow(drop, f"{key} {docs.schema[key].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string")
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, `{text}` string, _row bigint"
+    out = f"`{key}` {kind}, n_words bigint, n_removed bigint, kept string"
+    whole = docs.mapInArrow(with_ranges(False), schema).select(
+        key, text, F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges")
     )
+    # rows are told apart by their id besides the hash
+    same = (F.col("_row") == F.col("row")) & (F.col(key).cast("bigint") == F.col("id"))
+    cut = docs.mapInArrow(with_ranges(True), schema).join(ranges, same, "left").select(key, text, "ranges")
+    return whole.mapInArrow(drop, out).unionByName(cut.mapInArrow(drop, out))
