@@ -164,7 +164,7 @@ def feed_rows(low: str | None = None, high: str | None = None) -> str:
     answers = f"AND comment_date <= TIMESTAMP '{high}'" if low else ""
     return f"""
 dated AS (SELECT source AS group_domain, doc_id AS post_id, n_chars AS from_id, lang, text,
-                 TIMESTAMP '2024-01-01' + to_hours(doc_id) AS post_date FROM documents),
+                 TIMESTAMP '2024-01-01' + to_hours(doc_id % 1000) AS post_date FROM documents),
 posts AS (SELECT * FROM dated {posts}),
 cut AS (SELECT *, string_split(text, chr(10)) AS ls FROM posts),
 lines AS (SELECT group_domain, post_id, post_date, unnest(ls) AS line,
@@ -385,7 +385,38 @@ GROUP BY ROLLUP (source)""",
     "append_dedup": f"WITH {_RUNS} SELECT DISTINCT event_id, topic_name FROM runs",
     "clean_text": f"SELECT doc_id, {clean('text')} AS cleaned FROM documents",
     "strip_links": f"SELECT page_id, {no_links('html')} AS text FROM pages",
-    "strip_emojis": f"SELECT doc_id, regexp_replace(text, '{EMOJI}', ' ', 'g') AS text FROM documents",
+    "strip_emojis": f"""WITH signs AS (SELECT [{_words(P.EMOJI)}] AS e),
+given AS (SELECT doc_id, substr(text, 1, CAST(length(text) // 2 AS INTEGER)) || e[doc_id % {len(P.EMOJI)} + 1]
+          || substr(text, CAST(length(text) // 2 AS INTEGER) + 1) || e[(doc_id + 1) % {len(P.EMOJI)} + 1] || 'end' AS text
+          FROM documents, signs)
+SELECT doc_id, regexp_replace(text, '{EMOJI}', ' ', 'g') AS text FROM given""",
+    "group_list": """WITH g AS (SELECT source AS group_domain, count(*) AS posts FROM documents GROUP BY source)
+SELECT group_domain, 2 AS listed, posts FROM g WHERE length(group_domain) % 2 = 0
+UNION ALL SELECT 'nobody', count(*), NULL FROM g WHERE length(group_domain) % 2 = 0""",
+    "lenient_dates": """WITH w AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS s FROM orders),
+t AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN s WHEN 1 THEN s[1:10] WHEN 2 THEN s[1:8] || '31 10:00:00'
+             WHEN 3 THEN 'on ' || s END AS s FROM w)
+SELECT o_orderkey, strftime(try_cast(s AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS stamp FROM t""",
+    "strict_dates": """SELECT o_orderkey, strftime(date_trunc('minute', o_orderdate), '%Y-%m-%d %H:%M:%S') AS stamp
+FROM orders""",
+    "stored_answers": """SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN text END AS name FROM conversations""",
+    "report_yearly_top": """WITH c AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS year,
+o_orderpriority AS topic_name, count(*) AS count FROM orders
+WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '2001-01-01' GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY year ORDER BY count DESC, topic_name) AS rank FROM c
+QUALIFY rank <= 3""",
+    "report_yearly_labels": """WITH c AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS year,
+CASE o_orderstatus WHEN 'O' THEN 'Позитивный' WHEN 'F' THEN 'Негативный'
+WHEN 'P' THEN 'Нейтральный' END AS label, count(*) AS count FROM orders
+WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '2001-01-01' GROUP BY ALL)
+SELECT *, round(count / sum(count) OVER (PARTITION BY year), 6) AS share FROM c""",
+    "report_topic_words": rf"""WITH {TOKENS},
+counts AS (SELECT 'src3' AS asked, term, count(*) AS count FROM kept
+           WHERE source = 'src3' AND NOT regexp_full_match(term, '\p{{Nd}}+') GROUP BY ALL)
+SELECT *, round(count / max(count) OVER (), 6) AS frequency FROM counts
+QUALIFY row_number() OVER (ORDER BY count DESC, term) <= 200""",
+    "report_topic_comments": """SELECT 'src3' AS asked, text FROM documents WHERE source = 'src3'
+ORDER BY doc_id LIMIT 20""",
     "remove_stopwords": f"""SELECT doc_id, array_to_string(list_filter({split(clean('text'))},
 lambda w: w NOT IN ({_words(P.STOP)})), ' ') AS text FROM documents""",
     "prepare_text": f"""SELECT doc_id, array_to_string(list_filter(

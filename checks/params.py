@@ -25,6 +25,11 @@ RUN_SCORES = {
     "thanedble": -2, "esndha": -1, "therhean": -1, "laleenéelle": -2, "réleou": -1, "aulich": -1,
     "erüver": -1, "erreth": -2, "ofretihaou": -1, "osóciónta": -2, "ofstthe": 1, "able": 1,
 }
+# A face, a sign with a skin tone, a family with joiners, a flag, a symbol with a selector, a keycap.
+EMOJI = [
+    "\U0001f600", "\U0001f44d\U0001f3fd", "\U0001f468\u200d\U0001f469\u200d\U0001f467",
+    "\U0001f1eb\U0001f1f7", "\u2600\ufe0f", "1\ufe0f\u20e3", "",
+]
 # Fixed display names of the event types; one type is left out on purpose.
 EVENT_NAMES = {"click": "Click", "view": "View", "purchase": "Purchase", "signup": "Sign-up"}
 # Order states read as sentiment labels.

@@ -84,11 +84,11 @@ def labelled(spark, folder) -> DataFrame:
 
 
 def document_feed(spark, folder) -> DataFrame:
-    """Each document as a post of its source; its lines are the comments.
+    """Each document as a post of its source; its lines are the comments. Dates repeat every 1000 hours.
 
     Every seventh comment has no date and every ninth no author.
     """
-    start = F.lit(1704067200).cast("bigint") + F.col("doc_id") * 3600
+    start = F.lit(1704067200).cast("bigint") + F.col("doc_id") % 1000 * 3600
     lines = F.transform(
         F.split("text", "\n"),
         lambda line, i: F.struct(
@@ -421,6 +421,57 @@ def group_store(spark, folder):
     return feed.rows_per_group(tables.read_store(spark, path))
 
 
+@query
+def group_list(spark, folder):
+    """Posts of the groups on a list with spaces around names, blank lines and repeats."""
+    path = shared_path(spark, "groups")
+    posts = document_feed(spark, folder)
+    names = posts.select("group_domain").distinct().filter(F.length("group_domain") % 2 == 0)
+    name = F.col("group_domain")
+    lines = F.explode(F.array(name, F.lit("  "), F.concat(F.lit(" \t"), name, F.lit("  ")), F.lit("nobody")))
+    names.select(lines.alias("value")).write.text(path)
+    groups = feeds.read_groups(spark, path)
+    listed = feeds.listed_posts(posts, groups).groupBy("group_domain").agg(F.count("*").alias("posts"))
+    repeats = groups.groupBy("group_domain").agg(F.count("*").alias("listed"))
+    return repeats.join(listed, "group_domain", "left")
+
+
+# ---- dates as text, stored answers ------------------------------------------
+
+
+@query
+def lenient_dates(spark, folder):
+    """Dates as text in several forms, some of them no dates."""
+    stamp = dates.stamp_text("date_time")
+    written = (
+        F.when(F.col("o_orderkey") % 5 == 0, stamp)
+        .when(F.col("o_orderkey") % 5 == 1, F.substring(stamp, 1, 10))
+        .when(F.col("o_orderkey") % 5 == 2, F.concat(F.substring(stamp, 1, 8), F.lit("31 10:00:00")))
+        .when(F.col("o_orderkey") % 5 == 3, F.concat(F.lit("on "), stamp))
+    )
+    rows = orders(spark, folder).withColumn("written", written)
+    return rows.select("o_orderkey", dates.stamp_text(dates.parse_lenient("written")).alias("stamp"))
+
+
+@query
+def strict_dates(spark, folder):
+    rows = orders(spark, folder).withColumn("written", F.date_format("date_time", dates.FRESHNESS_FORMAT))
+    read = dates.parse_strict("written", dates.FRESHNESS_FORMAT)
+    return rows.select("o_orderkey", dates.stamp_text(read).alias("stamp"))
+
+
+@query
+def stored_answers(spark, folder):
+    """Texts of stored naming answers in both of their shapes, and of answers without a text."""
+    plain = F.to_json(F.struct(F.array(F.struct("text")).alias("choices")))
+    spoken = F.to_json(
+        F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"))
+    )
+    answer = F.when(F.col("turn") % 3 == 0, plain).when(F.col("turn") % 3 == 1, spoken).otherwise('{"choices": []}')
+    rows = table(spark, folder, "conversations").withColumn("answer", answer)
+    return rows.select("conv_id", "turn", text.answer_text("answer").alias("name"))
+
+
 # ---- words ------------------------------------------------------------------
 
 
@@ -436,8 +487,18 @@ def strip_links(spark, folder):
 
 @query
 def strip_emojis(spark, folder):
+    """Every text with one of some emoji signs in its middle and another at its end."""
     docs = raw_documents(spark, folder)
-    return docs.select("doc_id", text.remove_emojis("text").alias("text"))
+    signs = F.array(*[F.lit(e) for e in P.EMOJI])
+    half = F.floor(F.char_length("text") / 2).cast("int")
+
+    def sign(shift: int):
+        return F.get(signs, ((F.col("doc_id") + shift) % len(P.EMOJI)).cast("int"))
+
+    with_signs = F.concat(
+        F.substr("text", F.lit(1), half), sign(0), F.substr("text", half + 1), sign(1), F.lit("end")
+    )
+    return docs.select("doc_id", text.remove_emojis(with_signs).alias("text"))
 
 
 @query
@@ -691,6 +752,39 @@ def report_monthly(spark, folder):
     return reports.monthly_shares(orders(spark, folder), "1996-01-01", "2000-12-31")
 
 
+@query
+def report_yearly_top(spark, folder):
+    return reports.yearly_view(orders(spark, folder), orders(spark, folder), "1996-01-01", "2000-12-31")[0]
+
+
+@query
+def report_yearly_labels(spark, folder):
+    shares = reports.yearly_view(orders(spark, folder), orders(spark, folder), "1996-01-01", "2000-12-31")[1]
+    return shares.withColumn("share", F.round("share", 6))
+
+
+# one topic that is there and one that is not, which gives no rows
+ASKED = ["src3", "no such topic"]
+
+
+@query
+def report_topic_words(spark, folder):
+    docs = documents(spark, folder).withColumn("topic_name", F.col("source"))
+    clouds = [reports.topic_words(docs, name, P.STOP).withColumn("asked", F.lit(name)) for name in ASKED]
+    return feed.append_runs(*clouds).select(
+        "asked", "term", "count", F.round("frequency", 6).alias("frequency")
+    )
+
+
+@query
+def report_topic_comments(spark, folder):
+    docs = documents(spark, folder).withColumn("topic_name", F.col("source"))
+    shown = [
+        reports.topic_comments(docs, name, ["doc_id"]).withColumn("asked", F.lit(name)) for name in ASKED
+    ]
+    return feed.append_runs(*shown).select("asked", "text")
+
+
 def labelled_feed(spark, folder) -> DataFrame:
     """The feed of documents as the run's first result table, written and read again."""
     path = shared_path(spark, "labelled")
