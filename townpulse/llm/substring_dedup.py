@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,10 +97,9 @@ def minimisers(docs: DataFrame, key: str, text: str, width: int, gram: int) -> D
 
 
 def packed_super_kmers(
-    docs: DataFrame, bitmap: np.ndarray, key: str, text: str, width: int, gram: int
+    docs: DataFrame, shared: Broadcast, key: str, text: str, width: int, gram: int
 ) -> DataFrame:
-    """Super-k-mers whose minimiser is in the bitmap: row, id, first, count, minimiser, digest, packed."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    """Super-k-mers whose minimiser is in the shared bitmap: row, id, first, count, minimiser, digest, packed."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -258,7 +258,9 @@ def repeated_ranges(
 ) -> DataFrame:
     """(row, id, ranges): word ranges, end exclusive, of each row that smaller ids have too."""
     bitmap = repeated_bits(minimisers(docs, key, text, width, gram), "minimiser", "id")
-    packs = kept(packed_super_kmers(docs, bitmap, key, text, width, gram), "super-kmers")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    packs = kept(packed_super_kmers(docs, shared, key, text, width, gram), "super-kmers")
+    shared.destroy()
     distinct = packs.groupBy("minimiser", "digest").agg(
         F.first("packed").alias("packed"), F.min("id").alias("least")
     )
@@ -304,15 +306,20 @@ def remove_repeats(
     ranges = kept(repeated_ranges(docs, key, text, width, gram, buckets), "ranges")
     marked = docs.sparkSession.sparkContext.broadcast(bits_of(ranges, "row"))
 
-    def with_ranges(wanted: bool):
-        """Rows that may have ranges, or those that have none: only the first are shuffled."""
+    def marked_rows(batch: pa.RecordBatch) -> np.ndarray:
+        return has_bit(marked.value, batch.column(2).to_numpy().view(np.uint64))
 
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = batch.column(2).to_numpy().view(np.uint64)
-                yield batch.filter(pa.array(has_bit(marked.value, rows) == wanted))
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that may have ranges; only they are shuffled."""
+        for batch in batches:
+            yield batch.filter(pa.array(marked_rows(batch)))
 
-        return pick
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that have none, where they are."""
+        for batch in batches:
+            some = batch.filter(pa.array(~marked_rows(batch)))
+            none = pa.nulls(some.num_rows, pa.list_(pa.int32()))
+            yield from drop([pa.record_batch([some.column(0), some.column(1), none], names=["id", "text", "ranges"])])
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,10 +350,7 @@ def remove_repeats(
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, `{text}` string, _row bigint"
     out = f"`{key}` {kind}, n_words bigint, n_removed bigint, kept string"
-    whole = docs.mapInArrow(with_ranges(False), schema).select(
-        key, text, F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges")
-    )
     # rows are told apart by their id besides the hash
     same = (F.col("_row") == F.col("row")) & (F.col(key).cast("bigint") == F.col("id"))
-    cut = docs.mapInArrow(with_ranges(True), schema).join(ranges, same, "left").select(key, text, "ranges")
-    return whole.mapInArrow(drop, out).unionByName(cut.mapInArrow(drop, out))
+    cut = docs.mapInArrow(pick, schema).join(ranges, same, "left").select(key, text, "ranges")
+    return docs.mapInArrow(whole, out).unionByName(cut.mapInArrow(drop, out))
