@@ -188,13 +188,15 @@ def node_of(one: np.ndarray) -> bytes:
 
 
 def prefix_shingles(docs: DataFrame, text: str, words: int, shared) -> DataFrame:
-    """(shingle, node as a number) of all prefixes."""
+    """(shingle, node as a number) of all prefixes, without shingles that stand alone."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, 0):
                 sets = [s for s in shingle_sets(part.column(0), words) if len(s)]
                 heads = [ordered(s, shared.value)[: prefix_length(len(s))] for s in sets]
+                # what stands alone in the corpus is in no second set
+                heads = [h[has_bit(shared.value[2], h)] for h in heads]
                 nodes = np.frombuffer(b"".join(node_of(s)[:8] for s in sets), np.int64)
                 tokens = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
                 yield pa.record_batch(
