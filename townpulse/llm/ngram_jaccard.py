@@ -16,7 +16,8 @@ Two nodes link when their Jaccard similarity is at least 4/5, and every link joi
 4. Answers of similar sets: in every list all sets are compared with one leader, a different one for
    each list and round. Sets that link are one component, and further pairs inside it are never formed.
    From the overlaps of two sets with one leader, bounds of their own overlap follow: many pairs are
-   settled by them alone. What remains between different components is compared on the whole sets.
+   settled by them alone. What remains between different components is compared on the whole sets:
+   in lists with many components inside a task, where a link found makes two components one at once.
 
 Defined cases: a null or empty text has an empty set and no links; its component is its own id. Texts
 of fewer words than a shingle have one shingle, all their words. Equal rows are each returned. A null
@@ -48,6 +49,12 @@ REPEATED_BITS = 27
 FILL_BITS = 20
 # Rounds of comparisons with leaders before the remaining pairs are formed.
 LEADER_ROUNDS = 3
+# A list with more components than this after the leaders is compared inside a task, where its sets are
+# brought, with at most about so many entries at once; pairs of shorter lists are formed one by one.
+LONG_LIST = 8
+LIST_ROWS = 256
+# Columns of a piece of the table of a list's sets.
+COLUMNS = 4096
 # A block holds sizes up to this factor apart.
 BLOCK_STEP = 1.05
 
@@ -390,7 +397,8 @@ def in_blocks(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 def needed_entries(entries: DataFrame) -> DataFrame:
     """Entries of sets that share a block of some list with another set.
 
-    Most lists have two entries: whether those may link follows from sums and bounds of the list.
+    Most lists have two entries: whether those may link follows from sums and bounds of the list, and
+    only longer lists are cut into blocks.
     """
     size, room = F.col("size"), F.col("size") - F.col("place")
     lists = (
@@ -407,10 +415,10 @@ def needed_entries(entries: DataFrame) -> DataFrame:
             (F.col("n") > 2)
             | ((F.col("low") * 5 >= F.col("high") * 4) & (F.col("room") >= least_overlap(F.col("sum"), F.lit(0))))
         )
-        .select("shingle")
+        .select("shingle", "n")
     )
-    near = kept(entries.join(lists.hint("merge"), "shingle", "left_semi"), "near-entries")
-    smaller, larger = in_blocks(near)
+    near = kept(entries.join(lists.hint("merge"), "shingle"), "near-entries")
+    smaller, larger = in_blocks(near.where("n > 2"))
     met = smaller.select("shingle", "block", "number", F.lit(1).alias("smaller")).unionByName(
         larger.select("shingle", "block", "number", F.lit(0).alias("smaller"))
     )
@@ -420,8 +428,12 @@ def needed_entries(entries: DataFrame) -> DataFrame:
         .where("low < high AND any = 1")
         .select("shingle", "block")
     )
-    numbers = met.join(shared, ["shingle", "block"], "left_semi").select("number").distinct()
-    return near.join(numbers, "number", "left_semi")
+    numbers = (
+        near.where("n = 2").select("number")
+        .unionByName(met.join(shared, ["shingle", "block"], "left_semi").select("number"))
+        .distinct()
+    )
+    return near.drop("n").join(numbers, "number", "left_semi")
 
 
 def remaining_pairs(entries: DataFrame) -> DataFrame:
@@ -468,6 +480,94 @@ def remaining_pairs(entries: DataFrame) -> DataFrame:
     )
 
 
+def overlap_table(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles every two sets have in common, by products of bounded pieces of their columns."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count[code] > 1
+    owner, code = owner[several], (np.cumsum(count > 1) - 1)[code[several]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((n, n), np.float32)
+    for at in range(0, int((count > 1).sum()), COLUMNS):
+        lo, hi = np.searchsorted(code, (at, at + COLUMNS))
+        piece = np.zeros((n, COLUMNS), np.float32)
+        piece[owner[lo:hi], code[lo:hi] - at] = 1
+        out += piece @ piece.T
+    return out
+
+
+def linked_in_list(
+    sizes: np.ndarray, rooms: np.ndarray, parts: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]
+) -> list[tuple[int, int]]:
+    """Places of entries of one list whose sets link, as far as they join different components.
+
+    ``parts`` are numbers of components; a link makes two components one. Where ``sides`` holds two
+    values only entries of different ones meet.
+    """
+    parts, out, across = parts.copy(), [], len(np.unique(sides)) > 1
+    need = -(-(sizes[:, None] + sizes) * 4 // 9)
+    may = (parts[:, None] != parts) & (np.minimum(rooms[:, None], rooms) >= need)
+    if across:
+        may &= sides[:, None] != sides
+    links = np.triu(may & (overlap_table(sets) >= need), 1)
+    for i, j in zip(*(x.tolist() for x in np.nonzero(links)), strict=True):
+        if parts[i] != parts[j]:
+            out.append((i, j))
+            parts[parts == parts[j]] = parts[i]
+    return out
+
+
+def links_of_long_lists(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) that join the components met in lists, by whole sets brought to the list once.
+
+    A list of more than ``LIST_ROWS`` entries is dealt to parts, every two of which meet in one group,
+    so a group has at most about twice as many rows. Only links come out, never pairs.
+    """
+    lists = entries.groupBy("shingle").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("sides"))
+    sided = entries.join(lists, "shingle").withColumn("side", F.pmod(F.xxhash64("node"), "sides").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
+    met = (
+        sided.withColumn("other", other)
+        # a part meets itself only where it is the only one, or with the part after it
+        .where((F.col("sides") == 1) | (F.col("other") != F.col("side")))
+        .select(
+            "shingle", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"),
+            "node", "size", "place", "part", "side", "sides",
+        )
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "ascending"), ("node", "ascending")]).combine_chunks()
+        sizes, places, sides = (table.column(c).to_numpy() for c in ("size", "place", "side"))
+        parts = table.column("part").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        whole = [np.frombuffer(w, np.uint64) for w in table.column("whole").to_pylist()]
+        nodes = table.column("node").to_pylist()
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        # each part is compared with itself once, in the group with its neighbour
+        own = [lo] if hi == lo + 1 else []
+        own += [hi] if hi == lo + 1 and hi == table.column("sides")[0].as_py() - 1 else []
+        found = linked_in_list(sizes, sizes - places, parts, sides, whole)
+        for side in own:
+            at = np.flatnonzero(sides == side)
+            inside = linked_in_list(
+                sizes[at], (sizes - places)[at], parts[at], sides[at], [whole[n] for n in at.tolist()]
+            )
+            found += [(int(at[x]), int(at[y])) for x, y in inside]
+        pairs = [sorted((nodes[x], nodes[y])) for x, y in found]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    needed = entries.select("node").distinct()
+    near = join_sized(sets.select("node", "whole"), needed, "node", "left_semi")
+    return (
+        met.join(near.hint("merge"), "node")
+        .groupBy("shingle", "lo", "hi")
+        .applyInArrow(compare, "a binary, b binary")
+        .distinct()
+    )
+
+
 def join_sets(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5
 ) -> DataFrame:
@@ -508,7 +608,16 @@ def join_sets(
     now = with_component(
         led.select("shingle", "node", "size", "place", "overlap", "leader_size"), links
     )
-    pairs = kept(remaining_pairs(now).join(known, ["a", "b"], "left_anti"), "remaining-pairs")
+    now = settle(now)
+    long = settle(
+        now.groupBy("shingle").agg(F.countDistinct("part").alias("parts"))
+        .where(F.col("parts") > LONG_LIST).select("shingle")
+    )
+    links = links.unionByName(
+        links_of_long_lists(join_sized(now, long, "shingle", "left_semi"), sets)
+    )
+    short = join_sized(now, long, "shingle", "left_anti")
+    pairs = kept(remaining_pairs(short).join(known, ["a", "b"], "left_anti"), "remaining-pairs")
     unsure = pairs.where(~F.col("settled"))
     verified = (
         overlaps(unsure.select("a", "b"), sets)
