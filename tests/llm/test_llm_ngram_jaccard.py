@@ -105,3 +105,75 @@ def test_prefix_lengths_are_exact():
     for n in range(1, 300):
         need = min(k for k in range(n + 1) if 5 * k >= 4 * n)
         assert J.prefix_length(n) == n - need + 1
+
+
+def test_overlap_table_and_links_of_a_list(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < 0.11, rng.integers(0, 1 << 62, 60).astype(np.uint64), base)) for _ in range(40)]
+    plain = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    for columns in (4096, 7):
+        monkeypatch.setattr(J, "COLUMNS", columns)
+        table = J.overlap_table(sets)
+        assert (table == [[n if i != j else table[i, i] for j, n in enumerate(row)] for i, row in enumerate(plain)]).all()
+    sizes = np.array([len(s) for s in sets])
+
+    def classes(pairs):
+        root = list(range(40))
+        for a, b in pairs:
+            root = [root[b] if r == root[a] else r for r in root]
+        return [root.index(r) for r in root]
+
+    linked = [
+        (i, j) for i in range(40) for j in range(i + 1, 40)
+        if 100 * plain[i][j] >= 80 * (sizes[i] + sizes[j] - plain[i][j])
+    ]
+    assert 0 < len(linked) < 700
+    found = J.linked_in_list(sizes, sizes, np.arange(40), np.zeros(40, int), sets)
+    assert set(found) <= set(linked) and classes(found) == classes(linked) and len(found) < 40
+    sides = np.arange(40) % 2
+    across = J.linked_in_list(sizes, sizes, np.arange(40), sides, sets)
+    assert classes(across) == classes([(i, j) for i, j in linked if sides[i] != sides[j]])
+
+
+@pytest.mark.parametrize("rows", [256, 40])
+def test_many_sets_about_the_threshold_form_few_pairs(spark, table, monkeypatch, rows):
+    """1,700 texts, each with its own words changed: their links are found without forming all pairs."""
+    import numpy as np
+
+    monkeypatch.setattr(J, "LIST_ROWS", rows)
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(120)], object)
+    docs = []
+    for i in range(1700):
+        # a few words in a row are changed, the more the farther from the threshold
+        own = words.copy()
+        for at in rng.integers(0, 116, int(rng.integers(1, 5))).tolist():
+            own[at : at + 2] = [f"x{i}a{at}", f"x{i}b{at}"]
+        docs.append((i, " ".join(own)))
+    formed = []
+    whole = J.remaining_pairs
+
+    def counted(entries):
+        pairs = whole(entries)
+        formed.append((pairs.count(), entries.count()))
+        return pairs
+
+    monkeypatch.setattr(J, "remaining_pairs", counted)
+    found = {r.doc_id: r.component_id for r in J.join_sets(table(docs, extra=False)).collect()}
+    grams = [np.array(sorted({hash(tuple(t.split()[k : k + 5])) for k in range(116)}), np.int64).view(np.uint64) for _, t in docs]
+    sizes = np.array([len(g) for g in grams])
+    common = J.overlap_table([np.sort(g) for g in grams])
+    near = 100 * common >= 80 * (sizes[:, None] + sizes - common)
+    np.fill_diagonal(near, True)
+    label = np.arange(1700)
+    while True:
+        least = np.array([label[row].min() for row in near])
+        if (least == label).all():
+            break
+        label = least
+    assert len(set(label.tolist())) > 20
+    assert [found[i] for i in range(1700)] == label.tolist()
+    assert formed[0][0] <= 20_000

@@ -51,7 +51,7 @@ FILL_BITS = 20
 LEADER_ROUNDS = 3
 # A list with more components than this after the leaders is compared inside a task, where its sets are
 # brought, with at most about so many entries at once; pairs of shorter lists are formed one by one.
-LONG_LIST = 8
+LONG_LIST = 32
 LIST_ROWS = 256
 # Columns of a piece of the table of a list's sets.
 COLUMNS = 4096
