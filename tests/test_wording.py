@@ -182,3 +182,38 @@ def test_only_words_that_may_be_forms_travel(spark):
     df = spark.createDataFrame([("a b c b",), ("",), (None,)], "t string")
     kept = df.select(lookup._may_be_keys(bits, W.words("t"), df).alias("k")).collect()
     assert [r.k for r in kept] == [["b"], [], None]
+
+
+@pytest.mark.parametrize("max_rows", [200_000, 0])
+def test_sums_count_each_copy_of_a_text_once(spark, max_rows):
+    rows = [(i, "red red blue") for i in range(7)] + [(8, "blue none"), (9, "none"), (10, ""), (11, None)]
+    texts = spark.createDataFrame(rows, "id bigint, t string").repartition(3)
+    lexicon = spark.createDataFrame([("red", 5), ("blue", -3), ("blue", 2), ("none", None), (None, 9)], "word string, score int")
+    found = {r.id: r.score for r in W.lexicon_score(texts, lexicon, "id", "t", max_rows=max_rows).collect()}
+    assert found == {**dict.fromkeys(range(7), 7), 8: -3, 9: 0, 10: 0, 11: None}
+
+
+def test_joined_weights_bring_only_sums_back(spark, monkeypatch):
+    """Texts of many known words: what meets the rows is a sum a label and text, not the words' weights."""
+    from townpulse.functions import lookup
+
+    met, attach = [], lookup.attach
+    monkeypatch.setattr(lookup, "attach", lambda rows, table, *a, **b: met.append(table) or attach(rows, table, *a, **b))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(200)), ["bad", "good"][i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, text string, label string")
+    model = W.train_bayes(df)
+    found = W.predict_bayes(df.select("id", "text"), model, "id", max_rows=0)
+    assert {r.id: r.label for r in found.collect()} == {i: y for i, _, y in rows}
+    arrays = [c for c, kind in met[0].dtypes if kind.startswith("array")]
+    assert max(met[0].selectExpr(*[f"max(size({c}))" for c in arrays]).first()) == 3
+
+
+def test_many_entries_are_merged_though_texts_are_few(spark, monkeypatch):
+    from townpulse.functions import lookup
+
+    monkeypatch.setattr(lookup, "MOST_ENTRIES", 50)
+    table = spark.range(200).selectExpr("concat('w', id) AS form", "concat('l', id) AS lemma")
+    rows = [(1, " ".join(f"w{i}" for i in range(200))), (2, "none")]
+    found = W.lemmatize(spark.createDataFrame(rows, "id int, t string"), table, "id", "t", max_rows=0)
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.lemmas for r in found.collect()} == {1: " ".join(f"l{i}" for i in range(200)), 2: "none"}

@@ -15,6 +15,8 @@ from townpulse.scale import BROADCAST_ROWS, attach, settle
 
 # Bits that say which words may be in a dictionary, and bits in a piece of them.
 BITMAP_BITS, PIECE_BITS = 24, 15
+# Entries of texts that may be sent to every executor at once.
+MOST_ENTRIES = 5 * BROADCAST_ROWS
 
 
 def _slot(word: Column) -> Column:
@@ -110,6 +112,74 @@ def _aligned(words_of: Column, entries: Column, form: str, value: str, kind: str
     return place(words_of, entries)
 
 
+def _counted_keys(bitmap: np.ndarray, words_of: Column, table: DataFrame) -> Column:
+    """``w, n``: the distinct words of a row whose slot is taken, and how often it has them."""
+    shared = table.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("array<struct<w:string,n:bigint>>")
+    def count(lists: pa.Array, slots: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        slot = slots.flatten().to_numpy(zero_copy_only=False)
+        taken = np.flatnonzero((shared.value[slot >> 3] >> (slot & 7)) & 1)
+        coded = lists.flatten().take(pa.array(taken)).dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pair, n = np.unique(np.repeat(np.arange(len(lists)), sizes)[taken] * size + code, return_counts=True)
+        made = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pair % size)), pa.array(n)], ["w", "n"])
+        offsets = np.append(0, np.cumsum(np.bincount(pair // size, minlength=len(lists))))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), made)
+
+    return count(words_of, F.transform(words_of, _slot))
+
+
+def with_sums(
+    df: DataFrame, text: str, dictionary: DataFrame, form: str, value: str, out: str, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Adds ``out``: the sum of the dictionary's ``value`` (an array of numbers of one length) over
+    ``words(text)``, place by place; null where no word is found or the text is null.
+
+    As ``with_values``, but of a larger dictionary only sums come back to the rows: a text's different
+    words are joined with the dictionary and summed by the text's 128-bit hash.
+    """
+    once = dictionary.filter(F.col(form).isNotNull()).groupBy(form).agg(F.min(value).alias(value))
+    once = settle(once)
+    of_sum = once.schema[value].dataType.elementType
+    if once.count() <= max_rows:
+        found = values_sent_along(once, form, value, words(text))
+        added = F.reduce(
+            F.filter(found, lambda v: v.isNotNull()),
+            F.lit(None).cast(once.schema[value].dataType),
+            lambda total, v: F.coalesce(F.zip_with(total, v, lambda a, b: a + b), v),
+        )
+        return df.withColumn(out, added)
+    own = {c: f"_{uuid.uuid4().hex}" for c in ("h1", "h2")}
+    by = list(own.values())
+    hashes = {own["h1"]: F.xxhash64(text), own["h2"]: F.xxhash64(F.lit(1), F.col(text))}
+    # one more entry a row counts the copies of its text; no word has a space in it
+    copy = F.struct(F.concat(F.lit(" "), F.col(own["h1"]).cast("string")).alias("w"), F.lit(None).cast("bigint").alias("n"))
+    counted = _counted_keys(key_bitmap(once, form), words(text), once)
+    pieces = (
+        df.filter(F.col(text).isNotNull())
+        .select(*[h.alias(name) for name, h in hashes.items()], counted.alias("_counted"))
+        .select(*by, F.explode(F.concat("_counted", F.array(copy))).alias("_piece"))
+        .select(*by, F.col("_piece.w").alias(form), F.col("_piece.n").alias("_n"))
+    )
+    wide = once.agg(F.max(F.size(value))).first()[0] or 0
+    places = [F.get(value, F.lit(i)).alias(f"_v{i}") for i in range(wide)]
+    met = pieces.join(once.select(form, *places).hint("merge"), form, "left")
+    copies = F.count_if(F.col("_n").isNull())
+    whole = of_sum.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+    def summed(i: int) -> Column:
+        total = F.sum(F.col(f"_v{i}") * F.col("_n"))
+        return F.call_function("div", total, copies) if whole else total / copies
+
+    sums = F.array(*[summed(i).cast(of_sum) for i in range(wide)])
+    known = F.count_if(F.col("_n").isNotNull() & F.col("_v0").isNotNull()) if wide else F.lit(0)
+    found = met.groupBy(*by).agg(sums.alias(out), known.alias("_known")).filter("_known > 0").drop("_known")
+    return attach(df.drop(out).withColumns(hashes), found, by).drop(*by)
+
+
 def with_values(
     df: DataFrame, text: str, dictionary: DataFrame, form: str, value: str, out: str, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -137,5 +207,8 @@ def with_values(
         .agg(F.collect_set(F.struct(form, value)).alias(own["entries"]))
     )
     kind = once.schema[value].dataType.simpleString()
-    rows = attach(df.withColumns(hashes), found, by)
+    # a row's entries may be many: what may be sent along is counted in entries
+    found = settle(found)
+    entries = found.agg(F.sum(F.size(own["entries"]))).first()[0] or 0
+    rows = attach(df.withColumns(hashes), found, by, max_rows=BROADCAST_ROWS if entries <= MOST_ENTRIES else -1)
     return rows.withColumn(out, _aligned(words(text), F.col(own["entries"]), form, value, kind)).drop(*own.values())

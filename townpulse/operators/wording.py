@@ -10,7 +10,7 @@ from pyspark.ml.feature import IDF, HashingTF, IndexToString, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townpulse.functions.lookup import with_values
+from townpulse.functions.lookup import with_sums, with_values
 from townpulse.functions.text import (
     clean_text,
     remove_emojis,
@@ -55,10 +55,10 @@ def lexicon_score(
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Sum of the ``lexicon`` (word, score: whole numbers) scores of a text's words."""
-    lexicon = lexicon.select("word", F.col("score").cast("bigint").alias("score"))
-    found = with_values(df, text, lexicon, "word", "score", "_scores", max_rows)
-    zero = F.lit(0).cast("bigint")
-    total = F.aggregate("_scores", zero, lambda total, s: total + F.coalesce(s, zero))
+    given = F.col("score").isNotNull()
+    lexicon = lexicon.filter(given).select("word", F.array(F.col("score").cast("bigint")).alias("score"))
+    found = with_sums(df, text, lexicon, "word", "score", "_scores", max_rows)
+    total = F.when(F.col(text).isNotNull(), F.coalesce(F.get("_scores", F.lit(0)), F.lit(0).cast("bigint")))
     return found.withColumn(out, total).drop("_scores")
 
 
@@ -180,12 +180,9 @@ def predict_bayes(
     nothing = F.array(*[F.lit(0.0)] * (n + 1))
     sums, body = f"_sums_{out}", f"_body_{out}"
     read = df.withColumn(body, clean_text(F.coalesce(text, F.lit(""))))
-    found = with_values(read, body, model.table, "word", "gains", sums, max_rows)
-    added = F.aggregate(
-        sums, nothing, lambda total, w: F.zip_with(total, F.coalesce(w, nothing), lambda a, b: a + b)
-    )
+    found = with_sums(read, body, model.table, "word", "gains", sums, max_rows)
     # summed once: the totals read the sums several times
-    found = found.withColumn(sums, F.transform(F.array(added), lambda s: s)[0])
+    found = found.withColumn(sums, F.transform(F.array(F.coalesce(sums, nothing)), lambda s: s)[0])
     totals = [
         F.round(F.lit(prior) + F.lit(floor) * F.get(sums, F.lit(n)) + F.get(sums, F.lit(i)), 9)
         for i, (prior, floor) in enumerate(zip(model.priors, model.floors, strict=True))
