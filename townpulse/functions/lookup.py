@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,18 @@ BITMAP_BITS, PIECE_BITS = 24, 15
 MOST_ENTRIES = 5 * BROADCAST_ROWS
 
 
+def _slots(words: pa.Array) -> np.ndarray:
+    """The bit that stands for each word."""
+    made = pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+    return (made % np.uint64(1 << BITMAP_BITS)).astype(np.int64)
+
+
 def _slot(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(1 << BITMAP_BITS)).cast("int")
+    @F.arrow_udf("int")
+    def slot(words: pa.Array) -> pa.Array:
+        return pa.array(_slots(words).astype(np.int32))
+
+    return slot(word)
 
 
 def key_bitmap(table: DataFrame, key: str) -> np.ndarray:
@@ -69,18 +80,39 @@ def values_sent_along(dictionary: DataFrame, form: str, value: str, words_of: Co
     return look(words_of)
 
 
+def _row_numbers(lists: pa.ListArray) -> np.ndarray:
+    """The row of each value of the flattened lists."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), sizes)
+
+
+def _known_words(lists: pa.ListArray, bitmap: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of each row whose slot is taken, how many a row has, how often it has each."""
+    coded = lists.flatten().dictionary_encode()
+    slot = _slots(coded.dictionary)
+    taken = (bitmap[slot >> 3] >> (slot & 7)) & 1 > 0
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    size = max(1, len(coded.dictionary))
+    at = np.flatnonzero(taken[code])
+    pair, count = np.unique(_row_numbers(lists)[at] * size + code[at], return_counts=True)
+    return coded.dictionary.take(pa.array(pair % size)), np.bincount(pair // size, minlength=len(lists)), count
+
+
+def _of_sizes(sizes: np.ndarray, values: pa.Array, like: pa.ListArray) -> pa.ListArray:
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=like.is_null())
+
+
 def _may_be_keys(bitmap: np.ndarray, words_of: Column, table: DataFrame) -> Column:
     """The distinct words of a row whose slot is taken."""
     shared = table.sparkSession.sparkContext.broadcast(bitmap)
 
-    @F.arrow_udf("array<boolean>")
-    def taken(slots: pa.Array) -> pa.Array:
-        slot = slots.flatten().to_numpy()
-        return like_lists(slots, pa.array((shared.value[slot >> 3] >> (slot & 7)) & 1 > 0))
+    @F.arrow_udf("array<string>")
+    def known(lists: pa.Array) -> pa.Array:
+        found, sizes, _ = _known_words(lists, shared.value)
+        return _of_sizes(sizes, found, lists)
 
-    distinct = F.array_distinct(words_of)
-    pairs = F.arrays_zip(distinct.alias("w"), taken(F.transform(distinct, _slot)).alias("k"))
-    return F.transform(F.filter(pairs, lambda p: p["k"]), lambda p: p["w"])
+    return known(words_of)
 
 
 def _aligned(words_of: Column, entries: Column, form: str, value: str, kind: str) -> Column:
@@ -94,12 +126,8 @@ def _aligned(words_of: Column, entries: Column, form: str, value: str, kind: str
         coded = pa.concat_arrays([keys, wanted]).dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
-        def rows_of(x: pa.Array) -> np.ndarray:
-            sizes = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
-            return np.repeat(np.arange(len(x)), sizes)
-
         # a word of a row is the pair of its row and its number
-        pair = np.concatenate([rows_of(entries), rows_of(lists)]) * max(1, len(coded.dictionary)) + code
+        pair = np.concatenate([_row_numbers(entries), _row_numbers(lists)]) * max(1, len(coded.dictionary)) + code
         have, want = pair[: len(keys)], pair[len(keys) :]
         order = np.argsort(have, kind="stable")
         at = np.searchsorted(have[order], want)
@@ -117,19 +145,11 @@ def _counted_keys(bitmap: np.ndarray, words_of: Column, table: DataFrame) -> Col
     shared = table.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.arrow_udf("array<struct<w:string,n:bigint>>")
-    def count(lists: pa.Array, slots: pa.Array) -> pa.Array:
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        slot = slots.flatten().to_numpy(zero_copy_only=False)
-        taken = np.flatnonzero((shared.value[slot >> 3] >> (slot & 7)) & 1)
-        coded = lists.flatten().take(pa.array(taken)).dictionary_encode()
-        size = max(1, len(coded.dictionary))
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pair, n = np.unique(np.repeat(np.arange(len(lists)), sizes)[taken] * size + code, return_counts=True)
-        made = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pair % size)), pa.array(n)], ["w", "n"])
-        offsets = np.append(0, np.cumsum(np.bincount(pair // size, minlength=len(lists))))
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), made)
+    def counted(lists: pa.Array) -> pa.Array:
+        found, sizes, count = _known_words(lists, shared.value)
+        return _of_sizes(sizes, pa.StructArray.from_arrays([found, pa.array(count)], ["w", "n"]), lists)
 
-    return count(words_of, F.transform(words_of, _slot))
+    return counted(words_of)
 
 
 def with_sums(
@@ -158,9 +178,9 @@ def with_sums(
     # one more entry a row counts the copies of its text; no word has a space in it
     copy = F.struct(F.concat(F.lit(" "), F.col(own["h1"]).cast("string")).alias("w"), F.lit(None).cast("bigint").alias("n"))
     counted = _counted_keys(key_bitmap(once, form), words(text), once)
+    # a null text has no list, so no pieces
     pieces = (
-        df.filter(F.col(text).isNotNull())
-        .select(*[h.alias(name) for name, h in hashes.items()], counted.alias("_counted"))
+        df.select(*[h.alias(name) for name, h in hashes.items()], counted.alias("_counted"))
         .select(*by, F.explode(F.concat("_counted", F.array(copy))).alias("_piece"))
         .select(*by, F.col("_piece.w").alias(form), F.col("_piece.n").alias("_n"))
     )
@@ -196,7 +216,7 @@ def with_values(
         return df.withColumn(out, values_sent_along(once, form, value, words(text)))
     own = {c: f"_{uuid.uuid4().hex}" for c in ("h1", "h2", "entries")}
     hashes = {own["h1"]: F.xxhash64(text), own["h2"]: F.xxhash64(F.lit(1), F.col(text))}
-    pieces = df.filter(F.col(text).isNotNull()).select(
+    pieces = df.select(
         *[h.alias(name) for name, h in hashes.items()],
         F.explode(_may_be_keys(key_bitmap(once, form), words(text), once)).alias(form),
     )
