@@ -217,3 +217,17 @@ def test_many_entries_are_merged_though_texts_are_few(spark, monkeypatch):
     found = W.lemmatize(spark.createDataFrame(rows, "id int, t string"), table, "id", "t", max_rows=0)
     assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
     assert {r.id: r.lemmas for r in found.collect()} == {1: " ".join(f"l{i}" for i in range(200)), 2: "none"}
+
+
+@pytest.mark.parametrize("max_rows", [200_000, 0])
+def test_lines_and_sums_leave_python_without_words(spark, max_rows):
+    """No list of values by word comes back, which would be as large as the texts; words are split once."""
+    df = spark.createDataFrame([(1, "a b  a"), (2, None), (3, ""), (4, "c")], "id int, t string")
+    table = spark.createDataFrame([("a", "x", 2), ("c", None, 1 << 40)], "w string, lemma string, score bigint")
+    lemmas = W.lemmatize(df, table.withColumnRenamed("w", "form"), "id", "t", max_rows=max_rows)
+    scores = W.lexicon_score(df, table.select(table.w.alias("word"), "score"), "id", "t", max_rows=max_rows)
+    assert {r.id: r.lemmas for r in lemmas.collect()} == {1: "x b x", 2: None, 3: "", 4: "c"}
+    assert {r.id: r.score for r in scores.collect()} == {1: 4, 2: None, 3: 0, 4: 1 << 40}
+    for found in (lemmas, scores):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") <= 1 and "zip_with" not in plan and "aggregate(" not in plan

@@ -59,15 +59,39 @@ def like_lists(lists: pa.ListArray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=lists.is_null())
 
 
-def values_sent_along(dictionary: DataFrame, form: str, value: str, words_of: Column) -> Column:
-    """Values of a row's words from a dictionary that every task has.
+def line_of(lists: pa.ListArray, found: pa.Array) -> pa.Array:
+    """The values found, or the words that have none, with spaces between them."""
+    return pc.binary_join(like_lists(lists, pc.coalesce(found, lists.flatten())), " ")
 
-    The words of a slice of rows are made distinct first, so each is looked up once.
-    """
+
+def _sent(dictionary: DataFrame, form: str, value: str):
+    """A dictionary's keys and values as two arrays that every task has."""
     table = dictionary.toArrow().combine_chunks()
     keys, values = (table.column(c).combine_chunks() for c in (form, value))
     keys, values = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (keys, values))
-    shared = dictionary.sparkSession.sparkContext.broadcast((keys, values))
+    return dictionary.sparkSession.sparkContext.broadcast((keys, values))
+
+
+def lines_sent_along(dictionary: DataFrame, form: str, value: str, words_of: Column) -> Column:
+    """A row's words, replaced by the values of a dictionary that every task has, as one line.
+
+    The words of a slice of rows are made distinct first, so each is looked up once.
+    """
+    shared = _sent(dictionary, form, value)
+
+    @F.arrow_udf("string")
+    def look(lists: pa.Array) -> pa.Array:
+        keys, values = shared.value
+        coded = lists.flatten().dictionary_encode()
+        found = values.take(pc.index_in(coded.dictionary, value_set=keys))
+        return line_of(lists, found.take(coded.indices))
+
+    return look(words_of)
+
+
+def values_sent_along(dictionary: DataFrame, form: str, value: str, words_of: Column) -> Column:
+    """Values of a row's words from a dictionary that every task has, looked up as in ``lines_sent_along``."""
+    shared = _sent(dictionary, form, value)
     kind = dictionary.schema[value].dataType.simpleString()
 
     @F.arrow_udf(f"array<{kind}>")
@@ -80,6 +104,38 @@ def values_sent_along(dictionary: DataFrame, form: str, value: str, words_of: Co
     return look(words_of)
 
 
+def sums_sent_along(dictionary: DataFrame, form: str, value: str, words_of: Column) -> Column:
+    """Sums of the values (arrays of one length) of a row's words, null where none is found.
+
+    Only a sum for each row leaves the task's Python, never a value for each word.
+    """
+    shared = _sent(dictionary, form, value)
+    kind = dictionary.schema[value].dataType
+
+    @F.arrow_udf(kind.simpleString())
+    def look(lists: pa.Array) -> pa.Array:
+        keys, values = shared.value
+        coded = lists.flatten().dictionary_encode()
+        place = pc.fill_null(pc.index_in(coded.dictionary, value_set=keys), -1).to_numpy(zero_copy_only=False)
+        place = place[coded.indices.to_numpy(zero_copy_only=False)]
+        at = np.flatnonzero(place >= 0)
+        row, place = _row_numbers(lists)[at], place[at]
+        table = values.flatten().to_numpy(zero_copy_only=False)
+        table = table.reshape(len(values), -1 if len(values) else 0)
+        hits = np.bincount(row, minlength=len(lists)) > 0
+        ends = np.searchsorted(row, np.arange(len(lists) + 1))
+        sums = np.zeros((len(lists), table.shape[1]), table.dtype)
+        for i in range(table.shape[1]):
+            if table.dtype.kind == "f":
+                sums[:, i] = np.bincount(row, table[place, i], len(lists))
+            else:
+                sums[:, i] = np.diff(np.append(0, np.cumsum(table[place, i]))[ends])
+        offsets = np.append(0, np.cumsum(np.where(hits, table.shape[1], 0))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums[hits].ravel()), mask=pa.array(~hits))
+
+    return look(words_of)
+
+
 def _row_numbers(lists: pa.ListArray) -> np.ndarray:
     """The row of each value of the flattened lists."""
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -115,10 +171,10 @@ def _may_be_keys(bitmap: np.ndarray, words_of: Column, table: DataFrame) -> Colu
     return known(words_of)
 
 
-def _aligned(words_of: Column, entries: Column, form: str, value: str, kind: str) -> Column:
-    """Values of a row's words from the row's own entries (form, value)."""
+def _aligned(words_of: Column, entries: Column, form: str, value: str, kind: str, line: bool = False) -> Column:
+    """Values of a row's words from the row's own entries (form, value), or a line of them and other words."""
 
-    @F.arrow_udf(f"array<{kind}>")
+    @F.arrow_udf("string" if line else f"array<{kind}>")
     def place(lists: pa.Array, entries: pa.Array) -> pa.Array:
         own = entries.flatten()
         keys, values = own.field(form), own.field(value)
@@ -135,12 +191,13 @@ def _aligned(words_of: Column, entries: Column, form: str, value: str, kind: str
         hit[hit] = have[order][at[hit]] == want[hit]
         index = np.zeros(len(want), np.int64)
         index[hit] = order[at[hit]]
-        return like_lists(lists, values.take(pa.array(index, mask=~hit)))
+        found = values.take(pa.array(index, mask=~hit))
+        return line_of(lists, found) if line else like_lists(lists, found)
 
     return place(words_of, entries)
 
 
-def _counted_keys(bitmap: np.ndarray, words_of: Column, table: DataFrame) -> Column:
+def counted_keys(bitmap: np.ndarray, words_of: Column, table: DataFrame) -> Column:
     """``w, n``: the distinct words of a row whose slot is taken, and how often it has them."""
     shared = table.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -165,19 +222,13 @@ def with_sums(
     once = settle(once)
     of_sum = once.schema[value].dataType.elementType
     if once.count() <= max_rows:
-        found = values_sent_along(once, form, value, words(text))
-        added = F.reduce(
-            F.filter(found, lambda v: v.isNotNull()),
-            F.lit(None).cast(once.schema[value].dataType),
-            lambda total, v: F.coalesce(F.zip_with(total, v, lambda a, b: a + b), v),
-        )
-        return df.withColumn(out, added)
+        return df.withColumn(out, sums_sent_along(once, form, value, words(text)))
     own = {c: f"_{uuid.uuid4().hex}" for c in ("h1", "h2")}
     by = list(own.values())
     hashes = {own["h1"]: F.xxhash64(text), own["h2"]: F.xxhash64(F.lit(1), F.col(text))}
     # one more entry a row counts the copies of its text; no word has a space in it
     copy = F.struct(F.concat(F.lit(" "), F.col(own["h1"]).cast("string")).alias("w"), F.lit(None).cast("bigint").alias("n"))
-    counted = _counted_keys(key_bitmap(once, form), words(text), once)
+    counted = counted_keys(key_bitmap(once, form), words(text), once)
     # a null text has no list, so no pieces
     pieces = (
         df.select(*[h.alias(name) for name, h in hashes.items()], counted.alias("_counted"))
@@ -201,19 +252,28 @@ def with_sums(
 
 
 def with_values(
-    df: DataFrame, text: str, dictionary: DataFrame, form: str, value: str, out: str, max_rows: int = BROADCAST_ROWS
+    df: DataFrame,
+    text: str,
+    dictionary: DataFrame,
+    form: str,
+    value: str,
+    out: str,
+    max_rows: int = BROADCAST_ROWS,
+    line: bool = False,
 ) -> DataFrame:
     """Adds ``out``: for each of ``words(text)`` the dictionary's value, null where it has none.
 
     Of several values for a form the smallest is taken; a null text gives null. A dictionary of up to
     ``max_rows`` rows goes to every task and the rows stay where they are. A larger one is joined with
     the distinct words of each different text that may be in it, by a bitmap of its forms, and the
-    entries found are brought to the rows by a 128-bit hash of their text.
+    entries found are brought to the rows by a 128-bit hash of their text. With ``line`` (values that are
+    strings) ``out`` is one string: the values, or the words that have none, with spaces between them.
     """
     once = dictionary.filter(F.col(form).isNotNull()).groupBy(form).agg(F.min(value).alias(value))
     once = settle(once)
     if once.count() <= max_rows:
-        return df.withColumn(out, values_sent_along(once, form, value, words(text)))
+        sent_along = lines_sent_along if line else values_sent_along
+        return df.withColumn(out, sent_along(once, form, value, words(text)))
     own = {c: f"_{uuid.uuid4().hex}" for c in ("h1", "h2", "entries")}
     hashes = {own["h1"]: F.xxhash64(text), own["h2"]: F.xxhash64(F.lit(1), F.col(text))}
     pieces = df.select(
@@ -231,4 +291,4 @@ def with_values(
     found = settle(found)
     entries = found.agg(F.sum(F.size(own["entries"]))).first()[0] or 0
     rows = attach(df.withColumns(hashes), found, by, max_rows=BROADCAST_ROWS if entries <= MOST_ENTRIES else -1)
-    return rows.withColumn(out, _aligned(words(text), F.col(own["entries"]), form, value, kind)).drop(*own.values())
+    return rows.withColumn(out, _aligned(words(text), F.col(own["entries"]), form, value, kind, line)).drop(*own.values())

@@ -41,9 +41,8 @@ def lemmatize(
     Runs the dictionary to learn its size; beyond ``max_rows`` it is joined (see ``with_values``).
     ``key`` is not needed: rows are never told apart by it.
     """
-    found = with_values(df, text, dictionary, "form", "lemma", "_lemmas", max_rows)
-    either = F.zip_with(words(text), "_lemmas", lambda w, lemma: F.coalesce(lemma, w))
-    return found.withColumn(out, F.array_join(either, " ")).drop("_lemmas")
+    found = with_values(df, text, dictionary, "form", "lemma", "_lemmas", max_rows, line=True)
+    return found.withColumn(out, F.col("_lemmas")).drop("_lemmas")
 
 
 def lexicon_score(
