@@ -158,3 +158,37 @@ def test_likelihood_ratio_of_independent_words_is_small(spark):
         T.likelihood_ratio(F.lit(5), F.lit(100), F.lit(5), F.lit(100)).alias("only"),
     ).first()
     assert abs(row.even) < 1e-9 and row.tied > 100 and row.only == 0.0
+
+
+def test_tfidf_of_many_terms_moves_counted_terms_twice_at_most(spark, tmp_path):
+    """A row's terms are counted before they travel: to the vocabulary, and to their row."""
+    rows = [(i, f"aa aa b{i % 3}b cc only{i}") for i in range(30)]
+    spark.createDataFrame(rows, "id bigint, cleaned string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    large = T.tfidf(docs, "id", min_df=2, max_df=1.0, max_rows=0)
+    small = T.tfidf(docs, "id", min_df=2, max_df=1.0)
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    # the third one moves the vocabulary
+    assert plan.count("Exchange hashpartitioning") <= 3
+
+    def rounded(df):
+        return sorted((r.id, r.term, round(r.weight, 9)) for r in df.collect())
+
+    assert rounded(large) == rounded(small) and len(rounded(large)) == 90
+
+    twice = T.tfidf(docs.unionByName(docs.selectExpr("id", "'aa ' || cleaned AS cleaned")), "id", min_df=2, max_rows=0)
+    assert twice.groupBy("id", "term").count().filter("count > 1").count() == 0
+    lengths = twice.groupBy("id").agg({"weight": "count"}).count()
+    assert lengths == 30
+
+
+def test_vocabularies_are_sent_along_by_their_bytes(spark, monkeypatch):
+    docs = spark.range(30).selectExpr("id", "concat('aa b', id % 3, 'b cc') AS cleaned")
+
+    def joined():
+        plan = T.tfidf(docs, "id", min_df=2, max_df=1.0)._jdf.queryExecution().executedPlan().toString()
+        return "SortMergeJoin" in plan
+
+    assert not joined()
+    monkeypatch.setattr(T, "MOST_VOCABULARY_BYTES", 50)
+    assert joined()
