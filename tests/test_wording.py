@@ -231,3 +231,11 @@ def test_lines_and_sums_leave_python_without_words(spark, max_rows):
     for found in (lemmas, scores):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("split(") <= 1 and "zip_with" not in plan and "aggregate(" not in plan
+
+
+@pytest.mark.parametrize("max_rows", [200_000, 0])
+def test_large_scores_of_many_copies(spark, max_rows):
+    df = spark.createDataFrame([(i, "a b a") for i in range(20)], "id int, t string").repartition(3)
+    table = spark.createDataFrame([("a", 1 << 60), ("b", -5)], "word string, score bigint")
+    found = W.lexicon_score(df, table, "id", "t", max_rows=max_rows).collect()
+    assert {r.score for r in found} == {(1 << 61) - 5} and len(found) == 20

@@ -242,8 +242,9 @@ def with_sums(
     whole = of_sum.simpleString() in ("tinyint", "smallint", "int", "bigint")
 
     def summed(i: int) -> Column:
-        total = F.sum(F.col(f"_v{i}") * F.col("_n"))
-        return F.call_function("div", total, copies) if whole else total / copies
+        part = F.col(f"_v{i}") * F.col("_n")
+        # the copies' sum may be beyond a long where each sum is not
+        return F.call_function("div", F.sum(part.cast("decimal(38,0)")), copies) if whole else F.sum(part) / copies
 
     sums = F.array(*[summed(i).cast(of_sum) for i in range(wide)])
     known = F.count_if(F.col("_n").isNotNull() & F.col("_v0").isNotNull()) if wide else F.lit(0)
