@@ -281,3 +281,31 @@ def test_kmeans_of_copies_and_of_too_few_rows(spark):
     assert {(r.topic, r["count"]) for r in found.groupBy("topic").count().collect()} == {(0, 50), (1, 1)}
     assert found.columns == ["id", "v", "cluster", "topic"]
     assert T.kmeans_topics(df.limit(0), "id", "v", 5).collect() == []
+
+
+def test_near_rows_in_single_precision_equal_rounded_products():
+    rng = np.random.default_rng(5)
+    rows = np.repeat(rng.normal(size=(60, 24)), 12, axis=0) + 0.3 * rng.normal(size=(720, 24))
+    rows = np.concatenate([rows, np.repeat(rows[:2], 300, axis=0)])
+    rows /= np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    exact = np.round(rows @ rows.T, 9)
+    # thresholds that pairs, and whole groups of copies, lie on
+    for threshold in (0.7, 1.0, -1.0, float(exact[0, 1]), float(exact[0, 500])):
+        assert (T.near_rows(rows, threshold) == (exact >= threshold)).all()
+
+
+def test_a_unit_vector_sums_its_length_once(spark):
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 2.0],)], "v array<double>")
+    made = T.unit("v").alias("u")
+    assert [r.u for r in rows.select(made).collect()] == [[0.6, 0.8], [0.0, 1.0]]
+    plan = rows.select(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT") == 1 and plan.index("SQRT") < plan.index("/")
+
+
+def test_texts_are_hashed_once_for_the_fit_the_mean_and_the_vectors(spark, tmp_path):
+    from townpulse.plans.batch import text_vectors
+
+    spark.range(40).selectExpr("id AS row_id", "concat('aa bb', id % 3, ' cc') AS cleaned").write.parquet(str(tmp_path / "v"))
+    made = text_vectors(spark.read.parquet(str(tmp_path / "v")), 16)
+    assert "FileScan" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.columns == ["row_id", "cleaned", "vector"] and made.count() == 40
