@@ -192,3 +192,31 @@ def test_vocabularies_are_sent_along_by_their_bytes(spark, monkeypatch):
     assert not joined()
     monkeypatch.setattr(T, "MOST_VOCABULARY_BYTES", 50)
     assert joined()
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_words_and_pairs_of_slices_equal_those_counted_one_by_one(spark, kind):
+    texts = [
+        "вода раз вода раз 2024 раз", " aa  bb\taa bb cc x 7 aa ", "", None, "нет", "x 1 22", "٣٣ aa aa aa",
+        "aa\u0085bb\x1cbb нет aa", "\U0001f600 \U0001f600\U0001f600 aa", "bb aa " * 400,
+    ]
+    rows = [(str(i % 3) if i % 7 else None, t) for i, t in enumerate(texts * 5)]
+    docs = spark.createDataFrame(rows, "topic string, cleaned string").withColumn("topic", F.col("topic").cast(kind))
+
+    def plain(df):
+        return sorted((r.topic, r._w1, r._w2 or "", r["count"]) for r in df.collect())
+
+    for stop in ([], ["нет", "раз"]):
+        expected = plain(T.word_and_pair_counts(docs, "topic", "cleaned", stop))
+        found = T.counts_by_first_word(docs, "topic", "cleaned", stop)
+        assert plain(found) == expected and len(expected) > 20
+        alone = {(t, w): n for t, w, other, n in expected if not other}
+        assert all(r._c1 == alone[r.topic, r._w1] for r in found.collect())
+
+
+def test_pairs_meet_the_word_counts_once(spark):
+    docs = spark.range(60).selectExpr("'t' AS topic", "concat('aa bb', id % 3, ' cc') AS cleaned")
+    found = T.phrase_frequencies(docs, "topic")
+    # what is left to join are the words and what phrases take of them
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert found.count() > 0
