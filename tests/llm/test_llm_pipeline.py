@@ -59,3 +59,21 @@ def test_stages_against_plain_checks(spark):
 def test_run(spark):
     found = P.run(spark, SMALL)
     assert found.columns == ["doc_id", "ids", "lossless"] and found.where(~F.col("lossless")).count() == 0
+
+
+def test_stages_pass_texts_to_python_in_batches_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    long = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 1000000) AS text")
+    for _, stage in P.STAGES[:1] + P.STAGES[-1:]:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        assert stage(spark, docs, SMALL).count() == docs.count()
+        found = [r.n for r in long.mapInArrow(sizes, "n bigint").collect()]
+        # a batch ends with the row that goes beyond the bound
+        assert sum(found) > 40_000_000 and max(found) < P.BATCH_BYTES + 2_000_000
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")

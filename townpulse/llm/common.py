@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,15 @@ from townpulse.scale import BROADCAST_ROWS, settle, shared_path
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def give_back() -> None:
+    """Free memory of a Python worker goes back to the system: workers outlive tasks and stages, and
+    allocators keep what the largest slice took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, UPPER, UPPER.lower())

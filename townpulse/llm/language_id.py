@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from townpulse.llm.common import give_back
 from townpulse.llm.recurrent import Adam, blank_input, layer_gradients, parts, run_layer
 from townpulse.llm.words import buffers, row_slices
 
@@ -243,6 +244,7 @@ def identify(
                     ],
                     names=[*carried, "lang_pred", "score"],
                 )
+        give_back()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     body = F.col(text).alias("_body")

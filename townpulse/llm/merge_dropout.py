@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from townpulse.llm.common import give_back
 from townpulse.llm.words import mix, row_slices
 
 SPACE = "▁"
@@ -408,6 +409,7 @@ def encode(
     shared = docs.sparkSession.sparkContext.broadcast(vars(load_model(model_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what earlier stages took
         model = Model(**shared.value)
         for batch in batches:
             for part in row_slices(batch, 1, SLICE_BYTES):
@@ -421,6 +423,8 @@ def encode(
                     [part.column(0), pa.ListArray.from_arrays(pa.array(sizes), flat), pa.array(same)],
                     names=[key, "ids", "lossless"],
                 )
+                del texts, ids, same, flat
+                give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     drawn = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
