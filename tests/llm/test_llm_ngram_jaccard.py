@@ -177,3 +177,23 @@ def test_many_sets_about_the_threshold_form_few_pairs(spark, table, monkeypatch,
     assert len(set(label.tolist())) > 20
     assert [found[i] for i in range(1700)] == label.tolist()
     assert formed[0][0] <= 20_000
+
+
+def test_frequent_shingles_reach_the_driver_as_arrays(spark, monkeypatch):
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+    from townpulse.llm import ngram_jaccard as J
+
+    texts = ["a b c d e f g"] * 9 + ["a b c d e x"] * 7 + ["k l m n o p"] * 4 + ["only once in here at all", "", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    expected = Counter(int(h) for one in J.shingle_sets(pa.array(texts), 5) for h in one)
+    # no list of rows is made, up to 2^17 of them
+    monkeypatch.setattr(type(docs), "collect", lambda self: 1 / 0)
+    values, logs = J.frequent_shingles(docs, "text", 5)
+    often = {h: n for h, n in expected.items() if n >= J.FREQUENT_IN_TASK}
+    assert values.tolist() == sorted(often) and len(often) == 6
+    assert logs.tolist() == [int(np.log2(often[h])) for h in sorted(often)]
+    values, logs = J.frequent_shingles(docs.limit(0), "text", 5)
+    assert len(values) == 0 and len(logs) == 0

@@ -104,11 +104,12 @@ def frequent_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarra
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "shingle")
         .limit(FREQUENT)
-        .collect()
+        .toArrow()  # two arrays in the driver, no object for each row
     )
-    values = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
+    values, counts = (np.array(rows.column(c), np.int64) for c in ("shingle", "n"))
+    values = values.view(np.uint64)
     order = np.argsort(values)
-    return values[order], np.log2(np.array([r.n for r in rows], np.int64)[order]).astype(np.int8)
+    return values[order], np.log2(counts[order]).astype(np.int8)
 
 
 def repeated_shingles(docs: DataFrame, text: str, words: int) -> np.ndarray:
