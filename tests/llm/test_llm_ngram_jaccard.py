@@ -197,3 +197,67 @@ def test_frequent_shingles_reach_the_driver_as_arrays(spark, monkeypatch):
     assert logs.tolist() == [int(np.log2(often[h])) for h in sorted(often)]
     values, logs = J.frequent_shingles(docs.limit(0), "text", 5)
     assert len(values) == 0 and len(logs) == 0
+
+
+def counted_corpus():
+    """Texts of 200 words: 40 of their own words only, of which pairs share a part, and 6 near copies of one."""
+    rng = random.Random(5)
+    rows = [" ".join(f"d{i}w{k}" for k in range(200)) for i in range(40)]
+    for i in range(0, 20, 2):  # 60 of 196 shingles shared with the next: far from a link
+        rows[i + 1] = " ".join(rows[i].split()[:64] + rows[i + 1].split()[64:])
+    base = [f"b{k}" for k in range(200)]
+    for i in range(6):
+        copy = list(base)
+        copy[rng.randrange(200)] = f"new{i}"
+        rows.append(" ".join(copy))
+    rows += [rows[0], rows[40], "", None]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("sets", [8192, 3])
+def test_sets_with_lone_shingles_go_no_further_however_many_there_are(spark, table, monkeypatch, sets):
+    """What is written and sent on follows the near copies, also where no bitmap of repeated shingles could
+    tell lone ones any more: here it has 2^10 bits for 9,000 shingles."""
+    monkeypatch.setattr(J, "CHUNK_SETS", sets)
+    monkeypatch.setattr(J, "REPEATED_BITS", 10)
+    monkeypatch.setattr(J, "FILL_BITS", 9)
+    rows = counted_corpus()
+    docs = table(rows, extra=False)
+    seen = {}
+    needed = J.needed_entries
+
+    def counted(entries):
+        seen["nodes"] = entries.select("node").distinct().count()
+        return needed(entries)
+
+    monkeypatch.setattr(J, "needed_entries", counted)
+    assert found(spark, docs) == plain(rows)
+    assert seen["nodes"] == 6
+
+
+def test_lone_shingles_of_a_set_are_counted_exactly(spark, table, monkeypatch):
+    import numpy as np
+
+    rows = counted_corpus()
+    for ranges in (1000, 384):
+        monkeypatch.setattr(J, "COUNTED_RANGES", ranges)
+        monkeypatch.setattr(J, "CHUNK_SETS", 7)
+        kept = {r.number for r in J.sets_that_may_link(table(rows, extra=False), "text", 5).collect()}
+        import pyarrow as pa
+
+        sets = J.shingle_sets(pa.array([t for _, t in rows]), 5)
+        several = {}
+        for one in {J.node_of(s): s for s in sets}.values():
+            for h in one.tolist():
+                several[h] = several.get(h, 0) + 1
+        for one in sets:
+            if not len(one):
+                continue
+            number = int.from_bytes(J.node_of(one)[:8], "little", signed=True)
+            lone = sum(several[h] == 1 and h >> 54 < ranges for h in one.tolist())
+            if sum(np.array_equal(one, other) for other in sets) == 1:
+                assert (number in kept) == (lone <= len(one) // 5)
+            elif lone <= len(one) // 5:
+                assert number in kept
+    packed = np.array([0, 3, 70_000, 5])
+    assert J.unpacked(J.packed(packed)).tolist() == packed.tolist() and len(J.unpacked(J.packed(packed[:0]))) == 0

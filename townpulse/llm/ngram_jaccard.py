@@ -3,10 +3,15 @@
 A document's set holds the hashes (64 bits) of its distinct word shingles. Equal sets are one node.
 Two nodes link when their Jaccard similarity is at least 4/5, and every link joins their components.
 
-1. Shingles that stand alone in the corpus come first in the order of a set's shingles (a bitmap of
+0. A linked set shares at least 4/5 of its shingles with one other set. In a fixed part of the hash
+   space all sets' shingles meet by their hashes, and tasks return how many of a set's stand alone
+   there; a set with more of them than a fifth of its size is in no link and goes no further. The
+   others are written as hashes, so later steps read no text. What is shuffled for this grows with
+   the corpus alone, whatever the number of different shingles.
+1. Shingles that stand alone among those sets come first in the order of a set's shingles (a bitmap of
    fixed size tells them from most others), repeated ones next, and frequent ones, counted in each
-   task over all documents, last; the rest of the order is by hash. Any one order gives exact results;
-   this one leaves hardly an entry of sets that have no near copy.
+   task, last; the rest of the order is by hash. Any one order gives exact results; this one leaves
+   hardly an entry of sets that have no near copy.
 2. Linked sets share a shingle among the first fifth of each. A bitmap of fixed size marks shingles
    that stand in that prefix of two different sets; the places of the marked shingles are the entries
    of the index lists.
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from townpulse.llm.common import bits_of, components, has_bit, join_sized, kept, repeated_bits
+from townpulse.llm.common import bits_of, components, give_back, has_bit, join_sized, kept, repeated_bits
 from townpulse.llm.words import BLANKS, LOWER, gram_hashes, row_slices, split_words
 from townpulse.scale import settle
 
@@ -47,6 +52,11 @@ TOGETHER = 1 << 21
 # Bits of the bitmap of repeated shingles, and of a piece of it that is filled at one place.
 REPEATED_BITS = 27
 FILL_BITS = 20
+# Hashes are cut by their first bits into ranges; lone shingles are counted in the first so many of them.
+RANGE_BITS = 10
+COUNTED_RANGES = 384
+# Sets that are sent together for that, at most.
+CHUNK_SETS = 8192
 # Rounds of comparisons with leaders before the remaining pairs are formed.
 LEADER_ROUNDS = 3
 # A list with more components than this after the leaders is compared inside a task, where its sets are
@@ -73,7 +83,152 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def frequent_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+def sets_in(column: pa.Array, words: int | None) -> list[np.ndarray]:
+    """The sets of texts, or with ``words`` None those whose hashes the column holds."""
+    if words is not None:
+        return shingle_sets(column, words)
+    return [np.frombuffer(whole, np.uint64) for whole in column.to_pylist()]
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers, none below zero, in the fewest bytes that hold the largest, compressed."""
+    numbers = numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+    return bytes([numbers.itemsize]) + zlib.compress(numbers.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"u{data[0]}").astype(np.int64)
+
+
+def sets_that_may_link(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """Numbers of all sets but those of whose shingles more than a fifth are seen to stand alone.
+
+    Chunks of sets, named by their nodes, send the hashes of each range to one place, and get back how
+    many of each set's hashes no other set has. Sets of one chunk are different ones; equal sets of
+    several chunks are each other's repetition, so they stay.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        waiting: dict[bytes, np.ndarray] = {}
+        size = 0
+        end = np.uint64(COUNTED_RANGES << (64 - RANGE_BITS))
+
+        def flush() -> pa.RecordBatch:
+            sets, numbers = list(waiting.values()), b"".join(node[:8] for node in waiting)
+            heads = [one[: np.searchsorted(one, end)] for one in sets]
+            owner = np.repeat(np.arange(len(sets)), [len(head) for head in heads])
+            heads = np.concatenate(heads)
+            place = (heads >> np.uint64(64 - RANGE_BITS)).astype(np.int16)
+            each = np.bincount(owner * COUNTED_RANGES + place, minlength=len(sets) * COUNTED_RANGES)
+            each = each.reshape(-1, COUNTED_RANGES).T
+            # by range, then by set
+            codes = (heads >> np.uint64(32 - RANGE_BITS)).astype(np.uint32)[np.argsort(place, kind="stable")]
+            ends = np.cumsum(each.sum(axis=1)).tolist()
+            chunk = xxhash.xxh3_64_intdigest(b"".join(waiting)) - (1 << 63)
+            own = [None] * COUNTED_RANGES
+            most = list(own)
+            own[chunk % COUNTED_RANGES] = numbers
+            most[chunk % COUNTED_RANGES] = packed(np.array([len(one) // 5 for one in sets]))
+            return pa.record_batch(
+                [
+                    pa.array(np.arange(COUNTED_RANGES, dtype=np.int32)),
+                    pa.array(np.full(COUNTED_RANGES, chunk)),
+                    pa.array([codes[a:b].tobytes() for a, b in zip([0, *ends], ends)], pa.binary()),
+                    pa.array([packed(n) for n in each], pa.binary()),
+                    pa.array(own, pa.binary()),
+                    pa.array(most, pa.binary()),
+                ],
+                names=["range", "chunk", "codes", "each", "numbers", "most"],
+            )
+
+        for batch in batches:
+            for part in row_slices(batch, 0):
+                for one in shingle_sets(part.column(0), words):
+                    if len(one) and (node := node_of(one)) not in waiting:
+                        waiting[node] = one
+                        size += len(one)
+                    if len(waiting) == CHUNK_SETS:
+                        yield flush()
+                        waiting, size = {}, 0
+                if size >= TOGETHER:
+                    yield flush()
+                    waiting, size = {}, 0
+        if waiting:
+            yield flush()
+
+    def count_lone(table: pa.Table) -> pa.Table:
+        codes = np.concatenate([np.frombuffer(c, np.uint32) for c in table.column("codes").to_pylist()])
+        order = np.argsort(codes)
+        codes = codes[order]
+        differs = np.concatenate([[True], codes[1:] != codes[:-1], [True]])
+        lone = np.zeros(len(order) + 1, np.int64)
+        lone[order + 1] = differs[1:] & differs[:-1]
+        upto = np.cumsum(lone)
+        at, counts = 0, []
+        for each in map(unpacked, table.column("each").to_pylist()):
+            ends = at + np.cumsum(each)
+            counts.append(packed(upto[ends] - upto[ends - each]))
+            at = int(ends[-1])
+        return pa.table(
+            {"chunk": table.column("chunk"), "lone": pa.array(counts, pa.binary())}
+            | {c: table.column(c) for c in ("numbers", "most")}
+        )
+
+    def left(table: pa.Table) -> pa.Table:
+        lone = sum(map(unpacked, table.column("lone").to_pylist()))
+        numbers = next(n for n in table.column("numbers").to_pylist() if n is not None)
+        most = next(n for n in table.column("most").to_pylist() if n is not None)
+        return pa.table({"number": pa.array(np.frombuffer(numbers, np.int64)[lone <= unpacked(most)])})
+
+    return (
+        docs.select(text)
+        .mapInArrow(
+            send, "range int, chunk bigint, codes binary, each binary, numbers binary, most binary"
+        )
+        .groupBy("range")
+        .applyInArrow(count_lone, "chunk bigint, lone binary, numbers binary, most binary")
+        .groupBy("chunk")
+        .applyInArrow(left, "number bigint")
+    )
+
+
+def set_rows(docs: DataFrame, key: str, text: str, words: int, likely) -> DataFrame:
+    """key, size, node and its number for bitmaps, of every row, and ``whole``, the hashes of sets whose
+    number is in a bitmap, at one row of equal ones that a task meets."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
+        for batch in batches:
+            for part in row_slices(batch, 1):
+                sets = shingle_sets(part.column(1), words)
+                nodes = [node_of(one) if len(one) else None for one in sets]
+                numbers = np.frombuffer(b"".join(n[:8] if n else bytes(8) for n in nodes), np.uint64)
+                wholes = []
+                for one, node, may in zip(sets, nodes, has_bit(likely.value, numbers).tolist(), strict=True):
+                    first = may and node is not None and node not in met
+                    wholes.append(one.tobytes() if first else None)
+                    if first:
+                        met.add(node)
+                yield pa.record_batch(
+                    [
+                        part.column(0),
+                        pa.array([len(one) for one in sets], pa.int64()),
+                        pa.array(nodes, pa.binary()),
+                        pa.array(numbers.view(np.int64)),
+                        pa.array(wholes, pa.binary()),
+                    ],
+                    names=[key, "size", "node", "number", "whole"],
+                )
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(
+        emit, f"{key} {kind}, size bigint, node binary, number bigint, whole binary"
+    )
+
+
+def frequent_shingles(docs: DataFrame, text: str, words: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and the logarithms of their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +243,7 @@ def frequent_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarra
 
         for batch in batches:
             for part in row_slices(batch, 0):
-                for one in shingle_sets(part.column(0), words):
+                for one in sets_in(part.column(0), words):
                     waiting.append(one)
                     size += len(one)
                 if size >= TOGETHER:
@@ -112,7 +267,7 @@ def frequent_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarra
     return values[order], np.log2(counts[order]).astype(np.int8)
 
 
-def repeated_shingles(docs: DataFrame, text: str, words: int) -> np.ndarray:
+def repeated_shingles(docs: DataFrame, text: str, words: int | None) -> np.ndarray:
     """A bitmap of the shingles met more than once, among them a part of those met once.
 
     Tasks send the low bits of their shingles sorted and packed, piece by piece; the counters of a
@@ -136,7 +291,7 @@ def repeated_shingles(docs: DataFrame, text: str, words: int) -> np.ndarray:
 
         for batch in batches:
             for part in row_slices(batch, 0):
-                for one in shingle_sets(part.column(0), words):
+                for one in sets_in(part.column(0), words):
                     waiting.append(one)
                     size += len(one)
                 if size >= TOGETHER:
@@ -195,87 +350,70 @@ def node_of(one: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(one.tobytes())
 
 
-def prefix_shingles(docs: DataFrame, text: str, words: int, shared) -> DataFrame:
+def prefix_shingles(sets: DataFrame, shared) -> DataFrame:
     """(shingle, node as a number) of all prefixes, without shingles that stand alone."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch, 0):
-                sets = [s for s in shingle_sets(part.column(0), words) if len(s)]
-                heads = [ordered(s, shared.value)[: prefix_length(len(s))] for s in sets]
-                # what stands alone in the corpus is in no second set
+            for part in row_slices(batch, 1):
+                heads = [ordered(s, shared.value)[: prefix_length(len(s))] for s in sets_in(part.column(1), None)]
+                # what stands alone is in no second set
                 heads = [h[has_bit(shared.value[2], h)] for h in heads]
-                nodes = np.frombuffer(b"".join(node_of(s)[:8] for s in sets), np.int64)
                 tokens = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
                 yield pa.record_batch(
                     [
                         pa.array(tokens.view(np.int64)),
-                        pa.array(np.repeat(nodes, [len(h) for h in heads])),
+                        pa.array(np.repeat(part.column(0).to_numpy(), [len(h) for h in heads])),
                     ],
                     names=["shingle", "node"],
                 )
 
-    return docs.select(text).mapInArrow(emit, "shingle bigint, node bigint")
+    return sets.select("number", "whole").mapInArrow(emit, "shingle bigint, node bigint")
 
 
-def indexed_sets(docs: DataFrame, key: str, text: str, words: int, shared, marked) -> DataFrame:
-    """key, size, node, its number for bitmaps, and the marked shingles of its prefix with their places."""
+def indexed_sets(sets: DataFrame, shared, marked) -> DataFrame:
+    """node, number, size, and the marked shingles of its prefix with their places."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch, 1):
-                sizes, nodes, tokens, places = [], [], [], []
-                for one in shingle_sets(part.column(1), words):
+            for part in row_slices(batch, 3):
+                tokens, places = [], []
+                for one in sets_in(part.column(3), None):
                     head = ordered(one, shared.value)[: prefix_length(len(one))]
                     at = np.flatnonzero(has_bit(marked.value, head))
-                    sizes.append(len(one))
-                    nodes.append(node_of(one) if len(one) else None)
                     tokens.append(head[at].view(np.int64))
                     places.append(at.astype(np.int32))
-                numbers = [n and int.from_bytes(n[:8], "little", signed=True) for n in nodes]
                 yield pa.record_batch(
                     [
-                        part.column(0),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(nodes, pa.binary()),
-                        pa.array(numbers, pa.int64()),
+                        *part.columns[:3],
                         pa.array(tokens, pa.list_(pa.int64())),
                         pa.array(places, pa.list_(pa.int32())),
                     ],
-                    names=[key, "size", "node", "number", "shingles", "places"],
+                    names=["node", "number", "size", "shingles", "places"],
                 )
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(
-        emit,
-        f"{key} {kind}, size bigint, node binary, number bigint, shingles array<bigint>, places array<int>",
+    return sets.select("node", "number", "size", "whole").mapInArrow(
+        emit, "node binary, number bigint, size bigint, shingles array<bigint>, places array<int>"
     )
 
 
-def whole_sets(docs: DataFrame, text: str, words: int, wanted) -> DataFrame:
-    """(node, size, whole) of the sets whose number is in a bitmap; ``whole`` holds the hashes."""
+def whole_sets(sets: DataFrame, wanted, needed: DataFrame) -> DataFrame:
+    """(node, size, whole) of the needed sets, whose numbers are in a bitmap; ``whole`` holds the hashes,
+    ``node`` the id that ``needed`` gives."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch, 0):
-                sets = [s for s in shingle_sets(part.column(0), words) if len(s)]
-                nodes = [node_of(s) for s in sets]
-                numbers = np.frombuffer(b"".join(n[:8] for n in nodes), np.uint64)
-                at = np.flatnonzero(has_bit(wanted.value, numbers)).tolist()
-                yield pa.record_batch(
-                    [
-                        pa.array([nodes[i] for i in at], pa.binary()),
-                        pa.array([len(sets[i]) for i in at], pa.int64()),
-                        pa.array([sets[i].tobytes() for i in at], pa.binary()),
-                    ],
-                    names=["node", "size", "whole"],
-                )
+            numbers = batch.column(3).to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(has_bit(wanted.value, numbers))).select(["node", "size", "whole"])
 
+    chosen = sets.select("node", "size", "whole", "number").mapInArrow(
+        choose, "node binary, size bigint, whole binary"
+    )
     return (
-        docs.select(text)
-        .mapInArrow(emit, "node binary, size bigint, whole binary")
-        .groupBy("node")
+        join_sized(chosen, needed, "node", "inner")
+        .groupBy("id")
         .agg(F.first("size").alias("size"), F.first("whole").alias("whole"))
+        .withColumnRenamed("id", "node")
     )
 
 
@@ -306,7 +444,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         pairs.join(left, "a")
         .join(right, "b")
         .select("a", "b", "whole_a", "whole_b")
-        .mapInArrow(count, "a binary, b binary, overlap bigint")
+        .mapInArrow(count, "a bigint, b bigint, overlap bigint")
     )
 
 
@@ -420,21 +558,21 @@ def needed_entries(entries: DataFrame) -> DataFrame:
     )
     near = kept(entries.join(lists.hint("merge"), "shingle"), "near-entries")
     smaller, larger = in_blocks(near.where("n > 2"))
-    met = smaller.select("shingle", "block", "number", F.lit(1).alias("smaller")).unionByName(
-        larger.select("shingle", "block", "number", F.lit(0).alias("smaller"))
+    met = smaller.select("shingle", "block", "node", F.lit(1).alias("smaller")).unionByName(
+        larger.select("shingle", "block", "node", F.lit(0).alias("smaller"))
     )
     shared = (
         met.groupBy("shingle", "block")
-        .agg(F.min("number").alias("low"), F.max("number").alias("high"), F.max("smaller").alias("any"))
+        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("smaller").alias("any"))
         .where("low < high AND any = 1")
         .select("shingle", "block")
     )
-    numbers = (
-        near.where("n = 2").select("number")
-        .unionByName(met.join(shared, ["shingle", "block"], "left_semi").select("number"))
+    nodes = (
+        near.where("n = 2").select("node")
+        .unionByName(met.join(shared, ["shingle", "block"], "left_semi").select("node"))
         .distinct()
     )
-    return near.drop("n").join(numbers, "number", "left_semi")
+    return near.drop("n").join(nodes, "node", "left_semi")
 
 
 def remaining_pairs(entries: DataFrame) -> DataFrame:
@@ -557,14 +695,14 @@ def links_of_long_lists(entries: DataFrame, sets: DataFrame) -> DataFrame:
             )
             found += [(int(at[x]), int(at[y])) for x, y in inside]
         pairs = [sorted((nodes[x], nodes[y])) for x, y in found]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+        return pa.table({c: pa.array([p[i] for p in pairs], pa.int64()) for i, c in enumerate("ab")})
 
     needed = entries.select("node").distinct()
     near = join_sized(sets.select("node", "whole"), needed, "node", "left_semi")
     return (
         met.join(near.hint("merge"), "node")
         .groupBy("shingle", "lo", "hi")
-        .applyInArrow(compare, "a binary, b binary")
+        .applyInArrow(compare, "a bigint, b bigint")
         .distinct()
     )
 
@@ -574,33 +712,40 @@ def join_sets(
 ) -> DataFrame:
     """``key``, n_shingles and component_id (the least key that links reach) of every row."""
     context = docs.sparkSession.sparkContext
+    likely = context.broadcast(bits_of(sets_that_may_link(docs, text, words), "number"))
+    rows = kept(set_rows(docs, key, text, words, likely), "sets")
+    # each goes as soon as what reads it is written; later stages need the memory
+    likely.destroy()
+    sets = rows.where("whole IS NOT NULL")
     order = context.broadcast(
-        (*frequent_shingles(docs, text, words), repeated_shingles(docs, text, words))
+        (*frequent_shingles(sets, "whole", None), repeated_shingles(sets, "whole", None))
     )
-    marked = context.broadcast(
-        repeated_bits(prefix_shingles(docs, text, words, order), "shingle", "node")
-    )
-    rows = kept(indexed_sets(docs, key, text, words, order, marked), "sets")
+    marked = context.broadcast(repeated_bits(prefix_shingles(sets, order), "shingle", "node"))
     nodes = kept(
-        rows.where(F.size("shingles") > 0)
+        indexed_sets(sets, order, marked)
+        .where(F.size("shingles") > 0)
         .groupBy("node")
         .agg(
             F.first("number").alias("number"),
             F.first("size").alias("size"),
             F.first(F.arrays_zip("shingles", "places")).alias("entries"),
-        ),
+        )
+        .withColumn("id", F.monotonically_increasing_id()),
         "nodes",
     )
-    entries = nodes.select("node", "number", "size", F.inline("entries")).withColumnsRenamed(
+    for shared in (order, marked):
+        shared.destroy()
+    # from here to the components a set goes by a number of its own, half as wide as its node
+    entries = nodes.select(F.col("id").alias("node"), "size", F.inline("entries")).withColumnsRenamed(
         {"shingles": "shingle", "places": "place"}
     )
     entries = kept(needed_entries(entries), "entries")
-    wanted = context.broadcast(bits_of(entries.select("number").distinct(), "number"))
-    nodes = entries.select("node").distinct()
-    sets = kept(join_sized(whole_sets(docs, text, words, wanted), nodes, "node", "left_semi"), "wholes")
-    # everything that reads them is written; later stages need the memory
-    for shared in (order, marked, wanted):
-        shared.destroy()
+    names = nodes.select("id", "node", "number")
+    needed = settle(join_sized(names, entries.select(F.col("node").alias("id")).distinct(), "id", "left_semi"))
+    wanted = context.broadcast(bits_of(needed, "number"))
+    sets = kept(whole_sets(sets, wanted, needed.select("node", "id")), "wholes")
+    wanted.destroy()
+    give_back()
     links = known = None
     for turn in range(LEADER_ROUNDS):
         mixed = settle(with_component(entries.select("shingle", "node", "size", "place"), links))
@@ -629,6 +774,9 @@ def join_sets(
         verified.select("a", "b")
     )
     parts = components(settle(links))
+    for side in ("node", "root"):
+        named = names.select(F.col("id").alias(side), F.col("node").alias("name"))
+        parts = parts.join(named, side).drop(side).withColumnRenamed("name", side)
     members = rows.select(key, "size", "node").join(parts, "node", "left").withColumn(
         "part", F.coalesce("root", "node")
     )
